@@ -39,6 +39,7 @@ WINDOW = 5
 KEEP_FROM = 0.5
 PRIOR_VOTES = 10
 LEAST_ERROR = 0.01
+LEAST_FOUND = 0.3
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -146,7 +147,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, toleranc
     ``PRIOR_VOTES`` votes of that kind are added to the counts, so that no
     probability becomes 0 and the classes cannot trade places. No rule is taken
     to err with fewer than ``LEAST_ERROR`` of the good documents, so that one bad
-    vote alone does not condemn a document that all other rules find good.
+    vote alone does not condemn a document that all other rules find good; and in
+    its own way of being bad each rule of the family votes bad on at least
+    ``LEAST_FOUND``, which ties every class to its family.
     """
     start = np.full((1 + len(FAMILIES), len(RULES)), 0.05)
     for k, family in enumerate(FAMILIES):
@@ -164,7 +167,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, toleranc
             likely = float((weight * both).sum() / weight.sum())
             share = (given.sum(0) + 1) / (weight.sum() + len(share))
             table = (given.T @ bad + PRIOR_VOTES * start) / (given.T @ (bad + good) + PRIOR_VOTES)
-            table[0] = np.maximum(table[0], LEAST_ERROR)
+            table = np.maximum(table, LEAST_ERROR)
+            table[start == 0.5] = np.maximum(table[start == 0.5], LEAST_FOUND)
             if abs(likely - before) < tolerance:
                 break
             before = likely
