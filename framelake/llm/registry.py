@@ -1,14 +1,16 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
 from .decontaminate import OP9_SQL, op9_decontamination
+from .minhash import op6_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .quality import op2_quality
-from .secrets import op5_secrets
+from .secret_scan import op5_secrets
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op5_secrets": op5_secrets,
+    "op6_minhash": op6_minhash,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
