@@ -117,7 +117,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, width: int, permutations: in
                 keys = bands_of(signatures([sets[k] for k in full], permutations), rows)
                 for k, row in zip(full, keys, strict=True):
                     bands[k] = row
-            values = (batch.column("doc_id"), batch.column("text_hash"), pa.array([class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())))
+            values = [batch.column("doc_id"), batch.column("text_hash"), pa.array([class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(values, ["doc_id", "text_hash", "class", "n_shingles", "bands"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(sign, SIGNED_SCHEMA)
