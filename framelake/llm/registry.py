@@ -8,9 +8,11 @@ from .minhash import op6_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .quality import op2_quality
 from .secret_scan import op5_secrets
+from .suffixes import op1_suffixes
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
     "op4_chunks": op4_chunks,
