@@ -13,19 +13,25 @@ probability 3e-6, at 0.85 with 2e-8.
 
 Linking without all pairs: what is asked for are components, so in every bucket
 all members are compared with one hub (the least class). After the components of
-these links are known, a bucket is finished if all members are in one. In the
-others, only members outside the bucket's largest component are compared with
-members of other components, and only where the triangle inequality of the
-Jaccard distance to the hub allows a link. No pair that could join two
-components is left out, so the result is that of confirming every candidate pair.
+these links are known, a bucket is finished if all its members are in one. In
+the others only *stragglers*, members outside the bucket's largest component, are
+compared with members of other components: in buckets of at most ``SMALL``
+members as pairs, and only where the triangle inequality of the Jaccard distance
+to the hub allows a link; in larger ones in blocks, a block of stragglers as an
+inverted index that the bucket's members stream past, which counts a member's
+overlaps with the whole block at once and keeps one link per straggler and
+component. No pair that could join two components is left out, so the result is
+that of confirming every candidate pair.
 
 At scale: signatures are a map; classes collapse copies (a third of all rows as
 copies is one row after partial aggregation); buckets are narrow rows; texts
 travel only for classes that share a bucket, once per class and once per hub
 they are compared with; a hub of many members is salted by the size of their
-sets; comparing streams over sorted rows with one hub's set in memory. Data that
-defeats pruning (very many texts that share half of their shingles with each
-other, without links) costs time in proportion to its candidate pairs.
+sets, and the members of a large bucket are dealt to tasks of ``SALT_MEMBERS``;
+comparing streams over sorted rows with one hub's set or one block in memory.
+Stragglers of a large bucket cost the product of their number and the bucket's
+in counting, not in rows: that remains where very many texts share half of their
+shingles with each other without being linked.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased. Edge cases: fewer
 words than a shingle make one shingle of the whole sequence; null, empty and
@@ -51,6 +57,7 @@ PERMUTATIONS = 48
 BAND_ROWS = 4
 BATCH_BYTES = 4 << 20
 SALT_SHINGLES = 200_000
+SMALL, BLOCK, SALT_MEMBERS = 32, 256, 1000
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -155,6 +162,65 @@ def compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int)
     return rows.select("hub", "member", "text").mapInArrow(compare, COMPARED_SCHEMA)
 
 
+class Block:
+    """Sets as an inverted index: which of them have a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        by = np.argsort(tokens, kind="stable")
+        self.tokens, first = np.unique(tokens[by], return_index=True)
+        self.owner, self.ends = owner[by], np.append(first, len(tokens))
+        self.sizes = np.array([len(s) for s in sets])
+
+    def shared(self, one: np.ndarray) -> np.ndarray:
+        """The number of shingles that each set of the block has in common with ``one``."""
+        at = np.minimum(np.searchsorted(self.tokens, one), len(self.tokens) - 1)
+        at = at[self.tokens[at] == one]
+        n = self.ends[at + 1] - self.ends[at]
+        spots = np.repeat(self.ends[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
+        return np.bincount(self.owner[spots], minlength=len(self.sizes))
+
+
+def block_links(stragglers: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between (bucket, class, root) stragglers and the members of their buckets, one for each straggler, component and task at least where there is one."""
+    blocks = stragglers.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    salts = members.groupBy("bucket").agg(F.ceil(F.count("*") / SALT_MEMBERS).alias("salts"))
+    hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = stragglers.join(blocks, "bucket").join(salts, "bucket").select("bucket", hashed(1, "blocks").alias("block"), each("salts").alias("salt"), F.lit(0).alias("side"), "class", "root")
+    right = members.join(blocks, "bucket").join(salts, "bucket").select("bucket", each("blocks").alias("block"), hashed(2, "salts").alias("salt"), F.lit(1).alias("side"), "class", "root")
+    rows = left.unionByName(right).join(texts, "class").repartition("bucket", "block", "salt").sortWithinPartitions("bucket", "block", "salt", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, names, roots, sets, block, told = None, [], [], [], None, set()
+        for batch in cut(batches, "text", BATCH_BYTES):
+            out = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "salt")), strict=True))
+            found = shingle_sets(batch.column("text"), width)
+            for key, side, name, root, s in zip(keys, *(batch.column(c).to_pylist() for c in ("side", "class", "root")), found, strict=True):
+                if key != unit:
+                    unit, names, roots, sets, block, told = key, [], [], [], None, set()
+                if class_of(s) != name:
+                    continue
+                if side == 0:
+                    names.append(name)
+                    roots.append(root)
+                    sets.append(s)
+                    continue
+                if not names:
+                    continue
+                block = block or Block(sets)
+                shared = block.shared(s)
+                for k in np.flatnonzero(100 * shared >= percent * (block.sizes + len(s) - shared)).tolist():
+                    if roots[k] != root and (k, root) not in told:
+                        told.add((k, root))
+                        out.append((names[k], name))
+            columns = list(zip(*out, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["u", "v"])
+
+    return rows.mapInArrow(compare, "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=80, permutations=PERMUTATIONS, band_rows=BAND_ROWS) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, class, component_id (the least id of its component) and kept.
 
@@ -185,18 +251,20 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
     near = near.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     near = near.select("bucket", "class", F.coalesce("likeness", F.when(F.col("class") == F.col("hub"), F.lit(1.0))).alias("likeness"), F.coalesce("root", "class").alias("root"))
     parts = near.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1").select("bucket", F.col("top.root").alias("top"))
-    left = near.join(largest, "bucket").where("root <> top")
-    right = near.join(largest.select("bucket"), "bucket")
-    right = right.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "likeness", "root")))
+    largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
+    largest = largest.select("bucket", "members", F.col("top.root").alias("top"))
+    near = stored(near.join(largest, "bucket"), "open-buckets")
+    small, large = near.where(F.col("members") <= SMALL), near.where(F.col("members") > SMALL)
+    right = small.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "likeness", "root")))
     apart = F.abs(F.col("likeness") - F.col("likeness_2")) <= 1 - percent / 100 + 1e-9
-    cross = left.join(right, "bucket").where((F.col("root") != F.col("root_2")) & apart)
+    cross = small.where("root <> top").join(right, "bucket").where((F.col("root") != F.col("root_2")) & apart)
     cross = cross.select(F.least("class", "class_2").alias("hub"), F.greatest("class", "class_2").alias("member")).distinct()
     cross = cross.join(first.select("hub", "member"), ["hub", "member"], "left_anti")
-    more = stored(compared(cross, texts, classes, width).where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v")), "more-links")
+    more = compared(cross, texts, classes, width).where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
+    more = stored(more.unionByName(block_links(large.where("root <> top"), large, texts, width, percent)), "more-links")
     if more.head(1):
         roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
-    dropped(members, texts)
+    dropped(members, texts, near)
     release(spark)
 
     named = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
