@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import decontaminate, minhash, mixing, quality, secret_scan
-from framelake.llm.common import stored
+from framelake.llm.common import scratch, stored
 
 SHINGLE, SIMILARITY = 5, 80
 
@@ -30,8 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten words of a benchmark item (or a whole shorter item)."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = stored(found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__hit_id")).distinct(), "contaminated")
+    with scratch(spark) as own:
+        found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        hit = own.keep(stored(found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__hit_id")).distinct(), "contaminated"))
     return docs.join(hit, docs["doc_id"] == hit["__hit_id"], "left_anti")
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw, release, stored, texts_of
+from .common import cut, raw, release, scratch, stored, texts_of
 
 MIN_SIZE, MASK_BITS, MAX_SIZE, MIN_RUN = 16, 5, 256, 96
 BATCH_BYTES = 4 << 20
@@ -131,8 +131,9 @@ def chunk_repeats(docs: DataFrame, doc_id="doc_id", text="text", min_run=MIN_RUN
 
 def without_repeats(docs: DataFrame, doc_id="doc_id", text="text", min_run=MIN_RUN, **sizes) -> DataFrame:
     """All rows of docs, their repeated runs cut out of the text."""
-    found = chunk_repeats(docs, doc_id, text, min_run, **sizes).where("size(starts) > 0")
-    found = stored(found.select(F.col("doc_id").alias("__chunk_id"), F.col("text_hash").alias("__chunk_hash"), F.col("starts").alias("__chunk_starts"), F.col("ends").alias("__chunk_ends")).distinct(), "chunk-spans")
+    with scratch(docs.sparkSession) as own:
+        found = chunk_repeats(docs, doc_id, text, min_run, **sizes).where("size(starts) > 0")
+        found = own.keep(stored(found.select(F.col("doc_id").alias("__chunk_id"), F.col("text_hash").alias("__chunk_hash"), F.col("starts").alias("__chunk_starts"), F.col("ends").alias("__chunk_ends")).distinct(), "chunk-spans"))
     same = docs[doc_id].cast("long").eqNullSafe(found["__chunk_id"]) & (F.xxhash64(docs[text]) == found["__chunk_hash"])
     joined = docs.join(found, same, "left").select(*(docs[c] for c in docs.columns), "__chunk_starts", "__chunk_ends")
     names = list(docs.columns)

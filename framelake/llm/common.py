@@ -40,17 +40,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._framelake_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return out
 
 
+_SCRATCH: list[list[str]] = []
+
+
+class scratch:
+    """On leaving the block, deletes the tables stored in it, but for those that ``keep`` was given: what is still to be read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> scratch:
+        _SCRATCH.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._framelake_path)
+        return df
+
+    def __exit__(self, *error) -> None:
+        for path in _SCRATCH.pop():
+            if path not in self.kept:
+                _delete(self.spark, path)
+            elif _SCRATCH:
+                _SCRATCH[-1].append(path)
+        release(self.spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again, and lets Spark delete shuffle files whose data frames are gone."""
+    """Deletes stored tables that nothing will read again."""
     for df in tables:
         path = getattr(df, "_framelake_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, cut, dropped, mixed, release, stored, texts_of, translated, windows_hash
+from .common import LOWER, Words, cut, dropped, mixed, release, scratch, stored, texts_of, translated, windows_hash
 from .graph import components
 
 PERMUTATIONS = 48
@@ -227,49 +227,50 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
     Linked are documents with 100 x shared >= percent x united shingles.
     """
     spark = docs.sparkSession
-    rows = stored(signed(docs, doc_id, text, width, permutations, band_rows), "signed")
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    keys = classes.select("class", F.explode("bands").alias("bucket"))
-    shared_keys = keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    members = stored(keys.join(shared_keys, "bucket"), "buckets")
-    release(spark)
-
-    wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
-    texts = stored(texts, "bucket-texts")
-    release(spark)
-
-    pairs = members.where("class <> hub").select("hub", F.col("class").alias("member")).distinct()
-    first = stored(compared(pairs, texts, classes, width).distinct(), "compared")
-    linked = F.expr(f"100 * shared >= {percent} * united")
-    links = first.where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
-    roots = stored(components(links), "roots")
-
-    near = members.join(first.select("hub", F.col("member").alias("class"), (F.col("shared") / F.col("united")).alias("likeness")), ["hub", "class"], "left")
-    near = near.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    near = near.select("bucket", "class", F.coalesce("likeness", F.when(F.col("class") == F.col("hub"), F.lit(1.0))).alias("likeness"), F.coalesce("root", "class").alias("root"))
-    parts = near.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
-    largest = largest.select("bucket", "members", F.col("top.root").alias("top"))
-    near = stored(near.join(largest, "bucket"), "open-buckets")
-    small, large = near.where(F.col("members") <= SMALL), near.where(F.col("members") > SMALL)
-    right = small.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "likeness", "root")))
-    apart = F.abs(F.col("likeness") - F.col("likeness_2")) <= 1 - percent / 100 + 1e-9
-    cross = small.where("root <> top").join(right, "bucket").where((F.col("root") != F.col("root_2")) & apart)
-    cross = cross.select(F.least("class", "class_2").alias("hub"), F.greatest("class", "class_2").alias("member")).distinct()
-    cross = cross.join(first.select("hub", "member"), ["hub", "member"], "left_anti")
-    more = compared(cross, texts, classes, width).where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
-    more = stored(more.unionByName(block_links(large.where("root <> top"), large, texts, width, percent)), "more-links")
-    if more.head(1):
-        roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
-    dropped(members, texts, near)
-    release(spark)
-
-    named = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = stored(named.join(least, "root").select("class", "component_id"), "components")
+    with scratch(spark) as own:
+        rows = own.keep(stored(signed(docs, doc_id, text, width, permutations, band_rows), "signed"))
+        classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        classes = stored(classes, "classes")
+        keys = classes.select("class", F.explode("bands").alias("bucket"))
+        shared_keys = keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+        members = stored(keys.join(shared_keys, "bucket"), "buckets")
+        release(spark)
+
+        wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
+        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
+        texts = stored(texts, "bucket-texts")
+        release(spark)
+
+        pairs = members.where("class <> hub").select("hub", F.col("class").alias("member")).distinct()
+        first = stored(compared(pairs, texts, classes, width).distinct(), "compared")
+        linked = F.expr(f"100 * shared >= {percent} * united")
+        links = first.where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
+        roots = stored(components(links), "roots")
+
+        near = members.join(first.select("hub", F.col("member").alias("class"), (F.col("shared") / F.col("united")).alias("likeness")), ["hub", "class"], "left")
+        near = near.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+        near = near.select("bucket", "class", F.coalesce("likeness", F.when(F.col("class") == F.col("hub"), F.lit(1.0))).alias("likeness"), F.coalesce("root", "class").alias("root"))
+        parts = near.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
+        largest = largest.select("bucket", "members", F.col("top.root").alias("top"))
+        near = stored(near.join(largest, "bucket"), "open-buckets")
+        small, large = near.where(F.col("members") <= SMALL), near.where(F.col("members") > SMALL)
+        right = small.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "likeness", "root")))
+        apart = F.abs(F.col("likeness") - F.col("likeness_2")) <= 1 - percent / 100 + 1e-9
+        cross = small.where("root <> top").join(right, "bucket").where((F.col("root") != F.col("root_2")) & apart)
+        cross = cross.select(F.least("class", "class_2").alias("hub"), F.greatest("class", "class_2").alias("member")).distinct()
+        cross = cross.join(first.select("hub", "member"), ["hub", "member"], "left_anti")
+        more = compared(cross, texts, classes, width).where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
+        more = stored(more.unionByName(block_links(large.where("root <> top"), large, texts, width, percent)), "more-links")
+        if more.head(1):
+            roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
+        dropped(members, texts, near)
+        release(spark)
+
+        named = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        named = own.keep(stored(named.join(least, "root").select("class", "component_id"), "components"))
     out = rows.select("doc_id", "text_hash", "class", "n_shingles").join(named, "class", "left")
     out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -277,8 +278,9 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
 
 def deduplicate(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=80, permutations=PERMUTATIONS, band_rows=BAND_ROWS) -> DataFrame:
     """The rows of docs that are kept, unchanged: of each component the document with the least id."""
-    gone = near_duplicates(docs, doc_id, text, width, percent, permutations, band_rows).where("NOT kept")
-    gone = stored(gone.select(F.col("doc_id").alias("__dedup_id"), F.col("text_hash").alias("__dedup_hash")).distinct(), "duplicates")
+    with scratch(docs.sparkSession) as own:
+        gone = near_duplicates(docs, doc_id, text, width, percent, permutations, band_rows).where("NOT kept")
+        gone = own.keep(stored(gone.select(F.col("doc_id").alias("__dedup_id"), F.col("text_hash").alias("__dedup_hash")).distinct(), "duplicates"))
     same = docs[doc_id].cast("long").eqNullSafe(gone["__dedup_id"]) & (F.xxhash64(docs[text]) == gone["__dedup_hash"])
     return docs.join(gone, same, "left_anti")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mixed, raw, stored, texts_of, windows_hash
+from .common import Words, cut, mixed, raw, scratch, stored, texts_of, windows_hash
 
 BATCH_BYTES = 4 << 20
 SPACES = b"\t\n\x0b\x0c\r "
@@ -227,7 +227,8 @@ def quality_scores(docs: DataFrame, doc_id="doc_id", text="text", keep_from=KEEP
 
 def quality_filter(docs: DataFrame, doc_id="doc_id", text="text", keep_from=KEEP_FROM) -> DataFrame:
     """The rows of docs that are kept, unchanged; the model is fitted to all rows first."""
-    model = fitted(stored(measured(docs, doc_id, text), "measured"))
+    with scratch(docs.sparkSession):
+        model = fitted(stored(measured(docs, doc_id, text), "measured"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, text, BATCH_BYTES):

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, mixed, raw, release, stored, texts_of
+from .common import cut, dropped, mixed, raw, release, scratch, stored, texts_of
 
 LENGTH, GRAM = 400, 64
 BATCH_BYTES = 4 << 20
@@ -337,47 +337,47 @@ def merged(shards: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, doc_id="doc_id", text="text", length=LENGTH, shard_bytes=SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs as arrays starts and stops."""
     spark = docs.sparkSession
-    rows = stored(scanned(docs, doc_id, text, length), "anchors")
-    texts = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("hashes", "first", "last")))
-    texts = stored(texts, "texts")
-    release(spark)
-    found = texts.select("key", "first_id", F.explode(F.arrays_zip("hashes", "first", "last")).alias("a")).select("key", "first_id", "a.*")
-    many = found.groupBy("hashes").agg(F.count("*").alias("counts")).where("counts > 1")
-    known = found.join(many, "hashes").groupBy("key", "first_id").agg(F.min("hashes").alias("least"), *(F.collect_list(c).alias(c) for c in ("hashes", "counts", "first", "last")))
-    known = stored(known.withColumnRenamed("key", "known_key"), "repeated-anchors")
-    release(spark)
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("doc_id"), body.alias("text"), F.unhex(F.sha2(body, 256)).alias("key")).where(F.octet_length("text") >= length)
-    candidates = source.join(known, (source["doc_id"] == known["first_id"]) & (source["key"] == known["known_key"]))
-    candidates = candidates.select("key", "text", "least", "hashes", "counts", "first", "last").repartitionByRange("least", "key").sortWithinPartitions("least", "key")
-    candidates = stored(candidates, "candidates")
-    dropped(known)
-    release(spark)
-    shards = stored(sharded(candidates, length, shard_bytes), "shards")
-    elsewhere = stored(merged(shards), "merged")
-    release(spark)
-    keys = shards.select("shard", F.posexplode("keys").alias("number", "key"))
-    here = shards.select("shard", F.explode(F.arrays_zip("texts", "starts", "stops")).alias("s")).select("shard", F.col("s.texts").cast("long").alias("number"), "s.starts", "s.stops")
-    spans = here.unionByName(elsewhere.select("shard", "number", F.col("window").alias("starts"), (F.col("window") + length).alias("stops")))
-    spans = spans.join(keys, ["shard", "number"]).groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
-            out = []
-            for key, body, starts, stops in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "starts", "stops")), strict=True):
-                starts, stops = np.array(starts, np.int64), np.array(stops, np.int64)
-                by = np.argsort(starts)
-                starts, stops = _united(starts[by], stops[by])
-                data = body.encode()
-                kept = b"".join(data[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(data)], strict=True))
-                out.append((key, len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), starts, stops))
-            types = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
-
-    done = candidates.select("key", "text").join(spans, "key").mapInArrow(finish, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
-    done = stored(done.dropDuplicates(["key"]), "trimmed")
-    release(spark)
+    with scratch(spark) as own:
+        rows = own.keep(stored(scanned(docs, doc_id, text, length), "anchors"))
+        texts = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("hashes", "first", "last")))
+        texts = own.keep(stored(texts, "texts"))
+        release(spark)
+        found = texts.select("key", "first_id", F.explode(F.arrays_zip("hashes", "first", "last")).alias("a")).select("key", "first_id", "a.*")
+        many = found.groupBy("hashes").agg(F.count("*").alias("counts")).where("counts > 1")
+        known = found.join(many, "hashes").groupBy("key", "first_id").agg(F.min("hashes").alias("least"), *(F.collect_list(c).alias(c) for c in ("hashes", "counts", "first", "last")))
+        known = stored(known.withColumnRenamed("key", "known_key"), "repeated-anchors")
+        release(spark)
+
+        body = F.coalesce(F.col(text), F.lit(""))
+        source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("doc_id"), body.alias("text"), F.unhex(F.sha2(body, 256)).alias("key")).where(F.octet_length("text") >= length)
+        candidates = source.join(known, (source["doc_id"] == known["first_id"]) & (source["key"] == known["known_key"]))
+        candidates = candidates.select("key", "text", "least", "hashes", "counts", "first", "last").repartitionByRange("least", "key").sortWithinPartitions("least", "key")
+        candidates = stored(candidates, "candidates")
+        dropped(known)
+        release(spark)
+        shards = stored(sharded(candidates, length, shard_bytes), "shards")
+        elsewhere = stored(merged(shards), "merged")
+        release(spark)
+        keys = shards.select("shard", F.posexplode("keys").alias("number", "key"))
+        here = shards.select("shard", F.explode(F.arrays_zip("texts", "starts", "stops")).alias("s")).select("shard", F.col("s.texts").cast("long").alias("number"), "s.starts", "s.stops")
+        spans = here.unionByName(elsewhere.select("shard", "number", F.col("window").alias("starts"), (F.col("window") + length).alias("stops")))
+        spans = spans.join(keys, ["shard", "number"]).groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops"))
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in cut(batches, "text"):
+                out = []
+                for key, body, starts, stops in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "starts", "stops")), strict=True):
+                    starts, stops = np.array(starts, np.int64), np.array(stops, np.int64)
+                    by = np.argsort(starts)
+                    starts, stops = _united(starts[by], stops[by])
+                    data = body.encode()
+                    kept = b"".join(data[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(data)], strict=True))
+                    out.append((key, len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), starts, stops))
+                types = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
+
+        done = candidates.select("key", "text").join(spans, "key").mapInArrow(finish, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
+        done = own.keep(stored(done.dropDuplicates(["key"]), "trimmed"))
     per_text = texts.select("key", "copies").join(done, "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     none = F.array().cast("array<bigint>")
