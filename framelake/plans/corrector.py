@@ -119,6 +119,16 @@ class LiveCorrector:
         self.proc = self.raw = self.flow = None
         self.recent, self.count = [], 0
 
+    def snapshot(self) -> dict:
+        """All state but the options, as plain values."""
+        return {k: v for k, v in vars(self).items() if k != "options"}
+
+    @classmethod
+    def resumed(cls, options: LiveOptions, state: dict) -> LiveCorrector:
+        out = cls(options)
+        vars(out).update(state)
+        return out
+
     def set_flow_init(self, flow: np.ndarray) -> None:
         self.flow = np.asarray(flow, float)
 

@@ -26,7 +26,8 @@ def register_stream(frames: DataFrame, options: LiveOptions, reference_after: in
     wanted = reference_after or options.buffer
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live, last, seen = pickle.loads(state.get[0]) if state.exists else (LiveCorrector(options), -1, 0)
+        kept, last, seen = pickle.loads(state.get[0]) if state.exists else ({}, -1, 0)
+        live = LiveCorrector.resumed(options, kept)
         rows = pd.concat(list(chunks)).sort_values("t")
         out = []
         for r in rows.itertuples():
@@ -38,7 +39,7 @@ def register_stream(frames: DataFrame, options: LiveOptions, reference_after: in
             if live.raw is None and seen >= wanted:
                 live.set_reference()
             out.append((key[0], r.t, registered.ravel().astype(float), flow[..., 0].ravel(), flow[..., 1].ravel()))
-        state.update((pickle.dumps((live, last, seen)),))
+        state.update((pickle.dumps((live.snapshot(), last, seen)),))
         yield pd.DataFrame(out, columns=["rec_id", "t", "data", "u", "v"])
 
     return frames.groupBy("rec_id").applyInPandasWithState(step, OUTPUT, "state binary", "append", GroupStateTimeout.NoTimeout)
