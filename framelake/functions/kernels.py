@@ -206,6 +206,39 @@ def resize_plain(stack: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     return stack
 
 
+def _lanczos(d: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(d) < 4, np.sinc(d) * np.sinc(d / 4), 0.0)
+
+
+KERNELS = {"linear": (1, lambda d: np.maximum(1 - np.abs(d), 0)), "cubic": (2, cubic), "lanczos": (4, _lanczos), "nearest": (1, None), "area": (1, None)}
+
+
+def sampling_matrix(n_in: int, n_out: int, kind: str) -> np.ndarray:
+    """Weights (n_out, n_in) of resampling at half-sample centres, edge values repeated; ``area`` averages the input that an output pixel covers."""
+    out, scale = np.zeros((n_out, n_in)), n_in / n_out
+    if kind == "area":
+        for k in range(n_out):
+            edges = np.clip(np.arange(n_in + 1), k * scale, (k + 1) * scale)
+            out[k] = np.diff(edges) / scale
+        return out
+    x = (np.arange(n_out) + 0.5) * scale - 0.5
+    if kind == "nearest":
+        out[np.arange(n_out), np.clip(np.floor(x + 0.5).astype(int), 0, n_in - 1)] = 1
+        return out
+    reach, kernel = KERNELS[kind]
+    taps = np.floor(x).astype(int)[:, None] + np.arange(1 - reach, reach + 1)
+    weights = kernel(x[:, None] - taps)
+    np.add.at(out, (np.arange(n_out)[:, None], np.clip(taps, 0, n_in - 1)), weights / weights.sum(1, keepdims=True))
+    return out
+
+
+def resample(stack: np.ndarray, size: tuple[int, int], kind: str = "linear") -> np.ndarray:
+    for axis in (1, 2):
+        matrix = sampling_matrix(stack.shape[axis], size[axis - 1], kind)
+        stack = np.moveaxis(np.moveaxis(stack, axis, -1) @ matrix.T, -1, axis)
+    return stack
+
+
 def depth_of(side: int, eta: float, levels: int) -> int:
     """Levels until the side rounds to under 10 pixels; the level that does so counts."""
     for k in range(1, levels + 1):

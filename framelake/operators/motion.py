@@ -101,16 +101,18 @@ def aligned(frames: DataFrame, flow: np.ndarray, reference: np.ndarray, method:
     return map_frames(frames, lambda s: K.warp(s, np.broadcast_to(flow[..., 0], s.shape[:3]), np.broadcast_to(flow[..., 1], s.shape[:3]), np.broadcast_to(reference, s.shape), method))
 
 
+def resampled(frames: DataFrame, size: tuple[int, int], kind: str = "linear") -> DataFrame:
+    """Resize by one of the plain kernels: nearest, linear, cubic, lanczos or area."""
+    return map_frames(frames, lambda s: K.resample(s, size, kind))
+
+
 def enlarged_warp(flows: DataFrame, scale: int = 4) -> DataFrame:
-    """Super-resolution preview: frames enlarged by cubic, flows by linear resampling, then warped linearly; outside is 0."""
+    """Super-resolution preview: frames enlarged by cubic and flows by linear resampling, then warped linearly; outside is 0."""
 
     def run(data, u, v):
         size = (data.shape[1] * scale, data.shape[2] * scale)
-        big = K.resize_plain(data, size)
-        y = np.clip((np.arange(size[0]) + 0.5) / scale - 0.5, 0, data.shape[1] - 1)
-        x = np.clip((np.arange(size[1]) + 0.5) / scale - 0.5, 0, data.shape[2] - 1)
-        grid = [np.broadcast_to(g, (len(data), *size)) for g in (x[None, None, :] - np.arange(size[1]), y[None, :, None] - np.arange(size[0])[:, None])]
-        large = [K.warp(np.pad(f[..., 0], ((0, 0), (0, size[0] - f.shape[1]), (0, size[1] - f.shape[2])), mode="edge"), *grid, np.zeros((len(f), *size)), "linear") * scale for f in (u, v)]
+        big = K.resample(data, size, "cubic")
+        large = [K.resample(f[..., 0], size, "linear") * scale for f in (u, v)]
         return {"warped": K.warp(big, *large, np.zeros_like(big), "linear")}
 
     return map_stacks(flows, run, {"warped": "array<double>"}, inputs=("data", "u", "v"))
@@ -238,3 +240,47 @@ def flow_colors(flows: DataFrame, max_flow: float | None = None) -> DataFrame:
         return {"rgb": np.where(unknown[..., None], 0, np.floor(color * 255))}
 
     return map_stacks(flows, run, {"rgb": "array<double>"}, inputs=("u", "v"))
+
+
+def multispectral(frames: DataFrame, axes: np.ndarray | None = None) -> DataFrame:
+    """Any number of bands as RGB in [0, 1]: one is grey, two are red and blue with their mean, three are taken as they are, more are projected on ``axes`` (bands, 3).
+
+    Every picture channel is scaled to its own range.
+    """
+
+    def run(s):
+        c = s.shape[-1]
+        x = s[..., [0, 0, 0]] if c == 1 else np.stack([s[..., 0], s.mean(-1), s[..., 1]], -1) if c == 2 else s if c == 3 else s @ axes
+        low, high = x.min((1, 2), keepdims=True), x.max((1, 2), keepdims=True)
+        return {"rgb": np.where(high > low, (x - low) / np.where(high > low, high - low, 1), 0)}
+
+    return map_stacks(frames, run, {"rgb": "array<double>"})
+
+
+def band_axes(frames: DataFrame) -> np.ndarray:
+    """The three main axes of the bands' covariance, over all pixels of all frames; the sign makes the largest weight positive.
+
+    Only sums of products travel: one row per task, bands x bands numbers.
+    """
+
+    def sums(s):
+        flat = s.reshape(len(s), -1, s.shape[-1])
+        n = np.full(len(s), float(flat.shape[1]))
+        return {"n": n, "one": flat.sum(1), "two": np.einsum("npa,npb->nab", flat, flat)}
+
+    rows = map_stacks(frames, sums, {"n": "double", "one": "array<double>", "two": "array<double>"}, keep=("c",))
+    spread = rows.select("c", "n", F.posexplode(F.concat("one", "two")).alias("i", "v"))
+    total = rows.agg(F.sum("n"), F.max("c")).first()
+    values = np.array([r["v"] for r in spread.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
+    n, c = total
+    mean, square = values[:c] / n, values[c:].reshape(c, c) / n
+    _, vectors = np.linalg.eigh(square - np.outer(mean, mean))
+    top = vectors[:, ::-1][:, :3]
+    return top * np.sign(top[np.abs(top).argmax(0), np.arange(top.shape[1])])
+
+
+def sampled_vectors(flows: DataFrame, step: int = 8) -> DataFrame:
+    """The flow at every ``step``-th pixel: rows (rec_id, t, y, x, u, v) for arrow plots."""
+    pairs = F.transform(F.arrays_zip("u", "v"), lambda p, i: F.struct(F.floor(i / F.col("w")).alias("y"), (i % F.col("w")).cast("long").alias("x"), p["u"].alias("u"), p["v"].alias("v")))
+    rows = flows.withColumn("p", F.explode(F.filter(pairs, lambda p: (p["y"] % step == 0) & (p["x"] % step == 0))))
+    return rows.select("rec_id", "t", "p.y", "p.x", "p.u", "p.v")

@@ -7,8 +7,6 @@ and frames are then numbered within it.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +16,8 @@ from ..functions import kernels as K
 from ..operators import frames as fr
 from ..operators import motion as mo
 from ..operators import sequence as sq
+from . import depth, registration
+from .options import DepthOptions
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -490,6 +490,21 @@ def resize_plain(spark, sf_dir):
     return out(mo.resized(gray(spark, sf_dir), (12, 12), anti_alias=False), width=12)
 
 
+def _resample(kind):
+    m = K.sampling_matrix(8, 5, kind)
+
+    @query(_resize_sql(m, 6))
+    def run(spark, sf_dir):
+        return out(mo.resampled(gray(spark, sf_dir), (5, 5), kind), width=5)
+
+    for d in (QUERIES, SQL):
+        d[f"resample_{kind}"] = d.pop("run")
+
+
+for _kind in ("nearest", "linear", "lanczos", "area"):
+    _resample(_kind)
+
+
 # -- warps and flows ---------------------------------------------------------
 
 _FLOAT = "f AS (SELECT t, y, x, val, (x + u)::FLOAT AS mx, (y + v)::FLOAT AS my FROM fl), q AS (SELECT *, mx < 0 OR mx >= 8 OR my < 0 OR my >= 8 AS oob, least(greatest(mx, 0), 7)::DOUBLE AS cx, least(greatest(my, 0), 7)::DOUBLE AS cy FROM f)"
@@ -653,7 +668,33 @@ def flow_to_color(spark, sf_dir):
     return out(wheel_out, "rgb", channels=3).select("t", "y", "x", "ch", F.round(F.col("val") / 4).alias("val"))
 
 
-@query("WITH RECURSIVE e AS (SELECT vec_id AS t, label, (SELECT avg(x)::DOUBLE FROM unnest(embedding) AS q(x)) AS m FROM embeddings) SELECT t // 20 AS step, round(avg(m), 6) + 0.0 AS mean FROM e GROUP BY 1")
+@query(f"WITH {PX}, {FLOW} SELECT t, y, x, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v FROM fl WHERE y % 4 = 0 AND x % 4 = 0")
+def sampled_vectors(spark, sf_dir):
+    rows = mo.sampled_vectors(with_flow(gray(spark, sf_dir)), 4)
+    return rows.select("t", "y", "x", rounded(F.col("u")).alias("u"), rounded(F.col("v")).alias("v"))
+
+
+@query()
+def multispectral(spark, sf_dir):
+    """Four bands, projected on their main axes."""
+    df = fr.frames(table(spark, sf_dir, "embeddings"), F.col("embedding"), 4, 4, 4, t="vec_id")
+    return mo.multispectral(df, mo.band_axes(df)).select("t", "rgb")
+
+
+@query()
+def super_resolution(spark, sf_dir):
+    return mo.enlarged_warp(with_flow(gray(spark, sf_dir)), 3).select("t", "warped")
+
+
+@query()
+def z_align(spark, sf_dir):
+    """The whole depth pipeline: smoothed gradients, anchor, patches, smoothed depth, correction."""
+    df = gray(spark, sf_dir)
+    options = DepthOptions(win_half=3, patch_size=4, overlap=0.5, spatial_sigma=0.5, temporal_sigma=0.5, smooth_spatial=1.0, smooth_temporal=0.5, output_dtype="float64")
+    return depth.depth_aligned(df.where(F.col("t") >= _SLICES).withColumn("t", F.col("t") - _SLICES), df.where(F.col("t") < _SLICES), options).select("rec_id", "t", "z", "corrected")
+
+
+@query("WITH e AS (SELECT vec_id AS t, label, (SELECT avg(x)::DOUBLE FROM unnest(embedding) AS q(x)) AS m FROM embeddings) SELECT t // 20 AS step, round(avg(m), 6) + 0.0 AS mean FROM e GROUP BY 1")
 def batch_brightness(spark, sf_dir):
     df = gray(spark, sf_dir)
     mean = F.aggregate("data", F.lit(0.0), lambda s, x: s + x) / F.size("data")
@@ -702,8 +743,6 @@ def flow_solve_redblack(spark, sf_dir):
     return _solve(spark, sf_dir, alpha=1.5, iterations=20, order="redblack")
 
 
-from . import registration  # noqa: E402
-
 QUERIES.update(registration.queries(gray, sessions))
 
 
@@ -711,5 +750,3 @@ def flagship(spark, sf_dir):
     """Batch motion correction of the embedding frames, with statistics per frame."""
     return QUERIES["compensate"](spark, sf_dir)
 
-
-assert math.isclose(sum(_G1), 1)
