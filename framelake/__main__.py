@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--config")
     parser.add_argument("--task-index", type=int, help="run only the recording with this number, in order of names")
     parser.add_argument("overrides", nargs="*")
-    args = parser.parse_args(argv)
+    args = parser.parse_intermixed_args(argv)
     from pyspark.sql import SparkSession
 
     from .operators import sequence as sq
