@@ -288,3 +288,23 @@ def deduplicate(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=
 def op6_minhash(spark, sf_dir):
     rows = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT r, array_to_string(w[k:k + 2], ' ') AS s FROM t, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(k) WHERE len(w) > 0
+), n AS (
+  SELECT r, count(*) AS n FROM g GROUP BY r
+), p AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), reach AS (
+  SELECT r AS x, r AS y FROM t UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y
+), c AS (
+  SELECT reach.x AS r, min(t.doc_id) AS component_id FROM reach JOIN t ON t.r = reach.y GROUP BY reach.x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM t LEFT JOIN n USING (r) JOIN c USING (r)
+"""

@@ -4,11 +4,11 @@ from .chunks import op4_chunks
 from .decontaminate import OP9_SQL, op9_decontamination
 from .html_text import op7_html
 from .licenses import op3_licenses
-from .minhash import op6_minhash
+from .minhash import OP6_SQL, op6_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .quality import op2_quality
 from .secret_scan import op5_secrets
-from .suffixes import op1_suffixes
+from .suffixes import OP1_SQL, op1_suffixes
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
-SQL = {"op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op1_suffixes": OP1_SQL, "op6_minhash": OP6_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -394,3 +394,24 @@ def repeats(docs: DataFrame, doc_id="doc_id", text="text", length=LENGTH, shard_
 def op1_suffixes(spark, sf_dir):
     rows = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, encode(coalesce(text, '')) AS raw, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), w AS (
+  SELECT r, k, md5(raw[k + 1:k + 400]) AS g FROM d, unnest(range(0, n - 399)) AS u(k) WHERE n >= 400
+), s AS (
+  SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS p FROM (SELECT r, k, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1
+), i AS (
+  SELECT r, k, sum(CASE WHEN p IS NULL OR k - p > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS run FROM s
+), e AS (
+  SELECT r, run, min(k) AS a, max(k) + 400 AS b FROM i GROUP BY r, run
+), g AS (
+  SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM e
+), k AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(d.x, 2 * last + 1)) AS kept
+  FROM (SELECT g.*, max(b) OVER (PARTITION BY r) AS last FROM g) JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
