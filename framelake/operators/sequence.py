@@ -53,9 +53,8 @@ def sliced(frames: DataFrame, start: int | None = None, stop: int | None = None,
 
 def selected(frames: DataFrame, indices: list[int]) -> DataFrame:
     """Frames by index; order and repeats are those of ``indices``, negative ones count from the end."""
-    spark = frames.sparkSession
-    wanted = spark.createDataFrame([(k, i) for k, i in enumerate(indices)], "k long, i long")
-    recordings = counted(frames).select("rec_id", "n_frames").join(wanted)
+    wanted = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(i).cast("long").alias("i")) for k, i in enumerate(indices)])
+    recordings = counted(frames).select("rec_id", "n_frames", F.inline(wanted))
     recordings = recordings.withColumn("t", F.when(F.col("i") < 0, F.col("i") + F.col("n_frames")).otherwise(F.col("i"))).select("rec_id", "k", "t")
     return frames.join(recordings, ["rec_id", "t"])
 
