@@ -48,7 +48,6 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_intermixed_args(argv)
     from pyspark.sql import SparkSession
 
-    from .operators import sequence as sq
     from .plans import depth, registration
     from .plans.options import DepthOptions, FlowOptions, SessionOptions
     from .sources.frames_io import read_frames
@@ -60,12 +59,9 @@ def main(argv: list[str] | None = None) -> None:
         frames = frames.where(frames["rec_id"] == names[args.task_index])
     if args.command == "compensate":
         flow = FlowOptions(**options)
-        wanted = frames.where(frames["t"].isin(flow.reference_frames))
-        references = sq.mean_frames(wanted if wanted.head(1) else frames)
-        registration.compensate(frames, references, flow).write.mode("overwrite").partitionBy("rec_id").parquet(args.output)
+        registration.compensate(frames, registration.references_of(frames, flow), flow).write.mode("overwrite").partitionBy("rec_id").parquet(args.output)
     elif args.command == "session":
-        for name, df in registration.session(frames, SessionOptions(**options)).items():
-            df.write.mode("overwrite").parquet(f"{args.output}/{name}")
+        registration.run_session(frames, args.output, SessionOptions(**options))
     else:
         depth.depth_aligned(frames, read_frames(spark, args.volume), DepthOptions(**options)).write.mode("overwrite").parquet(args.output)
 

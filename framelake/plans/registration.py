@@ -15,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import frames as fr
 from ..operators import motion as mo
 from ..operators import sequence as sq
-from .corrector import Corrector, LiveCorrector
+from .corrector import Corrector, LiveCorrector, preregistered
 from .options import FlowOptions, LiveOptions, SessionOptions
 
 RESULT = "rec_id string, t bigint, h int, w int, c int, data array<double>, u array<double>, v array<double>"
@@ -76,6 +77,46 @@ def _streamed(rows: DataFrame, size: int, start, step) -> DataFrame:
     return rows.select("rec_id", "t", "h", "w", "c", "data").mapInArrow(run, RESULT)
 
 
+def references_of(frames: DataFrame, options: FlowOptions, preregister: bool = True) -> DataFrame:
+    """One reference frame per recording, from its ``reference_frames``: registered to their own mean first, or just averaged.
+
+    Indices beyond the last frame count as the last one (with repeats). A task
+    holds the chosen frames of one recording, so their number bounds its memory.
+    """
+    counts = sq.counted(frames).select("rec_id", (F.col("n_frames") - 1).alias("last"))
+    wanted = counts.select("rec_id", F.explode(F.array(*[F.lit(i) for i in options.reference_frames])).alias("i"), "last")
+    wanted = wanted.groupBy("rec_id", F.least("i", "last").cast("long").alias("t")).agg(F.count("*").alias("times"))
+    chosen = frames.select("rec_id", "t", "h", "w", "c", "data").join(wanted, ["rec_id", "t"])
+    if not preregister:
+        return sq.mean_frames(chosen.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times"))))
+    rows = chosen.repartition("rec_id").sortWithinPartitions("rec_id", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, held = None, []
+
+        def finish():
+            frame = preregistered(np.stack(held), options)[None]
+            return _emit(rec, [0], frame, np.zeros((*frame.shape[:3], 2)))
+
+        for batch in batches:
+            for i, r in enumerate(batch.select(["rec_id", "h", "w", "c", "times"]).to_pylist()):
+                if r["rec_id"] != rec:
+                    if held:
+                        yield finish()
+                    rec, held = r["rec_id"], []
+                held += [np.array(batch.column("data")[i].values.to_numpy(zero_copy_only=False)).reshape(r["h"], r["w"], r["c"])] * r["times"]
+        if held:
+            yield finish()
+
+    return rows.select("rec_id", "h", "w", "c", "data", "times").mapInArrow(run, RESULT).select("rec_id", "h", "w", "c", "data")
+
+
+def observed(frames: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """The frames, and an observation of their number and last index that is filled as they are written."""
+    seen = Observation(name)
+    return frames.observe(seen, F.count(F.lit(1)).alias("frames"), F.max("t").alias("last")), seen
+
+
 def compensate(frames: DataFrame, references: DataFrame, options: FlowOptions, solver=None) -> DataFrame:
     """Registered frames and flows of every recording; ``references`` has one frame per recording."""
     return _streamed(_dealt(frames, references), options.buffer_size, lambda ref: Corrector(ref, options, solver), lambda s, stack: s.batch(stack))
@@ -107,7 +148,7 @@ def live(frames: DataFrame, references: DataFrame, options: LiveOptions) -> Data
     return _streamed(_dealt(frames, references), 64, lambda ref: LiveCorrector(options, ref), step)
 
 
-def session(frames: DataFrame, options: SessionOptions, flow: FlowOptions | None = None) -> dict[str, DataFrame]:
+def session(frames: DataFrame, options: SessionOptions, flow: FlowOptions | None = None, compensated: DataFrame | None = None) -> dict[str, DataFrame]:
     """Recordings registered to themselves, then to the middle one.
 
     compensated: registered frames and flows; averages: mean registered frame per
@@ -117,8 +158,8 @@ def session(frames: DataFrame, options: SessionOptions, flow: FlowOptions | None
     frames in the centre's frame.
     """
     flow = flow or FlowOptions(**options.flow_options)
-    head = sq.first_mean(frames, INITIAL_FRAMES)
-    compensated = compensate(frames, head, flow)
+    if compensated is None:
+        compensated = compensate(frames, sq.first_mean(frames, INITIAL_FRAMES), flow)
     averages = sq.mean_frames(compensated)
     names = frames.select("rec_id").distinct()
     center = averages.where(F.col("rec_id") == options.center) if options.center else averages.join(sq.center_recording(names), "rec_id")
@@ -155,6 +196,34 @@ def session(frames: DataFrame, options: SessionOptions, flow: FlowOptions | None
 INITIAL_FRAMES = 22
 
 
+def run_session(frames: DataFrame, path: str, options: SessionOptions, flow: FlowOptions | None = None) -> dict[str, DataFrame]:
+    """``session`` with its parts as Parquet under ``path``; with ``resume``, recordings whose status says done are not corrected again.
+
+    A recording's status is written after its frames, so what an interrupted run
+    left without a status is corrected anew and replaced.
+    """
+    spark = frames.sparkSession
+    flow = flow or FlowOptions(**options.flow_options)
+    status_path, frames_path = f"{path}/status", f"{path}/compensated"
+    done: set[str] = set()
+    if options.resume:
+        try:
+            done = {r["rec_id"] for r in spark.read.parquet(status_path).where("state = 'done'").select("rec_id").distinct().collect()}
+        except AnalysisException:
+            done = set()
+    left = frames.where(~F.col("rec_id").isin(list(done))) if done else frames
+    if left.head(1):
+        corrected = compensate(left, sq.first_mean(left, INITIAL_FRAMES), flow).withColumn("recording", F.col("rec_id"))
+        corrected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording").parquet(frames_path)
+        left.select("rec_id").distinct().withColumn("state", F.lit("done")).write.mode("append").parquet(status_path)
+    stored = spark.read.schema(RESULT).parquet(frames_path)
+    parts = session(frames, options, flow, stored)
+    for name, df in parts.items():
+        if name != "compensated":
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return {name: stored if name == "compensated" else spark.read.parquet(f"{path}/{name}") for name in parts}
+
+
 def queries(gray, sessions) -> dict:
     """Registered pipelines over the provided frames."""
     light = FlowOptions(alpha=1.5, iterations=15, buffer_size=100, weight=[1.0])

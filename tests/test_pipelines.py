@@ -116,6 +116,32 @@ def test_session_brings_recordings_together(spark):
     assert found["aligned"].count() == 9
 
 
+def test_session_resumes(spark, tmp_path):
+    recs = [frames_io.from_array(spark, np.stack([scene(dx + 0.1 * i, 0) for i in range(3)]), name) for name, dx in (("r0", 1.0), ("r1", 0.0))]
+    frames = recs[0].unionByName(recs[1]).drop("dtype")
+    options = SessionOptions(sigma_smooth=1.0, alpha_between=4.0, iterations_between=20)
+    first = reg.run_session(recs[0].drop("dtype"), str(tmp_path), options, OPTIONS)
+    assert first["compensated"].count() == 3
+    second = reg.run_session(frames, str(tmp_path), options, OPTIONS)
+    assert second["compensated"].groupBy("rec_id").count().count() == 2 and second["aligned"].count() == 6
+    assert sorted(r["rec_id"] for r in spark.read.parquet(f"{tmp_path}/status").collect()) == ["r0", "r1"]
+    again = reg.run_session(frames, str(tmp_path), options, OPTIONS)
+    assert again["session_mask"].count() == 1
+    assert spark.read.parquet(f"{tmp_path}/status").count() == 2
+
+
+def test_references_clip_indices_and_observe(spark, frames):
+    o = OPTIONS.model_copy(update={"reference_frames": [0, 1, 500]})
+    plain = {r["rec_id"]: np.array(r["data"]) for r in reg.references_of(frames, o, preregister=False).collect()}
+    expected = np.mean([scene(*SHIFTS[k]) for k in (0, 1, 8)], axis=0).ravel()
+    np.testing.assert_allclose(plain["a"], expected)
+    ready = {r["rec_id"]: np.array(r["data"]) for r in reg.references_of(frames, o).collect()}
+    assert ready.keys() == plain.keys() and np.isfinite(ready["a"]).all()
+    df, seen = reg.observed(frames)
+    df.collect()
+    assert seen.get["frames"] == 15 and seen.get["last"] == 8
+
+
 def test_mean_frames_refuses_infinite_values(spark):
     df = frames_io.from_array(spark, np.full((2, 3, 3, 1), np.inf)).drop("dtype")
     with pytest.raises(Exception, match="finite"):
