@@ -13,11 +13,12 @@ least ``min_run`` bytes are removed, so that a common short phrase is not.
 All boundaries of a batch are found at once: the rolling hash is a sum of
 shifted table values, which four doublings give for every byte.
 
-At scale: one scan leaves the digests, about 22 bytes per chunk; they are summed
-by digest with partial aggregation (a passage in a third of all documents is one
-row per task), only repeated digests travel back, by an equi-join that AQE
-splits where a digest is skewed, and what meets again per document is bounded by
-the document's own chunks.
+At scale: one scan leaves the digests, about 22 bytes per chunk. Their first
+halves are counted with partial aggregation (a passage in a third of all
+documents is one row per task); places of halves that occur once go no further
+than one equi-join, which AQE splits where a half is skewed; whole digests and
+first occurrences are made up among the rest, and what meets again per document
+is bounded by the document's own chunks.
 
 Edge cases: null and empty texts have no chunks; a text shorter than
 ``min_size`` is one chunk; rows with the same id and text count as one document,
@@ -35,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw, release, scratch, stored, texts_of
+from .common import cut, dropped, raw, release, scratch, stored, texts_of
 
-MIN_SIZE, MASK_BITS, MAX_SIZE, MIN_RUN = 16, 5, 256, 96
+MIN_SIZE, MASK_BITS, MAX_SIZE, MIN_RUN = 16, 5, 256, 72
 BATCH_BYTES = 4 << 20
 GEAR = np.random.default_rng(4).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -77,22 +78,27 @@ def boundaries(data: np.ndarray, offsets: np.ndarray, min_size=MIN_SIZE, mask_bi
     return out
 
 
-CHUNKED_SCHEMA = "doc_id bigint, text_hash bigint, ends array<int>, digests array<binary>"
+CHUNKED_SCHEMA = "doc_id bigint, text_hash bigint, ends array<int>, high array<bigint>, low array<bigint>"
 
 
 def chunked(docs: DataFrame, doc_id="doc_id", text="text", min_size=MIN_SIZE, mask_bits=MASK_BITS, max_size=MAX_SIZE) -> DataFrame:
-    """One row per document: the ends of its chunks and their digests."""
+    """One row per document: the ends of its chunks and the two halves of their digests."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, "text", BATCH_BYTES):
             data, offsets = raw(texts_of(batch.column("text")))
             whole, ends = data.tobytes(), boundaries(data, offsets, min_size, mask_bits, max_size)
-            digests = []
+            digests, counts = [], [0]
             for a, found in zip(offsets.tolist(), ends, strict=False):
-                starts = [a, *(a + e for e in found[:-1])]
-                digests.append([xxhash.xxh3_128_digest(whole[s : a + e]) for s, e in zip(starts, found, strict=bool(found))] if found else [])
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(ends, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "ends", "digests"])
+                start = a
+                for e in found:
+                    digests.append(xxhash.xxh3_128_digest(whole[start : a + e]))
+                    start = a + e
+                counts.append(len(digests))
+            halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+            borders = pa.array(counts, pa.int32())
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(ends, pa.list_(pa.int32())), *(pa.ListArray.from_arrays(borders, pa.array(halves[:, k])) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "ends", "high", "low"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(split, CHUNKED_SCHEMA)
 
@@ -100,12 +106,16 @@ def chunked(docs: DataFrame, doc_id="doc_id", text="text", min_size=MIN_SIZE, ma
 def chunk_repeats(docs: DataFrame, doc_id="doc_id", text="text", min_run=MIN_RUN, **sizes) -> DataFrame:
     """One row per document: doc_id, text_hash, n_bytes, n_chunks, n_repeats (chunks that occur earlier), starts and ends of what is removed."""
     rows = stored(chunked(docs, doc_id, text, **sizes), "chunks")
-    places = rows.select("doc_id", "text_hash", F.posexplode("digests").alias("k", "digest"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "k")
-    first = places.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    first = stored(first, "repeated-chunks")
+    many = rows.select(F.explode("high").alias("high")).groupBy("high").agg(F.count("*").alias("n")).where("n > 1").select("high")
+    many = stored(many, "repeated-halves")
+    release(docs.sparkSession)
+    places = rows.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("high", "low")).alias("k", "d")).select("doc_id", "text_hash", "k", "d.high", "d.low")
+    places = stored(places.join(many, "high"), "repeated-places")
+    dropped(many)
     release(docs.sparkSession)
-    later = places.join(first, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("k") == F.col("first.k"))))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "k")
+    first = places.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    later = places.join(first, ["high", "low"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("k") == F.col("first.k"))))
     later = later.groupBy(F.col("doc_id").alias("later_id"), F.col("text_hash").alias("later_hash")).agg(F.collect_set("k").alias("later"))
     same = F.col("doc_id").eqNullSafe(F.col("later_id")) & (F.col("text_hash") == F.col("later_hash"))
     joined = rows.select("doc_id", "text_hash", "ends").join(later, same, "left").drop("later_id", "later_hash")
