@@ -338,14 +338,18 @@ def repeats(docs: DataFrame, doc_id="doc_id", text="text", length=LENGTH, shard_
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs as arrays starts and stops."""
     spark = docs.sparkSession
     with scratch(spark) as own:
-        rows = own.keep(stored(scanned(docs, doc_id, text, length), "anchors"))
-        texts = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("hashes", "first", "last")))
-        texts = own.keep(stored(texts, "texts"))
+        found = stored(scanned(docs, doc_id, text, length), "anchors")
+        rows = own.keep(stored(found.select("doc_id", "key", "n_bytes"), "documents"))
+        texts = found.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("hashes", "first", "last")))
+        unique = stored(texts, "text-anchors")
+        texts = own.keep(stored(unique.select("key", "copies"), "texts"))
+        dropped(found)
         release(spark)
-        found = texts.select("key", "first_id", F.explode(F.arrays_zip("hashes", "first", "last")).alias("a")).select("key", "first_id", "a.*")
+        found = unique.select("key", "first_id", F.explode(F.arrays_zip("hashes", "first", "last")).alias("a")).select("key", "first_id", "a.*")
         many = found.groupBy("hashes").agg(F.count("*").alias("counts")).where("counts > 1")
         known = found.join(many, "hashes").groupBy("key", "first_id").agg(F.min("hashes").alias("least"), *(F.collect_list(c).alias(c) for c in ("hashes", "counts", "first", "last")))
         known = stored(known.withColumnRenamed("key", "known_key"), "repeated-anchors")
+        dropped(unique)
         release(spark)
 
         body = F.coalesce(F.col(text), F.lit(""))
