@@ -12,8 +12,9 @@ bands of 4 out of 96 positions a pair at similarity 0.8 meets in no bucket with
 probability 3e-6, at 0.85 with 2e-8.
 
 Linking without all pairs: what is asked for are components, so in every bucket
-all members are compared with one hub (the least class). After the components of
-these links are known, a bucket is finished if all its members are in one. In
+all members are compared with one hub (the least class): first every class with
+the least of its hubs, then only with those hubs that are not in its component
+yet. With these components known, a bucket is finished if all its members are in one. In
 the others only *stragglers*, members outside the bucket's largest component, are
 compared with members of other components: in buckets of at most ``SMALL``
 members as pairs, and only where the triangle inequality of the Jaccard distance
@@ -57,7 +58,7 @@ PERMUTATIONS = 48
 BAND_ROWS = 4
 BATCH_BYTES = 4 << 20
 SALT_SHINGLES = 200_000
-SMALL, BLOCK, SALT_MEMBERS = 32, 256, 1000
+SMALL, BLOCK, SALT_MEMBERS = 32, 512, 4000
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -242,11 +243,19 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         texts = stored(texts, "bucket-texts")
         release(spark)
 
-        pairs = members.where("class <> hub").select("hub", F.col("class").alias("member")).distinct()
-        first = stored(compared(pairs, texts, classes, width).distinct(), "compared")
+        # each member with the least of its hubs, then with the others that are not in its component yet
         linked = F.expr(f"100 * shared >= {percent} * united")
-        links = first.where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
-        roots = stored(components(links), "roots")
+        once = members.where("class <> hub").groupBy("class").agg(F.min("hub").alias("hub")).select("hub", F.col("class").alias("member"))
+        once = stored(compared(once, texts, classes, width).distinct(), "compared-once")
+        roots = stored(components(once.where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))), "roots-once")
+        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        pairs = members.where("class <> hub").select("hub", F.col("class").alias("member")).distinct().join(of("hub"), "hub", "left").join(of("member"), "member", "left")
+        pairs = pairs.where(F.coalesce("hub_root", "hub") != F.coalesce("member_root", "member")).select("hub", "member").join(once.select("hub", "member"), ["hub", "member"], "left_anti")
+        rest = stored(compared(pairs, texts, classes, width).distinct(), "compared-rest")
+        first = once.unionByName(rest)
+        links = rest.where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
+        if rest.where(linked).head(1):
+            roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), "roots")
 
         near = members.join(first.select("hub", F.col("member").alias("class"), (F.col("shared") / F.col("united")).alias("likeness")), ["hub", "class"], "left")
         near = near.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
@@ -257,7 +266,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         near = stored(near.join(largest, "bucket"), "open-buckets")
         small, large = near.where(F.col("members") <= SMALL), near.where(F.col("members") > SMALL)
         right = small.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "likeness", "root")))
-        apart = F.abs(F.col("likeness") - F.col("likeness_2")) <= 1 - percent / 100 + 1e-9
+        apart = F.coalesce(F.abs(F.col("likeness") - F.col("likeness_2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
         cross = small.where("root <> top").join(right, "bucket").where((F.col("root") != F.col("root_2")) & apart)
         cross = cross.select(F.least("class", "class_2").alias("hub"), F.greatest("class", "class_2").alias("member")).distinct()
         cross = cross.join(first.select("hub", "member"), ["hub", "member"], "left_anti")
