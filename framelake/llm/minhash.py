@@ -222,6 +222,23 @@ def block_links(stragglers: DataFrame, members: DataFrame, texts: DataFrame, wid
     return rows.mapInArrow(compare, "u binary, v binary")
 
 
+BITMAP_BITS = 1 << 23
+
+
+def marked(df: DataFrame, key, keys: DataFrame, own) -> DataFrame:
+    """df with __marked: true wherever its key is among those of ``keys``, and by chance for others.
+
+    A bitmap of 2 ** 23 bits in at most 131,072 rows (2 MB, whatever the number of
+    keys) is broadcast, so that rows that cannot meet a key need no shuffle; a join
+    decides on the rest.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(BITMAP_BITS))
+    bits = keys.select(place(own).alias("__place")).selectExpr("__place div 64 AS __word", "shiftleft(1L, cast(__place % 64 AS int)) AS __bit")
+    bitmap = bits.groupBy("__word").agg(F.expr("bit_or(__bit)").alias("__bits"))
+    rows = df.withColumn("__place", place(key)).withColumn("__word", F.expr("__place div 64")).join(F.broadcast(bitmap), "__word", "left")
+    return rows.withColumn("__marked", F.expr("coalesce(__bits & shiftleft(1L, cast(__place % 64 AS int)), 0L) <> 0")).drop("__place", "__word", "__bits")
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=80, permutations=PERMUTATIONS, band_rows=BAND_ROWS) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, class, component_id (the least id of its component) and kept.
 
@@ -239,6 +256,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
 
         wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
         source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        source = marked(source, F.col("doc_id"), wanted, F.col("doc_id")).where("__marked").select("doc_id", "text")
         texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
         texts = stored(texts, "bucket-texts")
         release(spark)
@@ -290,8 +308,10 @@ def deduplicate(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=
     with scratch(docs.sparkSession) as own:
         gone = near_duplicates(docs, doc_id, text, width, percent, permutations, band_rows).where("NOT kept")
         gone = own.keep(stored(gone.select(F.col("doc_id").alias("__dedup_id"), F.col("text_hash").alias("__dedup_hash")).distinct(), "duplicates"))
-    same = docs[doc_id].cast("long").eqNullSafe(gone["__dedup_id"]) & (F.xxhash64(docs[text]) == gone["__dedup_hash"])
-    return docs.join(gone, same, "left_anti")
+    rows = marked(docs, F.col(doc_id).cast("long"), gone, F.col("__dedup_id"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64(text) == F.col("__dedup_hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.where("NOT __marked").select(*columns).unionByName(rows.where("__marked").select(*columns).join(gone, same, "left_anti"))
 
 
 def op6_minhash(spark, sf_dir):
