@@ -564,7 +564,7 @@ _MASKS = f"WITH {PX} SELECT rec_id, y, x, CASE WHEN bool_and(val > -1.5) THEN 1.
 
 
 def _masks(spark, sf_dir):
-    return gray(spark, sf_dir, recordings=True).where("t % 8 = 0").withColumn("valid", F.transform("data", lambda x: x > -1.5))
+    return gray(spark, sf_dir, recordings=True).withColumn("valid", F.transform("data", lambda x: x > -1.5))
 
 
 @query(_MASKS)
@@ -574,7 +574,7 @@ def mask_temporal_and(spark, sf_dir):
 
 @query(f"WITH s AS ({_MASKS.replace('-1.5', '-2.5')}) SELECT y, x, min(val) AS val FROM s GROUP BY y, x")
 def mask_session_and(spark, sf_dir):
-    df = gray(spark, sf_dir, recordings=True).where("t % 8 = 0").withColumn("valid", F.transform("data", lambda x: x > -2.5))
+    df = gray(spark, sf_dir, recordings=True).withColumn("valid", F.transform("data", lambda x: x > -2.5))
     return out(mo.mask_and(mo.mask_and(df), ()), "valid", more=())
 
 

@@ -33,3 +33,14 @@ def test_gives_finite_rows(spark, name):
     rows = catalogue.QUERIES[name](spark, DIR).toPandas()
     assert len(rows) > 0
     assert not rows.select_dtypes("number").isna().any().any()
+
+
+def test_masks_take_every_frame(spark, tmp_path):
+    """A pixel that is invalid in one frame with t % 8 <> 0 only."""
+    frame = [[0.0] * 64 for _ in range(9)]
+    frame[3][10] = -3.0
+    rows = [(t, x, 0) for t, x in enumerate(frame)] + [(9, [0.0] * 64, 1), (16, [0.0] * 64, 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    apart = catalogue.QUERIES["mask_temporal_and"](spark, str(tmp_path)).where("val = 0").collect()
+    assert [(r["rec_id"], r["y"], r["x"]) for r in apart] == [("0", 1, 2)]
+    assert [(r["y"], r["x"]) for r in catalogue.QUERIES["mask_session_and"](spark, str(tmp_path)).where("val = 0").collect()] == [(1, 2)]
