@@ -7,8 +7,9 @@ bytes. A chunk ends where the top ``mask_bits`` bits are zero, at least
 (then at the last border). Boundaries depend on the bytes just before them, so
 an insertion moves only the chunks around it. Chunks are deduplicated by a
 128-bit digest over the whole corpus: the first occurrence (least doc_id, then
-text hash, then place) stays, and later ones are repeats; runs of repeats of at
-least ``min_run`` bytes are removed, so that a common short phrase is not.
+text hash, then place) stays, and every later one is a repeat and is removed.
+``min_run`` can spare runs of repeats with fewer bytes (0: none is spared); a run
+that covers its whole document is removed at any length.
 
 All boundaries of a batch are found at once: the rolling hash is a sum of
 shifted table values, which four doublings give for every byte.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, dropped, raw, release, scratch, stored, texts_of
 
-MIN_SIZE, MASK_BITS, MAX_SIZE, MIN_RUN = 16, 5, 256, 72
+MIN_SIZE, MASK_BITS, MAX_SIZE, MIN_RUN = 16, 5, 256, 0
 BATCH_BYTES = 4 << 20
 GEAR = np.random.default_rng(4).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -130,7 +131,7 @@ def chunk_repeats(docs: DataFrame, doc_id="doc_id", text="text", min_run=MIN_RUN
                         found[-1][1] = ends[k]
                     else:
                         found.append([starts[k], ends[k]])
-                found = [x for x in found if x[1] - x[0] >= min_run]
+                found = [x for x in found if x[1] - x[0] >= min_run or x == [0, ends[-1]]]
                 out.append((i, h, ends[-1] if ends else 0, len(ends), len(later or ()), [a for a, _ in found], [b for _, b in found]))
             types = (*[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()))
             columns = list(zip(*out, strict=True)) or [[]] * 7

@@ -275,6 +275,16 @@ def test_chunks_resist_insertions_and_keep_first_occurrences(spark, documents, c
         assert (trimmed[i] or "").encode() == kept
 
 
+def test_short_repeats_are_removed(spark, documents):
+    line = "this line of prose is met in both texts"
+    texts = ["Die tz.", "Die tz.", f"{line}", f"{line}", "no repeat of anything here"]
+    docs = documents(rows_of(texts))
+    assert [r["text"] for r in chunks.without_repeats(docs).orderBy("doc_id").collect()] == ["Die tz.", "", line, "", texts[4]]
+    assert [r["text"] for r in chunks.without_repeats(docs, min_run=1000).orderBy("doc_id").collect()] == ["Die tz.", "", line, "", texts[4]]
+    found = chunks.chunk_repeats(documents(rows_of([f"{line} {k} {line}" for k in range(9)]))).collect()
+    assert all(r["n_repeats"] == 0 or r["starts"] for r in found) and any(r["starts"] and r["ends"][-1] - r["starts"][0] < r["n_bytes"] for r in found)
+
+
 def test_tokeniser_and_batches():
     words = common.Words(common.texts_of(pa.array([" a b\n", None, "", "b é\x0bc"])))
     assert [[words.vocabulary[c] for c in words.codes[a:b]] for a, b in zip(words.offsets, words.offsets[1:], strict=False)] == [[b"a", b"b"], [], [], ["b".encode(), "é".encode(), b"c"]]
