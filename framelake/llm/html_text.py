@@ -4,7 +4,8 @@ Markup is turned into lines (one per block element) with the text length of
 each; sums over a sliding window of lines make the distribution, whose surge and
 dive points bound the main text. Lines that the markup itself declares to be no
 article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments: by element, role, class or id) count as empty, as does everything
+comments: by element, role, class or id; inside an article only by whole words of
+class or id, headings never) count as empty, as does everything
 outside an ``<article>`` or ``<main>`` where a page has one. Where a page says
 so, the surge is the first line with text and the dive the last, so that short
 first and last paragraphs stay; else a window has to reach ``threshold``
@@ -54,20 +55,24 @@ NAMES = (
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_LABEL = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[A-Za-z]+")
+_HEADINGS = frozenset(("header", "hgroup", "h1", "h2", "h3", "h4", "h5", "h6"))
 _RAW, _BOILERPLATE, _BLOCKS, _VOID, _NAMES, _ROLES = map(frozenset, (RAW, BOILERPLATE, BLOCKS, VOID, NAMES, ROLES))
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
-def _told(attributes: str) -> bool:
-    """Whether role, class or id say that an element is no article text."""
-    for m in _LABEL.finditer(attributes):
+def _told(name: str, attributes: str, inside: bool) -> bool:
+    """Whether role, class or id say that an element is no article text; inside an article only whole words of class and id do, and never of a heading."""
+    element = name
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and any(p in _NAMES for word in value.split() for p in _PART.findall(word)):
-            return True
+        if name in ("class", "id") and not (inside and element in _HEADINGS):
+            words = value.split()
+            if any(w in _NAMES and w != "header" for w in words) if inside else any(p in _NAMES for w in words for p in _PART.findall(w)):
+                return True
     return False
 
 
@@ -118,7 +123,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name in ("article", "main"):
             marked = marked or opens
             depth = depth + 1 if opens else max(0, depth - 1)
-        elif opens and name not in _VOID and name != "body" and name != "html" and (name in _BOILERPLATE or name == "header" and not depth or _told(m[3])):
+        elif opens and name not in _VOID and name != "body" and name != "html" and (name in _BOILERPLATE or name == "header" and not depth or _told(name, m[3], depth > 0)):
             end_line()
             stop = _closes(page, name, at)
             if stop < 0:

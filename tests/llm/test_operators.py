@@ -224,6 +224,16 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'href="/hidden-gems"', 'title="the hidden text"', 'data-state="hidden"', 'id="related-work"', 'class="article-header"', 'class="header"', 'data-x=a title="class=ad"'])
+def test_main_text_keeps_elements_that_only_mention_a_name(attributes):
+    assert html_text.main_text(f"<article><h1 class=header>T</h1><div {attributes}><p>one</p></div><p>two</p></article>") == "T\none\ntwo"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', 'title="x" hidden', 'aria-hidden="true"', "class='x related'", "id=comments", 'role="search"'])
+def test_main_text_drops_declared_elements(attributes):
+    assert html_text.main_text(f"<article><div {attributes}><p>one</p></div><p>two</p></article>") == "two"
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>", "extra"), (1, None, None, "e"), (None, "v", "", "e")], "page_id bigint, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "x", 1)]
