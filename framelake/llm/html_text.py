@@ -9,9 +9,9 @@ class or id, headings never) count as empty, as does everything
 outside an ``<article>`` or ``<main>`` where a page has one. Where a page says
 so, the surge is the first line with text and the dive the last, so that short
 first and last paragraphs stay; else a window has to reach ``threshold``
-characters, lines that are mostly links count as empty, and of several stretches
-the longest text wins, without the labels (lines under ``LABEL`` characters that end
-no sentence) at its ends.
+characters for a surge, to which lines that are mostly links add nothing, and all
+lines from the first surge to the last dive are the text, without the labels (lines
+under ``LABEL`` characters that end no sentence) at its ends.
 
 At scale: a map over Arrow batches; nothing is shuffled or collected.
 
@@ -173,15 +173,14 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     found = stretches(sizes, window, threshold)
     if not found:
         return ""
-    if marked:
-        found = [(found[0][0], found[-1][1])]
-    start, stop = max(found, key=lambda x: (sum(sizes[x[0] : x[1]]), -x[0]))
+    start, stop = found[0][0], found[-1][1]
     if not marked:  # a window reaches over its neighbours: labels next to the text are not part of it
         label = lambda k: not sizes[k] or sizes[k] < LABEL and lines[k][0][-1] not in ".!?:;\"'"
         while start < stop - 1 and label(start):
             start += 1
         while start < stop - 1 and label(stop - 1):
             stop -= 1
+        kept = [True] * len(lines)
     return "\n".join(lines[k][0] for k in range(start, stop) if kept[k])
 
 

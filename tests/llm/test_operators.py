@@ -234,6 +234,14 @@ def test_main_text_drops_declared_elements(attributes):
     assert html_text.main_text(f"<article><div {attributes}><p>one</p></div><p>two</p></article>") == "two"
 
 
+def test_main_text_of_an_unmarked_page_is_not_cut_between_stretches():
+    lines = [c * n for c, n in zip("abcdefgh", (500, 400, 20, 20, 20, 20, 300, 300), strict=True)]
+    link = "<a href=x>a line inside the text that is a link</a>"
+    body = [*lines[:4], link, *lines[4:]]
+    page = "<div>menu</div>" + "".join(f"<p>{x}</p>" for x in body) + "<div><a href=y>a link after the text that goes on</a></div>"
+    assert html_text.main_text(page).split("\n") == [*lines[:4], "a line inside the text that is a link", *lines[4:]]
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>", "extra"), (1, None, None, "e"), (None, "v", "", "e")], "page_id bigint, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "x", 1)]
