@@ -2,20 +2,23 @@
 
 Text is normalised (A-Z lower-cased, every ASCII byte that is no letter or digit
 a space) and compared with each template by the Dice coefficient of the two
-multisets of word bigrams. Compared are, of every document, each line, each
-paragraph (between blank lines) and the whole text; where several overlap the
-best counts.
-
-Pruning is exact. A unit of n bigrams can reach the threshold t only with
-templates of m bigrams where n * t / (2 - t) <= m <= n * (2 - t) / t, and only if
-at least n * t / (2 - t) of its bigrams, so of its words, occur in templates at
-all. The second bound is taken on whole Arrow batches and leaves almost no unit
+multisets of word bigrams. Compared is, of every document, every window of
+consecutive lines, so each line, each paragraph, the whole text and a text of
+several paragraphs inside a longer one; where several windows overlap the best
+counts.
+
+Pruning is exact. A window of n bigrams can reach the threshold t with a template
+of m bigrams only where m * t / (2 - t) <= n <= m * (2 - t) / t, and only if at
+least m * t / (2 - t) of its bigrams occur in the template. A first or last line
+that adds no common bigram lowers the coefficient, so windows with one are left
+aside. Bigrams are looked up on whole Arrow batches, which leaves almost no text
 to look at one by one.
 
-At scale: a map; templates are constants of a few kilobytes.
+At scale: a map; templates are constants of about a megabyte.
 
-Edge cases: null and empty texts have no units; units of one word have no
-bigrams and match nothing; ties go to the template first in order of its name;
+Edge cases: null and empty texts have no windows; windows of one word have
+no bigrams and match nothing; ties go to the shorter window, then the earlier, then the
+template first in order of its name;
 repeated documents are scanned row by row; extra columns are ignored.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +61,10 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"].replace(" THIS SOFTWARE IS", " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS", 1)
+TEMPLATES["AGPL-3.0-header"] = TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Affero General")
+TEMPLATES["LGPL-3.0-header"] = TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Lesser General")
+TEMPLATES |= {f"{p.stem}-text": p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -73,66 +81,101 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Templates:
-    """Templates in order of their number of bigrams, with the words that any of them has."""
+    """The bigrams of templates in order of their names: ``keys`` has the numbers of all, ``counts`` how often each template has each (the last: any other)."""
 
     def __init__(self, texts: dict[str, str], threshold: float):
         self.threshold = threshold
-        self.items = sorted((len(w) - 1, name, bigrams(w)) for name, text in texts.items() if len(w := words_of(text)) > 1)
-        self.sizes = np.array([n for n, _, _ in self.items])
-        self.words = {w for text in texts.values() for w in words_of(text)}
-
-    def best(self, words: list[bytes]) -> tuple[float, str] | None:
-        """(score, name) of the best template at or over the threshold."""
-        n, t = len(words) - 1, self.threshold
-        if n < 1:
-            return None
-        lo, hi = np.searchsorted(self.sizes, n * t / (2 - t) - 1e-9), np.searchsorted(self.sizes, n * (2 - t) / t + 1e-9, side="right")
-        if lo >= hi:
-            return None
-        own = bigrams(words)
-        score, name = min((-dice(own, b), name) for _, name, b in self.items[lo:hi])
-        return (-score, name) if -score >= t else None
-
-    def units(self, column: pa.StringArray) -> tuple[np.ndarray, Words]:
-        """The numbers of the texts that have enough known words to match anything, and all words."""
-        words = Words(translated(column, NORMAL))
-        known = np.array([w in self.words for w in words.vocabulary], bool)[words.codes] if words.vocabulary else np.zeros(0, bool)
-        total = np.concatenate([[0], np.cumsum(known)])
-        n = words.counts()
-        return np.flatnonzero((n > 1) & (total[words.offsets[1:]] - total[words.offsets[:-1]] >= (n - 1) * self.threshold / (2 - self.threshold) - 1e-9)), words
+        found = {name: w for name, text in sorted(texts.items()) if len(w := words_of(text)) > 1}
+        self.names, self.sizes = list(found), [len(w) - 1 for w in found.values()]
+        self.words = {w: k for k, w in enumerate(sorted({w for x in found.values() for w in x}))}
+        numbers = [self.numbers(np.array([self.words[w] for w in x])) for x in found.values()]
+        self.keys = np.unique(np.concatenate([np.zeros(0, np.int64), *numbers]))
+        self.counts = [np.bincount(np.searchsorted(self.keys, x), minlength=len(self.keys) + 1) for x in numbers]
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The number of each bigram of known words, -1 for others."""
+        a, b = words[:-1].astype(np.int64), words[1:].astype(np.int64)
+        return np.where((a >= 0) & (b >= 0), a * len(self.words) + b, -1)
+
+    def grams(self, words: Words) -> np.ndarray:
+        """For each word the place in ``keys`` of the bigram that it begins, or the number of keys."""
+        out = np.full(len(words.codes), len(self.keys))
+        if len(out) > 1 and len(self.keys):
+            known = np.array([self.words.get(w, -1) for w in words.vocabulary])[words.codes]
+            numbers = self.numbers(known)
+            at = np.minimum(np.searchsorted(self.keys, numbers), len(self.keys) - 1)
+            out[:-1] = np.where(self.keys[at] == numbers, at, len(self.keys))
+        return out
+
+    def windows(self, t: int, grams: np.ndarray, lines: np.ndarray) -> list[tuple[float, int, int]]:
+        """(score, first line, last line) of the windows of a text that reach the threshold with template t; ``lines`` has the word at which each line begins, and the number of words."""
+        m, counts, least = self.sizes[t], self.counts[t], self.sizes[t] * self.threshold / (2 - self.threshold) - 1e-9
+        most = int(m * (2 - self.threshold) / self.threshold + 1e-9)
+        good = counts[grams] > 0
+        good[-1:] = False
+        total = np.concatenate([[0], np.cumsum(good)])
+        places = np.flatnonzero(good)
+        owner = lambda at: np.searchsorted(lines, at, side="right") - 1
+        starts, stops = np.unique(owner(places)), np.unique(owner(places + 1))
+        starts = starts[total[np.minimum(lines[starts] + most, len(grams))] - total[lines[starts]] >= least]
+        rank = np.zeros(len(grams), np.int64)
+        order = places[np.argsort(grams[places], kind="stable")]
+        first = np.concatenate([[True], np.diff(grams[order]) > 0])[: len(order)]
+        rank[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        before, at, out = np.zeros(len(counts), np.int64), 0, []
+        for i in starts.tolist():
+            s = int(lines[i])
+            passed = places[np.searchsorted(places, at) : np.searchsorted(places, s)]
+            np.add.at(before, grams[passed], 1)
+            at = s
+            own = grams[s : s + most]
+            shared = np.concatenate([[0], np.cumsum(good[s : s + most] & (rank[s : s + most] - before[own] < counts[own]))])
+            ends = stops[np.searchsorted(stops, i) :]
+            n = lines[ends + 1] - s - 1
+            ends, n = ends[(n >= least) & (n <= most)], n[(n >= least) & (n <= most)]
+            scores = 2 * shared[n] / (n + m)
+            reached = scores >= self.threshold
+            out += zip(scores[reached].tolist(), [i] * int(reached.sum()), ends[reached].tolist())
+        return out
 
 
 def found_in(column: pa.Array, templates: Templates) -> list[list[tuple[int, int, str, float]]]:
-    """Per text: (start, end, template, score) in code points, best first where units overlap, by start."""
+    """Per text: (start, end, template, score) in code points, best first where windows overlap, by start."""
     texts = texts_of(column)
     out: list[list] = [[] for _ in range(len(texts))]
-    for mark in ("\n", "\n\n", None):
-        pieces = pc.split_pattern(texts, mark) if mark else None
-        flat = pieces.values if mark else texts
-        ends = pieces.offsets.to_numpy() if mark else np.arange(len(texts) + 1)
-        numbers, words = templates.units(texts_of(flat))
-        for k in numbers.tolist():
-            own = [words.vocabulary[c] for c in words.codes[words.offsets[k] : words.offsets[k + 1]]]
-            if hit := templates.best(own):
-                d = int(np.searchsorted(ends, k, side="right")) - 1
-                before = [flat[j].as_py() for j in range(int(ends[d]), k)]
-                at = sum(map(len, before)) + len(mark or "") * len(before)
-                out[d].append((at, at + len(flat[k].as_py()), hit[1], hit[0]))
-    chosen = []
-    for hits in out:
-        kept: list[tuple] = []
-        for x in sorted(set(hits), key=lambda x: (-x[3], x[1] - x[0], x[0])):
-            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
-                kept.append(x)
-        chosen.append(sorted(kept))
-    return chosen
+    pieces = pc.split_pattern(texts, "\n")
+    flat, ends = pieces.values, pieces.offsets.to_numpy()
+    words = Words(translated(texts_of(flat), NORMAL))
+    grams, begins = templates.grams(words), words.offsets[ends]
+    grams[begins[1:][begins[1:] > begins[:-1]] - 1] = len(templates.keys)  # a bigram ends with its text
+    known = np.flatnonzero(grams < len(templates.keys))
+    owner = np.searchsorted(begins, known, side="right") - 1
+    found: dict[int, list] = {}
+    for t, (m, counts) in enumerate(zip(templates.sizes, templates.counts, strict=True)):
+        n = np.bincount(owner[counts[grams[known]] > 0], minlength=len(texts))
+        for d in np.flatnonzero(n >= max(1, m * templates.threshold / (2 - templates.threshold) - 1e-9)).tolist():
+            lines = words.offsets[ends[d] : ends[d + 1] + 1] - begins[d]
+            if hits := templates.windows(t, grams[begins[d] : begins[d + 1]], lines):
+                found.setdefault(d, []).extend((*x, t) for x in hits)
+    for d, hits in found.items():
+        sizes = pc.utf8_length(flat.slice(ends[d], ends[d + 1] - ends[d])).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum(sizes + 1)])
+        score, i, j, t = map(np.array, zip(*hits, strict=True))
+        a, b = start[i], start[j] + sizes[j]
+        order = np.lexsort((t, a, b - a, -score))
+        while len(order):
+            k = order[0]
+            out[d].append((int(a[k]), int(b[k]), templates.names[t[k]], float(score[k])))
+            order = order[(j[order] < i[k]) | (i[order] > j[k])]
+        out[d].sort()
+    return out
 
 
 SCHEMA = "doc_id bigint, license string, score double, n_licenses bigint, spans string"
 
 
 def license_scan(docs: DataFrame, doc_id="doc_id", text="text", templates: dict[str, str] | None = None, threshold=THRESHOLD) -> DataFrame:
-    """One row per document: its best license (null if none) and score, how many units match, and all as name:start:end."""
+    """One row per document: its best license (null if none) and score, how many windows match, and all as name:start:end."""
     known = Templates(TEMPLATES if templates is None else templates, threshold)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

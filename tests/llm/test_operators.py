@@ -260,6 +260,33 @@ def test_licenses_equal_comparing_everything(spark, documents):
     assert found[10]["spans"] == "MIT-notice:6:37" and found[12]["license"] == "MIT"
 
 
+def test_licenses_of_several_paragraphs_inside_a_text():
+    pick = random.Random(8)
+    body = lambda: "\n\n".join(" ".join("".join(pick.choice("etaoinshrdlu") for _ in range(6)) for _ in range(60)) for _ in range(6))
+    mit = licenses.TEMPLATES["MIT"].replace(": The above", ":\n\nThe above").replace(". THE SOFTWARE", ".\n\nTHE SOFTWARE")
+    bsd = licenses.TEMPLATES["BSD-3-Clause"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n2. ").replace(" 3. ", "\n3. ").replace(" THIS", "\n\nTHIS")
+    gpl = licenses.TEMPLATES["GPL-2.0-text"]
+    texts = [f"{body()}\n\n{mit}\n\n{body()}", f"{bsd}\n{body()}\n\n{mit}", f"{body()}\n{gpl}\n{body()}", body()]
+    found = licenses.found_in(pa.array(texts), licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD))
+    assert [[x[2] for x in f] for f in found] == [["MIT"], ["BSD-3-Clause", "MIT"], ["GPL-2.0-text"], []]
+    assert texts[0][found[0][0][0] : found[0][0][1]] == mit and found[0][0][3] == 1.0
+
+
+def test_license_windows_equal_trying_all():
+    pick = random.Random(9)
+    known = licenses.Templates({"x": "a b c a b d a b", "y": "b c d e f"}, 0.6)
+    grams = {n: licenses.bigrams(licenses.words_of(t)) for n, t in (("x", "a b c a b d a b"), ("y", "b c d e f"))}
+    for _ in range(300):
+        lines = [" ".join(pick.choice("abcdefz") for _ in range(pick.randint(0, 4))) for _ in range(pick.randint(1, 9))]
+        start = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+        spans = [(-licenses.dice(licenses.bigrams(licenses.words_of(" ".join(lines[i : j + 1]))), g), start[j] + len(lines[j]) - start[i], start[i], n) for i in range(len(lines)) for j in range(i, len(lines)) for n, g in grams.items()]
+        expected = []
+        for s, size, a, n in sorted(x for x in spans if -x[0] >= 0.6):
+            if all(a + size <= y[0] or y[1] <= a for y in expected):
+                expected.append((a, a + size, n, -s))
+        assert licenses.found_in(pa.array(["\n".join(lines)]), known)[0] == sorted(expected)
+
+
 def test_chunk_boundaries_equal_the_rolling_loop():
     r = np.random.default_rng(6)
     data = np.frombuffer("".join(chr(int(c)) for c in r.integers(32, 600, 6000)).encode(), np.uint8)
