@@ -24,16 +24,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 80 % of their five-word shingles, the one with the least id."""
+    """Of each group of documents that share 80 % of their five-word shingles, one with the least id."""
     return minhash.deduplicate(docs, width=SHINGLE, percent=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten words of a benchmark item (or a whole shorter item)."""
-    with scratch(spark) as own:
-        found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-        hit = own.keep(stored(found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__hit_id")).distinct(), "contaminated"))
-    return docs.join(hit, docs["doc_id"] == hit["__hit_id"], "left_anti")
+    docs_hash = F.xxhash64(docs["text"])
+    with scratch(spark) as own:  # by the text alone, which is all that decides: ids can be null or repeated
+        found = decontaminate.contamination(docs.select(docs_hash.alias("text_hash"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="text_hash")
+        hit = own.keep(stored(found.where("contaminated").select(F.col("doc_id").alias("__hit_hash")).distinct(), "contaminated"))
+    return docs.join(hit, docs_hash == hit["__hit_hash"], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

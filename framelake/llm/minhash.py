@@ -240,15 +240,16 @@ def marked(df: DataFrame, key, keys: DataFrame, own) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=80, permutations=PERMUTATIONS, band_rows=BAND_ROWS) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, class, component_id (the least id of its component) and kept.
+    """One row per document: doc_id, text_hash, n_shingles, class, component_id (the least id of its component), kept (has that id), copied (its class has several rows) and chosen (of the kept ones those with the least text hash).
 
     Linked are documents with 100 x shared >= percent x united shingles.
     """
     spark = docs.sparkSession
     with scratch(spark) as own:
         rows = own.keep(stored(signed(docs, doc_id, text, width, permutations, band_rows), "signed"))
-        classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-        classes = stored(classes, "classes")
+        least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least_row")
+        classes = rows.where("class IS NOT NULL").groupBy("class").agg(least_row, F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        classes = stored(classes.select("class", "least_row.doc_id", "least_row.text_hash", "n_rows", "n_shingles", "bands"), "classes")
         keys = classes.select("class", F.explode("bands").alias("bucket"))
         shared_keys = keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
         members = stored(keys.join(shared_keys, "bucket"), "buckets")
@@ -295,23 +296,34 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         dropped(members, texts, near)
         release(spark)
 
-        named = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = own.keep(stored(named.join(least, "root").select("class", "component_id"), "components"))
+        named = classes.select("class", "doc_id", "text_hash", "n_rows").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "class")).alias("least"))
+        named = named.join(least, "root").select("class", F.col("least.doc_id").alias("component_id"), F.when(F.col("class") == F.col("least.class"), F.col("least.text_hash")).alias("least_hash"), (F.col("n_rows") > 1).alias("copied"))
+        named = own.keep(stored(named, "components"))
     out = rows.select("doc_id", "text_hash", "class", "n_shingles").join(named, "class", "left")
     out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = F.col("class").isNull() | F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("least_hash")), F.lit(False))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("chosen", chosen).drop("least_hash")
 
 
 def deduplicate(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=80, permutations=PERMUTATIONS, band_rows=BAND_ROWS) -> DataFrame:
-    """The rows of docs that are kept, unchanged: of each component the document with the least id."""
+    """The rows of docs that are kept, unchanged: of each component one row with the least id (then the least text hash, then the least row as JSON)."""
+    pair = [F.col("doc_id").alias("__dedup_id"), F.col("text_hash").alias("__dedup_hash")]
     with scratch(docs.sparkSession) as own:
-        gone = near_duplicates(docs, doc_id, text, width, percent, permutations, band_rows).where("NOT kept")
-        gone = own.keep(stored(gone.select(F.col("doc_id").alias("__dedup_id"), F.col("text_hash").alias("__dedup_hash")).distinct(), "duplicates"))
-    rows = marked(docs, F.col(doc_id).cast("long"), gone, F.col("__dedup_id"))
+        found = near_duplicates(docs, doc_id, text, width, percent, permutations, band_rows)
+        gone = own.keep(stored(found.where("NOT chosen").select(*pair).distinct(), "duplicates"))
+        again = found.where("chosen AND copied").select(*pair).groupBy("__dedup_id", "__dedup_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        again = own.keep(stored(again, "repeated-rows"))
+    looked = gone.unionByName(again)
+    rows = marked(docs, F.col(doc_id).cast("long"), looked, F.col("__dedup_id"))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64(text) == F.col("__dedup_hash"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.where("NOT __marked").select(*columns).unionByName(rows.where("__marked").select(*columns).join(gone, same, "left_anti"))
+    out = rows.where("NOT __marked").select(*columns).unionByName(rows.where("__marked").select(*columns).join(looked, same, "left_anti"))
+    if again.head(1):
+        one = F.struct(*columns)
+        repeated = rows.where("__marked").select(*columns).join(again, same)
+        out = out.unionByName(repeated.groupBy("__dedup_id", "__dedup_hash").agg(F.min_by(one, F.to_json(one)).alias("__one")).select("__one.*"))
+    return out
 
 
 def op6_minhash(spark, sf_dir):

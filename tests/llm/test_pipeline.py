@@ -84,3 +84,19 @@ def test_equals_sql(spark, name):
 def test_every_operator_has_its_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_null_and_repeated_ids(spark, documents, tmp_path):
+    bad = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, bad)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    row = lambda i, t, source="s": (i, t, "en", source, len(t or ""))
+    docs = documents([row(None, bad), row(None, "clean text"), row(1, bad), row(1, "also clean"), row(1, None)])
+    assert sorted(str(r["text"]) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == ["None", "also clean", "clean text"]
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words, "end"]), " ".join(words[::-1])
+    docs = documents([row(None, other), row(None, other), row(5, text, "b"), row(5, text, "a"), row(5, near), row(None, near), row(9, text), row(5, "a b c d e f"), row(None, ""), row(None, "")])
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert len(kept) == 5 and sum(r["text"] in (text, near) for r in kept) == 1
+    assert sorted(r["text"] for r in kept if r["text"] not in (text, near)) == ["", "", "a b c d e f", other]
+    exact = corpus_pipeline.near_dedup(spark, documents([row(5, text, "b"), row(5, text, "a"), row(9, text)]), str(tmp_path)).collect()
+    assert [(r["doc_id"], r["source"]) for r in exact] == [(5, "a")]
