@@ -97,13 +97,61 @@ def test_suffix_array_and_common_prefixes():
             assert shared[order[j]] == c
 
 
-@pytest.mark.parametrize("shard_bytes", [2000, suffixes.SHARD_BYTES])
-def test_repeats_equal_counting_all_windows(spark, documents, corpus, shard_bytes, monkeypatch):
+@pytest.mark.parametrize(("shard_bytes", "salt_shards"), [(2000, suffixes.SALT_SHARDS), (900, 5), (suffixes.SHARD_BYTES, suffixes.SALT_SHARDS)])
+def test_repeats_equal_counting_all_windows(spark, documents, corpus, shard_bytes, salt_shards, monkeypatch):
     monkeypatch.setattr(suffixes, "RANGE_WINDOWS", 500)
-    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeats(documents(rows_of(corpus)), shard_bytes=shard_bytes).collect()}
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeats(documents(rows_of(corpus)), shard_bytes=shard_bytes, salt_shards=salt_shards).collect()}
     assert found == dict(enumerate(brute.repeats(corpus, 400)))
 
 
+def test_a_passage_of_all_documents_is_merged_in_groups(spark, documents):
+    """A hot passage between texts of their own, in far more shards than are merged at once, at any depth of a text."""
+    pick = random.Random(21)
+    own = lambda n: "".join(pick.choice("etaoinshrdlu ") for _ in range(n))
+    hot = own(700)
+    texts = [own(pick.randint(0, 900)) + hot + own(pick.randint(0, 900)) for _ in range(40)] + [own(1500)]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeats(documents(rows_of(texts)), shard_bytes=1000, salt_shards=7).collect()}
+    assert found == dict(enumerate(brute.repeats(texts, 400)))
+    assert found[3][1] >= 700 and found[40][1] == 0
+
+
+def test_anchors_and_units_do_not_depend_on_pieces():
+    r = np.random.default_rng(2)
+    data = r.integers(97, 101, 30_000).astype(np.uint8)
+    data[9000:12_000] = data[1000:4000]
+    offsets = np.array([0, 100, 9100, 9100, 20_000, 30_000])
+    one = suffixes.anchors(data, offsets)
+    for piece in (1, 500, 7001):
+        small = suffixes.anchors(data[:3000], np.array([0, 100, 3000]), piece=piece) if piece == 1 else suffixes.anchors(data, offsets, piece=piece)
+        for x, y in zip(small, suffixes.anchors(data[:3000], np.array([0, 100, 3000])) if piece == 1 else one, strict=True):
+            assert x.tolist() == y.tolist()
+    mine = one[0] == 3
+    hashes, first, last = one[1][mine], one[2][mine], one[3][mine]
+    units = list(suffixes.units_of(data[9100:20_000], hashes, np.full(len(hashes), 2), first, last, 400, 1500))
+    assert len(units) > 5 and all(len(u.data) < 1500 + 1000 for u in units)
+    windows = sorted(w for u in units for a, b in zip(u.first.tolist(), u.last.tolist(), strict=True) for w in range(a, b + 1))
+    assert windows == list(range(10_900 - 399))
+
+
+def test_a_long_text_needs_little_more_memory_than_its_bytes():
+    """30 MB of one text, half of it repeated: the working arrays follow the piece and the shard, not the text."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    data = r.integers(97, 123, 30_000_000).astype(np.uint8)
+    data[15_000_000:] = data[:15_000_000]
+    tracemalloc.start()
+    _, hashes, first, last = suffixes.anchors(data, np.array([0, len(data)]))
+    scanned = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    unit = next(suffixes.units_of(data, hashes, np.full(len(hashes), 2), first, last, 400, 1 << 20))
+    spans, sent = suffixes.shard_repeats([unit])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scanned < 120e6 and peak < 130e6
+    assert len(unit.data) < 1 << 21 and len(sent[0]) > 900_000 and not len(spans[0][0])
+
+
 def test_repeats_of_repeated_and_missing_ids(spark, documents):
     text = "".join(chr(97 + k * k % 26) for k in range(900))
     rows = [(None, text + "1", "", "", 0), (None, "2" + text, "", "", 0), (5, "short", "", "", 0), (5, "short", "", "", 0), (6, text * 2, "", "", 0)]
