@@ -15,10 +15,12 @@ proximity matches are returned too: all terms of the window, in any order,
 within its width plus slop words.
 
 At scale: the work per segment is bounded by its size and the queries. The
-benchmark is collected only in blocks of at most ``block_bytes`` of text, whose
-number follows from a count; with more than one block, every segment is searched
-for each block and the hits are united per document. A term that fills a third
-of all rows is never the start of an intersection unless a window has no other.
+benchmark is collected only in blocks of about ``block_bytes`` of text, whose
+number follows from a count, and travels as arrays of word numbers (12 bytes a
+word); with more than one block, every segment is searched for each block and the
+hits are united per document, told apart by its segment's number and its place in
+it. A term that fills a third of all rows is never the start of an intersection
+unless a window has no other.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased.
 A window is ``window`` consecutive words of an item; an item with fewer words,
@@ -26,17 +28,20 @@ but not none, is one window.
 
 Edge cases: null and empty texts have no words and are never contaminated;
 repeated items count once by their id; an item without an id marks words but is
-not listed or counted; an empty benchmark marks nothing; repeated documents are
-judged one by one; extra columns are ignored.
+not listed or counted; an empty benchmark marks nothing; an empty table gives no
+rows; repeated documents and ids, null ones too, are judged row by row; a very long
+text is a segment of its own; of rarest terms with equal counts the first in the
+window begins; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +54,9 @@ BLOCK_BYTES = 16 << 20
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 """Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space."""
 
-SEGMENT_SCHEMA = "doc_ids array<bigint>, ends array<bigint>, terms array<binary>, term_ends array<bigint>, positions array<int>"
+SEGMENT_SCHEMA = "segment bigint, doc_ids array<bigint>, ends array<bigint>, terms array<binary>, term_ends array<bigint>, positions array<int>"
 SEGMENT_ARROW = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("term_ends", pa.list_(pa.int64())), ("positions", pa.list_(pa.int32())),
+    ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("term_ends", pa.list_(pa.int64())), ("positions", pa.list_(pa.int32())),
 ])
 
 
@@ -60,54 +65,73 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, doc_id="doc_id", text="text", segment_bytes=SEGMENT_BYTES) -> DataFrame:
-    """Segments of the positional inverted index, one row each."""
+    """Segments of the positional inverted index, one row each, numbered by task and place in it. Store it before several searches are joined."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in cut(batches, "text", segment_bytes):
             words = Words(translated(texts_of(batch.column("text")), FOLDED))
             order = np.argsort(words.codes, kind="stable").astype(np.int32)
             ends = np.cumsum(np.bincount(words.codes, minlength=len(words.vocabulary)))
-            values = (batch.column("doc_id").to_pylist(), words.offsets[1:], words.vocabulary, ends, order)
+            number += 1
+            values = (number, batch.column("doc_id").to_pylist(), words.offsets[1:], words.vocabulary, ends, order)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, SEGMENT_ARROW, strict=True)], schema=SEGMENT_ARROW)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, SEGMENT_SCHEMA)
 
 
-def item_windows(items: list[tuple], window: int = WINDOW) -> list[tuple[tuple[bytes, ...], list]]:
-    """(terms, ids of the items that have them) of each distinct window."""
-    found: dict[tuple[bytes, ...], set] = {}
-    for item, text in items:
-        words = words_of(text)
-        for k in range(max(1, len(words) - window + 1)) if words else ():
-            found.setdefault(tuple(words[k : k + window]), set()).add(item)
-    return [(terms, sorted(ids - {None})) for terms, ids in found.items()]
+class Queries:
+    """Windows of items as arrays: the items' words as numbers, each window's first place and width, and the ids of equal items."""
+
+    def __init__(self, items: list[tuple], window: int | None = None):
+        """``items``: (words, ids); a window is ``window`` consecutive words, or a whole item that has fewer (None: always the whole item)."""
+        ids: dict[tuple[bytes, ...], set] = {}
+        for words, own in items:
+            if words:
+                ids.setdefault(tuple(words), set()).update(own)
+        number: dict[bytes, int] = {}
+        self.words = np.array([number.setdefault(w, len(number)) for words in ids for w in words], np.int32)
+        self.vocabulary = list(number)
+        sizes = np.array([len(words) for words in ids], np.int64)
+        widths = sizes if window is None else np.minimum(sizes, window)
+        counts = sizes - widths + 1
+        self.item = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+        self.width = widths[self.item].astype(np.int32)
+        self.start = (np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts)).astype(np.int32)
+        self.ids = [sorted(own - {None}) for own in ids.values()]
+
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words as codes of a segment's terms (-1: not there), and the numbers of the windows that have all of theirs."""
+        found = codes[self.words] if len(codes) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(found >= 0)])
+        return found, np.flatnonzero(total[self.start + self.width] - total[self.start] == self.width)
 
 
 class Segment:
     """A segment in memory: posting lists, and their union in (term, position) order for binary search."""
 
     def __init__(self, row: dict):
-        self.doc_ids, self.terms, self.ends = row["doc_ids"], row["terms"], row["ends"]
+        self.number, self.doc_ids, self.terms, self.ends = row["segment"], row["doc_ids"], row["terms"], row["ends"]
         self.term_ends, self.positions = row["term_ends"], row["positions"]
         self.starts = np.concatenate([[0], self.term_ends[:-1]]).astype(np.int64) if len(self.term_ends) else np.zeros(0, np.int64)
         self.frequency = self.term_ends - self.starts
-        self.code = {t: k for k, t in enumerate(self.terms)}
         self.ordered = (np.repeat(np.arange(len(self.terms), dtype=np.int64), self.frequency) << 32) | self.positions
 
-    def exact(self, windows: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, vocabulary: list[bytes]) -> np.ndarray:
+        """The number of each word among the segment's terms, -1 for those it does not have."""
+        return pc.fill_null(pc.index_in(pa.array(vocabulary, pa.binary()), value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def exact(self, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
         """(window number, position of its first word) of every occurrence within one document."""
-        out = []
-        by_width: dict[int, list[tuple[int, list[int]]]] = {}
-        for k, terms in enumerate(windows):
-            codes = [self.code.get(t, -1) for t in terms]
-            if -1 not in codes:
-                by_width.setdefault(len(codes), []).append((k, codes))
-        for width, known in by_width.items():
-            numbers, codes = np.array([k for k, _ in known]), np.array([c for _, c in known], np.int64)
+        words, known = queries.known(self.codes(queries.vocabulary))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for width in np.unique(queries.width[known]).tolist():
+            numbers = known[queries.width[known] == width]
+            codes = words[queries.start[numbers][:, None] + np.arange(width)]
             rare = np.argsort(self.frequency[codes], axis=1, kind="stable")
             first = np.take_along_axis(codes, rare[:, :1], 1)[:, 0]
             count = self.frequency[first]
-            which = np.repeat(np.arange(len(known)), count)
+            which = np.repeat(np.arange(len(numbers)), count)
             at = self.positions[np.repeat(self.starts[first] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())] - rare[which, 0]
             ok = at >= 0
             which, at = which[ok], at[ok].astype(np.int64)
@@ -120,74 +144,72 @@ class Segment:
                 which, at = which[ok], at[ok]
             inside = np.searchsorted(self.ends, at, side="right") == np.searchsorted(self.ends, at + width - 1, side="right")
             out.append((numbers[which[inside]], at[inside]))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
-    def near(self, terms: tuple[bytes, ...], slop: int) -> list[tuple[int, int]]:
-        """Shortest spans [start, end) of at most len(terms) + slop words of one document that hold every distinct term, one for each place of the rarest."""
-        codes = [self.code.get(t, -1) for t in dict.fromkeys(terms)]
-        if -1 in codes:
-            return []
-        lists = sorted((self.positions[self.starts[c] : self.term_ends[c]] for c in codes), key=len)
-        most, out = len(terms) + slop, []
-        for p in lists[0].tolist():
-            doc = int(np.searchsorted(self.ends, p, side="right"))
-            lo, hi = max(p - most + 1, int(self.ends[doc - 1]) if doc else 0), min(p + most - 1, int(self.ends[doc]) - 1)
-            events = sorted((int(q), k) for k, x in enumerate(lists) for q in x[np.searchsorted(x, lo) : np.searchsorted(x, hi, side="right")])
-            last: dict[int, int] = {}
-            best = None
-            for q, k in events:
-                last[k] = q
-                if len(last) == len(lists):
-                    start = min(last.values())
-                    if start <= p <= q and q - start < most and (best is None or q - start < best[1] - 1 - best[0]):
-                        best = (start, q + 1)
-            if best:
-                out.append(best)
-        return sorted(set(out))
+    def near(self, queries: Queries, slop: int) -> list[tuple[int, int, int]]:
+        """(window number, start, end) of the shortest spans of at most its width plus slop words of one document that hold every distinct term of a window, one for each place of the rarest."""
+        words, known = queries.known(self.codes(queries.vocabulary))
+        out = set()
+        for number in known.tolist():
+            width, start = int(queries.width[number]), int(queries.start[number])
+            codes = dict.fromkeys(words[start : start + width].tolist())
+            lists = sorted((self.positions[self.starts[c] : self.term_ends[c]] for c in codes), key=len)
+            most = width + slop
+            for p in lists[0].tolist():
+                doc = int(np.searchsorted(self.ends, p, side="right"))
+                lo, hi = max(p - most + 1, int(self.ends[doc - 1]) if doc else 0), min(p + most - 1, int(self.ends[doc]) - 1)
+                events = sorted((int(q), k) for k, x in enumerate(lists) for q in x[np.searchsorted(x, lo) : np.searchsorted(x, hi, side="right")])
+                last: dict[int, int] = {}
+                best = None
+                for q, k in events:
+                    last[k] = q
+                    if len(last) == len(lists):
+                        first = min(last.values())
+                        if first <= p <= q and q - first < most and (best is None or q - first < best[1] - 1 - best[0]):
+                            best = (first, q + 1)
+                if best:
+                    out.add((number, *best))
+        return sorted(out)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {c: batch.column(c)[k].values for c in batch.schema.names}
-            yield Segment({c: v.to_pylist() if c in ("doc_ids", "terms") else v.to_numpy(zero_copy_only=False) for c, v in row.items()})
+            row = {c: batch.column(c)[k] for c in batch.schema.names}
+            arrays = {c: row[c].values.to_numpy(zero_copy_only=False) for c in ("ends", "term_ends", "positions")}
+            yield Segment({"segment": row["segment"].as_py(), "doc_ids": row["doc_ids"].as_py(), "terms": row["terms"].values, **arrays})
+
 
+SPANS_SCHEMA = "segment bigint, k int, doc_id bigint, n_words bigint, starts array<bigint>, stops array<bigint>, items array<bigint>"
+SPANS_ARROW = pa.schema([("segment", pa.int64()), ("k", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 
-SPANS_SCHEMA = "segment string, k int, doc_id bigint, n_words bigint, starts array<bigint>, stops array<bigint>, items array<bigint>"
-SPANS_ARROW = pa.schema([("segment", pa.string()), ("k", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 
+def search(index: DataFrame, queries: Queries | list[tuple], slop: int = 0, only_hits: bool = False) -> DataFrame:
+    """For each document of the index (or each that is hit) its words hit as united spans [start, stop), word numbers of the document, and the items met.
 
-def search(index: DataFrame, windows: list[tuple[tuple[bytes, ...], list]], slop: int = 0) -> DataFrame:
-    """For each document of the index its words hit as united spans [start, stop), word numbers of the document, and the items met."""
-    spark = index.sparkSession
-    shared = spark.sparkContext.broadcast(windows)
+    ``queries`` are ``Queries`` or a list of (words, ids), each one window.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(queries if isinstance(queries, Queries) else Queries(queries))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
+        queries = shared.value
         for segment in _segments(batches):
             n = len(segment.doc_ids)
-            which, at = segment.exact([w for w, _ in windows])
-            width = np.array([len(w) for w, _ in windows], np.int64)
-            found = list(zip(which.tolist(), at.tolist(), (at + width[which]).tolist(), strict=True))
+            which, at = segment.exact(queries)
+            found = list(zip(which.tolist(), at.tolist(), (at + queries.width[which]).tolist(), strict=True))
             if slop:
-                found += [(k, a, b) for k, (terms, _) in enumerate(windows) for a, b in segment.near(terms, slop)]
+                found += segment.near(queries, slop)
             spans: list[list] = [[] for _ in range(n)]
             items: list[set] = [set() for _ in range(n)]
             owner = np.searchsorted(segment.ends, [a for _, a, _ in found], side="right").tolist()
             for d, (k, a, b) in zip(owner, found, strict=True):
                 spans[d].append((a, b))
-                items[d].update(windows[k][1])
+                items[d].update(queries.ids[queries.item[k]])
             base = np.concatenate([[0], segment.ends[:-1]]).tolist() if n else []
-            starts, stops = [], []
-            for d in range(n):
-                one = united(spans[d])
-                starts.append([a - base[d] for a, _ in one])
-                stops.append([b - base[d] for _, b in one])
-            name = hashlib.sha256(repr(segment.doc_ids).encode() + segment.positions.tobytes() + segment.ends.tobytes()).hexdigest()
-            values = ([name] * n, list(range(n)), segment.doc_ids, (segment.ends - base).tolist() if n else [], starts, stops, [sorted(x) for x in items])
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, SPANS_ARROW, strict=True)], schema=SPANS_ARROW)
+            wanted = [d for d in range(n) if spans[d]] if only_hits else range(n)
+            rows = [(segment.number, d, segment.doc_ids[d], int(segment.ends[d]) - base[d], [(a - base[d], b - base[d]) for a, b in united(spans[d])], sorted(items[d])) for d in wanted]
+            columns = list(zip(*((*r[:4], [a for a, _ in r[4]], [b for _, b in r[4]], r[5]) for r in rows), strict=True)) or [[]] * len(SPANS_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, SPANS_ARROW, strict=True)], schema=SPANS_ARROW)
 
     return index.mapInArrow(find, SPANS_SCHEMA)
 
@@ -212,7 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="
     found = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = search(index, item_windows([tuple(r) for r in part.collect()], window), slop)
+        rows = search(index, Queries([(words_of(r["text"]), [r["item"]]) for r in part.collect()], window), slop, only_hits=block > 0)
         found = rows if found is None else found.unionByName(rows)
     merged = lambda column: F.sort_array(F.array_distinct(F.flatten(F.collect_list(column))))
     if blocks > 1:

@@ -222,6 +222,19 @@ def test_contamination(spark, documents):
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)
 
 
+def test_equal_segments_keep_their_rows_with_several_blocks(spark, documents):
+    """Two files with the same documents, ids and words, and documents without an id."""
+    rows = [(1, "alpha beta gamma", "", "", 0), (2, "nothing to see", "", "", 0), (None, "solo words here", "", "", 0)]
+    docs = documents(rows).coalesce(1)
+    docs = docs.union(docs)
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "see"), (3, "words here now"), (4, "solo words")], "item_id bigint, text string")
+    seen = []
+    for block in (decontaminate.BLOCK_BYTES, 5):
+        found = decontaminate.contamination(docs, bench, block_bytes=block).collect()
+        seen.append(sorted(((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"]) for r in found)))
+    assert seen[0] == seen[1] == sorted([(0, 3, 2, [4]), (1, 3, 2, [1]), (2, 3, 1, [2])] * 2)
+
+
 def test_proximity(spark, documents):
     index = decontaminate.build_index(documents(rows_of(["a x b y c", "c b a", "a b", "a x x x x b c"])))
     hits = decontaminate.search(index, [((b"a", b"b", b"c"), [1])], slop=2).collect()
