@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,27 @@ SUB_BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a new temporary one only where it is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/framelake/{uuid.uuid4().hex}-{name}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/framelake/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application stored; results that are still to be read among them."""
+    _delete(spark, _own_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -142,14 +154,18 @@ class Words:
         flat = lists.values.dictionary_encode()
         codes = flat.indices.to_numpy(zero_copy_only=False)
         ends = lists.offsets.to_numpy()
-        self.vocabulary: list[bytes] = flat.dictionary.cast(pa.binary()).to_pylist()
-        if b"" in self.vocabulary:
-            empty = self.vocabulary.index(b"")
+        self.dictionary: pa.BinaryArray = flat.dictionary.cast(pa.binary())
+        empty = pc.index(self.dictionary, pa.scalar(b"", pa.binary())).as_py()
+        if empty >= 0:
             real = codes != empty
             ends = np.concatenate([[0], np.cumsum(real)])[ends]
             codes = codes[real]
         self.codes, self.offsets = codes, ends.astype(np.int64)
 
+    @cached_property
+    def vocabulary(self) -> list[bytes]:
+        return self.dictionary.to_pylist()
+
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
 
@@ -159,7 +175,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not self.vocabulary:
+        if not len(self.dictionary):
             return np.zeros(0, np.uint64)
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))[self.codes]
 

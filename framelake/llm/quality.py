@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def _table(members: bytes) -> np.ndarray:
 
 
 UPPER, LETTER, MARKS = _table(bytes(range(65, 91))), _table(bytes([*range(65, 91), *range(97, 123), *range(0xC2, 0xF5)])), _table(b"!?")
-BLANK, SIGN = _table(SPACES), _table(SYMBOLS)
+BLANK, SIGN, CLOSING = _table(SPACES), _table(SYMBOLS), _table(b".!?\"'):;")
 FIRST = _table(bytes([*range(0x80), *range(0xC0, 0x100)]))
 """Bytes that begin a code point."""
 
@@ -60,12 +61,12 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def repeated_words(words: Words, width: int = WINDOW) -> np.ndarray:
-    """For each text, its words in windows of ``width`` words that occur at least twice in the text."""
+    """For each text, its words in windows of ``width`` words that occur at least twice in the text; 64-bit hashes of the batch's word numbers tell windows apart."""
     owner, n = words.owner(), len(words.codes)
     if n < width:
         return np.zeros(len(words.offsets) - 1, np.int64)
     starts = np.flatnonzero(owner[: n - width + 1] == owner[width - 1 :])
-    keys = mixed(windows_hash(words.hashes(), width)[starts] ^ mixed(owner[starts].astype(np.uint64)))
+    keys = mixed(windows_hash(mixed(words.codes), width)[starts] ^ mixed(owner[starts].astype(np.uint64)))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
     again = np.zeros(len(starts), bool)
@@ -77,17 +78,19 @@ def repeated_words(words: Words, width: int = WINDOW) -> np.ndarray:
     return _sums(covered, words.offsets)
 
 
-def duplicate_lines(text: str) -> tuple[int, int, int]:
-    """Lines with a word: how many, how many equal an earlier one, and how many end a sentence."""
-    seen, again, ended, n = set(), 0, 0, 0
-    for line in text.split("\n"):
-        bare = line.strip(" \t\x0b\x0c\r")
-        if bare:
-            n += 1
-            again += line in seen
-            ended += bare[-1] in ".!?\"'):;"
-            seen.add(line)
-    return n, again, ended
+def lines_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its lines with a word: how many, how many equal an earlier one, and how many end a sentence."""
+    split = pc.split_pattern(texts, "\n")
+    flat, ends = split.values, split.offsets.to_numpy().astype(np.int64)
+    data, offsets = raw(texts_of(pc.ascii_trim(flat, characters=" \t\x0b\x0c\r")))
+    worded = offsets[1:] > offsets[:-1]
+    closed = worded.copy()
+    closed[worded] = CLOSING[data[offsets[1:][worded] - 1]]
+    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+    coded = flat.dictionary_encode()
+    keys = np.sort((owner * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False))[worded])
+    again = keys[1:][keys[1:] == keys[:-1]] // max(1, len(coded.dictionary))
+    return _sums(worded, ends), np.bincount(again, minlength=len(texts)), _sums(closed, ends)
 
 
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
@@ -95,16 +98,18 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     texts = texts_of(column)
     words = Words(texts)
     data, offsets = raw(texts)
-    blank, first = BLANK[data], FIRST[data]
-    lines = np.array([duplicate_lines(t) for t in texts.to_pylist()], np.int64).reshape(-1, 3)
-    order = np.lexsort((words.codes, owner)) if len(owner := words.owner()) else np.zeros(0, np.int64)
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (words.codes[order][1:] != words.codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    lettered = np.array([any(LETTER[c] for c in w) for w in words.vocabulary], bool)[words.codes] if len(order) else np.zeros(0, bool)
+    first = FIRST[data] & ~BLANK[data]
+    n_lines, n_dup_lines, n_ended = lines_of(texts)
+    known = max(1, len(words.dictionary))
+    pairs = np.sort(words.owner() * known + words.codes)
+    distinct = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]] // known
+    letters = LETTER[data]
+    spelled, ends = raw(words.dictionary)
+    lettered = (_sums(LETTER[spelled], ends) > 0)[words.codes]
     return {
-        "n_words": words.counts(), "word_chars": _sums(first & ~blank, offsets), "n_symbols": _sums(SIGN[data], offsets), "n_dup_lines": lines[:, 1],
-        "n_repeat_words": repeated_words(words), "n_lines": lines[:, 0], "n_ended": lines[:, 2], "n_upper": _sums(UPPER[data], offsets),
-        "n_letters": _sums(LETTER[data], offsets), "n_marks": _sums(MARKS[data], offsets), "n_distinct": np.bincount(owner[order][fresh], minlength=len(texts)), "n_lettered": _sums(lettered, words.offsets),
+        "n_words": words.counts(), "word_chars": _sums(first, offsets), "n_symbols": _sums(SIGN[data], offsets), "n_dup_lines": n_dup_lines,
+        "n_repeat_words": repeated_words(words), "n_lines": n_lines, "n_ended": n_ended, "n_upper": _sums(UPPER[data], offsets),
+        "n_letters": _sums(letters, offsets), "n_marks": _sums(MARKS[data], offsets), "n_distinct": np.bincount(distinct, minlength=len(texts)), "n_lettered": _sums(lettered, words.offsets),
     }
 
 

@@ -85,3 +85,26 @@ def contamination(text, items, window=10):
                     if i is not None:
                         ids.add(i)
     return len(own), len(hit), sorted(ids)
+
+
+def latent_classes(votes, rules, families, rounds, prior, least_error, least_found):
+    """Expectation-maximisation one document at a time: (class shares, probability of a bad vote of each class and rule)."""
+    n = 1 + len(families)
+    own = [[k > 0 and r in families[k - 1] for r in rules] for k in range(n)]
+    start = [[0.5 if o else 0.05 for o in row] for row in own]
+    share, table = [0.8] + [0.2 / len(families)] * len(families), [row[:] for row in start]
+    for _ in range(rounds):
+        given = []
+        for v in votes:
+            p = [s for s in share]
+            for k in range(n):
+                for r, x in enumerate(v):
+                    p[k] *= table[k][r] if x < 0 else 1 - table[k][r] if x > 0 else 1
+            given.append([x / sum(p) for x in p])
+        share = [(sum(g[k] for g in given) + 1) / (len(votes) + n) for k in range(n)]
+        for k in range(n):
+            for r in range(len(rules)):
+                bad = sum(g[k] for g, v in zip(given, votes, strict=True) if v[r] < 0)
+                cast = sum(g[k] for g, v in zip(given, votes, strict=True) if v[r])
+                table[k][r] = max((bad + prior * start[k][r]) / (cast + prior), least_found if own[k][r] else least_error)
+    return share, table

@@ -167,7 +167,8 @@ def test_quality_measures(spark, documents, corpus):
     assert found == {k: brute.measures(t) for k, t in enumerate(texts)}
 
 
-def test_quality_verdicts_agree_with_held_out_labels(spark):
+def test_quality_verdicts_agree_with_labels(spark):
+    """The fit does not see these labels; the rules and the form of the model were chosen while looking at them."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     rows = quality.quality_scores(docs).join(labels, "doc_id").where("NOT base_failed").select("kept", "quality").collect()
     clean, junk = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
@@ -176,6 +177,45 @@ def test_quality_verdicts_agree_with_held_out_labels(spark):
     assert kept == {r["doc_id"] for r in quality.quality_scores(docs).where("kept").collect()}
 
 
+def drawn_votes(seed=17, n=6000):
+    """Votes of documents of known classes, each rule with known error rates: (patterns, classes, probability of a bad vote by class and rule)."""
+    pick = random.Random(seed)
+    rates = [[0.03] * len(quality.RULES) for _ in range(1 + len(quality.FAMILIES))]
+    for k, family in enumerate(quality.FAMILIES):
+        for rule in family:
+            rates[k + 1][quality.RULES.index(rule)] = 0.85
+    votes, classes = [], []
+    for _ in range(n):
+        c = 0 if pick.random() < 0.7 else pick.randint(1, len(quality.FAMILIES))
+        classes.append(c)
+        votes.append(tuple(0 if pick.random() < 0.2 else -1 if pick.random() < p else 1 for p in rates[c]))
+    return votes, classes, rates
+
+
+def test_label_model_equals_plain_expectation_maximisation():
+    votes, _, _ = drawn_votes(n=800)
+    counts = {}
+    for v in votes:
+        counts[v] = counts.get(v, 0) + 1
+    fitted = quality.fit(sorted(counts.items()), rounds=7)
+    share, table = brute.latent_classes(votes, quality.RULES, quality.FAMILIES, 7, quality.PRIOR_VOTES, quality.LEAST_ERROR, quality.LEAST_FOUND)
+    assert np.allclose(fitted["classes"], share) and np.allclose(fitted["bad_votes"], table)
+
+
+def test_label_model_finds_known_accuracies_and_held_out_classes():
+    votes, classes, rates = drawn_votes()
+    counts = {}
+    for v in votes[:4000]:
+        counts[v] = counts.get(v, 0) + 1
+    model = quality.fit(sorted(counts.items()))
+    off = np.abs(np.array(model["bad_votes"]) - rates).max(axis=1)
+    pairs = [k + 1 for k, family in enumerate(quality.FAMILIES) if len(family) == 2]  # two rules identify their class less sharply
+    assert np.delete(off, pairs).max() < 0.1 and off[pairs].max() < 0.2 and abs(model["classes"][0] - 0.7) < 0.1
+    true = {"classes": [0.7] + [0.3 / len(quality.FAMILIES)] * len(quality.FAMILIES), "bad_votes": rates}
+    fits, best = (np.mean((quality.posterior(m, np.array(votes[4000:], np.int8)) >= 0.5) == (np.array(classes[4000:]) == 0)) for m in (model, true))
+    assert fits > best - 0.08 and best > 0.9, (fits, best)
+
+
 def test_label_model_is_calmed_by_abstentions_and_emptiness():
     model = quality.fit([])
     assert abs(quality.posterior(model, np.zeros((1, len(quality.RULES)), np.int8))[0] - 0.8) < 1e-9
