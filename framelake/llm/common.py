@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SUB_BATCH_BYTES = 8 << 20
 
@@ -104,6 +105,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+HOT_ROWS, HOT_KEYS = 10_000, 50_000
+
+
+def with_counts(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """rows joined with their key's row of the stored table ``counts``, which has the number of such rows as ``counts``.
+
+    Keys with over ``HOT_ROWS`` rows and over 1 / ``HOT_KEYS`` of all are at most
+    ``HOT_KEYS``; their counts are broadcast, so that the rows of a hot key never
+    meet in one task. All others go through an equi-join.
+    """
+    hot = F.col("counts") > max(HOT_ROWS, (counts.agg(F.sum("counts")).first()[0] or 0) // HOT_KEYS)
+    looked = rows.join(F.broadcast(counts.where(hot)), key, "left")
+    cold = looked.where("counts IS NULL").drop(*(c for c in counts.columns if c != key))
+    return looked.where("counts IS NOT NULL").unionByName(cold.join(counts.where(~hot), key))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI, for executors that write or read plain files in the shared folder."""
     from pyarrow import fs

@@ -18,9 +18,11 @@ yet. With these components known, a bucket is finished if all its members are in
 the others only *stragglers*, members outside the bucket's largest component, are
 compared with members of other components: in buckets of at most ``SMALL``
 members as pairs, and only where the triangle inequality of the Jaccard distance
-to the hub allows a link; in larger ones in blocks, a block of stragglers as an
-inverted index that the bucket's members stream past, which counts a member's
-overlaps with the whole block at once and keeps one link per straggler and
+to the hub allows a link. Members of larger open buckets meet again by their rarest
+shingles (prefix filter, exact): those of a shingle with at most ``SMALL`` members
+as pairs of fitting sizes, those of a more frequent one in blocks, a block of
+stragglers as an inverted index that the others stream past, which counts a
+member's overlaps with the whole block at once and keeps one link per straggler and
 component. No pair that could join two components is left out, so the result is
 that of confirming every candidate pair.
 
@@ -30,14 +32,15 @@ travel only for classes that share a bucket, once per class and once per hub
 they are compared with; a hub of many members is salted by the size of their
 sets, and the members of a large bucket are dealt to tasks of ``SALT_MEMBERS``;
 comparing streams over sorted rows with one hub's set or one block in memory.
-Stragglers of a large bucket cost the product of their number and the bucket's
-in counting, not in rows: that remains where very many texts share half of their
-shingles with each other without being linked.
+Members of large open buckets cost one narrow row per shingle; texts that share any
+part of their shingles, but not their rarest ones, meet no further. What remains
+quadratic is a shingle that many texts of different components have among their
+rarest: its members travel once per block of ``BLOCK`` stragglers, text and all.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased. Edge cases: fewer
 words than a shingle make one shingle of the whole sequence; null, empty and
 blank texts have no set, are linked with nothing (not even each other) and are
-kept; a null id is never the least of a group unless all are null; repeated rows
+kept; an empty table gives no rows; very long texts are sets like any other, one in memory at a time; a null id is never the least of a group unless all are null; repeated rows
 share their class; extra columns are kept by ``deduplicate``, ignored by ``near_duplicates``.
 """
 
@@ -51,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, cut, dropped, mixed, release, scratch, stored, texts_of, translated, windows_hash
+from .common import LOWER, Words, cut, dropped, mixed, release, scratch, stored, texts_of, translated, windows_hash, with_counts
 from .graph import components
 
 PERMUTATIONS = 48
@@ -99,7 +102,7 @@ def signatures(sets: list[np.ndarray], permutations: int, seed: int = 1) -> np.n
 
 
 def bands_of(signature: np.ndarray, rows: int) -> np.ndarray:
-    """Bucket keys; a band's rows are of one permutation half each, so that they are spread evenly."""
+    """Bucket keys; a band of four rows has the minimum and maximum of two permutations."""
     n = signature.shape[1] // rows
     out = np.empty((len(signature), n), np.uint64)
     for k in range(n):
@@ -222,17 +225,66 @@ def block_links(stragglers: DataFrame, members: DataFrame, texts: DataFrame, wid
     return rows.mapInArrow(compare, "u binary, v binary")
 
 
-BITMAP_BITS = 1 << 23
+def prefix_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between classes of different components, from the (class, root) rows of large open buckets.
+
+    Prefix filter: with all shingles in one order, here those of one component
+    first, then from rare to frequent, two linked sets of n and m shingles share one
+    among the first n - ceil(n * percent / 100) + 1 of the one and those of the other.
+    What all texts have in common is in no prefix.
+    """
+    sets = stored(shingled(open_.join(texts, "class"), width), "open-sets")
+    places = sets.select("class", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    several = places.groupBy("shingle").agg(F.count("*").alias("counts"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    several = stored(several.select("shingle", "counts"), "shared-shingles")
+    order = F.array_sort(F.collect_list(F.struct("counts", "shingle")))
+    rows = with_counts(places, several, "shingle").groupBy("class", "root", "n").agg(order.alias("order"))
+    left = F.expr(f"greatest(0, size(order) - ({percent} * n + 99) div 100 + 1)")  # of the prefix, after the shingles of one component
+    rows = rows.select("class", "root", "n", F.explode(F.slice("order", F.lit(1), left.cast("int"))).alias("s")).select("class", "root", "n", F.col("s.shingle").alias("bucket"))
+    rows = stored(rows, "prefixes")
+    parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    groups = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("members"), F.max(F.struct("k", "root")).alias("top")).where("parts > 1")
+    rows = rows.join(groups.select("bucket", "members", F.col("top.root").alias("top")), "bucket")
+    small, large = rows.where(F.col("members") <= SMALL), rows.where(F.col("members") > SMALL)
+    right = small.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "root", "n")))
+    fits = F.lit(100) * F.least("n", "n_2") >= F.lit(percent) * F.greatest("n", "n_2")
+    pairs = small.join(right, "bucket").where((F.col("class") < F.col("class_2")) & (F.col("root") != F.col("root_2")) & fits)
+    pairs = pairs.select(F.col("class").alias("hub"), F.col("class_2").alias("member")).distinct()
+    sizes = sets.select("class", F.size("shingles").alias("n_shingles"))
+    found = compared(pairs, texts, sizes, width).where(f"100 * shared >= {percent} * united").select(F.col("hub").alias("u"), F.col("member").alias("v"))
+    if not large.head(1):
+        return found
+    return found.unionByName(block_links(large.where("root <> top").select("bucket", "class", "root"), large.select("bucket", "class", "root"), texts, width, percent))
+
+
+def shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(class, root, shingles) of (class, root, text)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches, "text", BATCH_BYTES):
+            sets = shingle_sets(batch.column("text"), width)
+            kept = [k for k, (s, name) in enumerate(zip(sets, batch.column("class").to_pylist(), strict=True)) if class_of(s) == name]
+            shingles = pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(kept, pa.int64())), batch.column("root").take(pa.array(kept, pa.int64())), shingles], ["class", "root", "shingles"])
+
+    return texts.select("class", "root", "text").mapInArrow(split, "class binary, root binary, shingles array<bigint>")
+
+
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
 
 
 def marked(df: DataFrame, key, keys: DataFrame, own) -> DataFrame:
-    """df with __marked: true wherever its key is among those of ``keys``, and by chance for others.
+    """df, which must not have the names used here, with __marked: true wherever its key is among those of the stored tables ``keys``, and by chance for others.
 
-    A bitmap of 2 ** 23 bits in at most 131,072 rows (2 MB, whatever the number of
-    keys) is broadcast, so that rows that cannot meet a key need no shuffle; a join
-    decides on the rest.
+    A bitmap of 16 bits a key, at most 2 ** 27 (two million rows, 32 MB), is
+    broadcast, so that rows that cannot meet a key need no shuffle; a join decides
+    on the rest. With more keys than bits everything is marked, and the join does all.
     """
-    place = lambda k: F.pmod(F.xxhash64(k), F.lit(BITMAP_BITS))
+    n = keys.count()
+    if n > MOST_BITS:
+        return df.withColumn("__marked", F.lit(True))
+    size = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * n).bit_length()))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(size))
     bits = keys.select(place(own).alias("__place")).selectExpr("__place div 64 AS __word", "shiftleft(1L, cast(__place % 64 AS int)) AS __bit")
     bitmap = bits.groupBy("__word").agg(F.expr("bit_or(__bit)").alias("__bits"))
     rows = df.withColumn("__place", place(key)).withColumn("__word", F.expr("__place div 64")).join(F.broadcast(bitmap), "__word", "left")
@@ -255,7 +307,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         members = stored(keys.join(shared_keys, "bucket"), "buckets")
         release(spark)
 
-        wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
+        wanted = stored(members.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "bucket-classes")
         source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         source = marked(source, F.col("doc_id"), wanted, F.col("doc_id")).where("__marked").select("doc_id", "text")
         texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
@@ -290,7 +342,9 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         cross = cross.select(F.least("class", "class_2").alias("hub"), F.greatest("class", "class_2").alias("member")).distinct()
         cross = cross.join(first.select("hub", "member"), ["hub", "member"], "left_anti")
         more = compared(cross, texts, classes, width).where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
-        more = stored(more.unionByName(block_links(large.where("root <> top"), large, texts, width, percent)), "more-links")
+        if large.head(1):
+            more = more.unionByName(prefix_links(large.select("class", "root").distinct(), texts, width, percent))
+        more = stored(more, "more-links")
         if more.head(1):
             roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
         dropped(members, texts, near)
@@ -315,15 +369,15 @@ def deduplicate(docs: DataFrame, doc_id="doc_id", text="text", width=5, percent=
         again = found.where("chosen AND copied").select(*pair).groupBy("__dedup_id", "__dedup_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         again = own.keep(stored(again, "repeated-rows"))
     looked = gone.unionByName(again)
-    rows = marked(docs, F.col(doc_id).cast("long"), looked, F.col("__dedup_id"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64(text) == F.col("__dedup_hash"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = rows.where("NOT __marked").select(*columns).unionByName(rows.where("__marked").select(*columns).join(looked, same, "left_anti"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # helper names cannot meet the caller's
+    rows = docs.select(whole, F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    rows = marked(rows, F.col("id"), looked, F.col("__dedup_id"))
+    same = F.col("id").eqNullSafe(F.col("__dedup_id")) & (F.col("hash") == F.col("__dedup_hash"))
+    out = rows.where("NOT __marked").select("row").unionByName(rows.where("__marked").join(looked, same, "left_anti").select("row"))
     if again.head(1):
-        one = F.struct(*columns)
-        repeated = rows.where("__marked").select(*columns).join(again, same)
-        out = out.unionByName(repeated.groupBy("__dedup_id", "__dedup_hash").agg(F.min_by(one, F.to_json(one)).alias("__one")).select("__one.*"))
-    return out
+        repeated = rows.where("__marked").join(again, same)
+        out = out.unionByName(repeated.groupBy("__dedup_id", "__dedup_hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def op6_minhash(spark, sf_dir):

@@ -21,8 +21,8 @@ table is under its broadcast limit, and else splits where a source is skewed.
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in rank; a source of size 0 has target 0 and emits nothing; documents with equal
 ids draw equal numbers, so repeated rows behave alike; a null id is drawn as
-the empty string; an empty table gives an empty result; further columns are kept
-(helper columns start with ``__mix_``).
+the empty string; an empty table gives an empty result; further columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -97,9 +97,10 @@ def mix_plan(docs: DataFrame, doc_id="doc_id", source="source", text="text", wei
 
 def mix_documents(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with its own columns and no others."""
-    sized = docs.withColumn("__mix_size", word_count(F.col(text)))
-    rows = with_copies(sized, doc_id, source, "__mix_size", weights, max_repeat, seed).where("__mix_copies > 0")
-    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # helper names cannot meet the caller's
+    sized = docs.select(whole.alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("__mix_size"))
+    rows = with_copies(sized, "id", "source", "__mix_size", weights, max_repeat, seed).where("__mix_copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select("row.*")
 
 
 def op10_mixing(spark, sf_dir):

@@ -27,11 +27,11 @@ anywhere else in the corpus.
 
 At scale: copies collapse to one text before anything else (a text with a second
 copy is covered as a whole); anchors and fingerprints of a hot passage are summed
-with partial aggregation (the counts of anchors with over 10,000 places and over
-1/50,000 of all go to the rows as a broadcast of at most 50,000), or arrive once per shard and range and are brought
-together in groups of ``SALT_SHARDS`` shards first; the text moves twice, and only
-where it has a repeated anchor the second time; range count follows from the
-number of fingerprints. A task holds one text and the working arrays of a piece
+with partial aggregation (counts of hot anchors reach their rows by a bounded
+broadcast), or arrive once per shard and range and are brought together in groups
+of ``SALT_SHARDS`` shards first; the text moves twice, and only where it has a
+repeated anchor the second time; range count follows from the number of
+fingerprints. A task holds one text and the working arrays of a piece
 (60 bytes for each of its bytes), a shard (55 bytes a byte) or a range.
 
 Edge cases: null texts are empty; an empty table gives no rows; a text of fewer
@@ -53,7 +53,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, mixed, raw, release, scratch, stored, texts_of
+from .common import cut, dropped, mixed, raw, release, scratch, stored, texts_of, with_counts
 
 LENGTH, GRAM = 400, 64
 BATCH_BYTES = 4 << 20
@@ -61,7 +61,6 @@ PIECE_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
 RANGE_WINDOWS = 500_000
 SALT_SHARDS = 4096
-HOT_ROWS, HOT_ANCHORS = 10_000, 50_000
 PLACE_BITS = 24  # places in a piece
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -471,10 +470,7 @@ def repeats(docs: DataFrame, doc_id="doc_id", text="text", length=LENGTH, shard_
         release(spark)
         found = unique.select("key", "first_id", F.explode(F.arrays_zip("hashes", "first", "last")).alias("a")).select("key", "first_id", "a.*")
         many = stored(found.groupBy("hashes").agg(F.count("*").alias("counts")).where("counts > 1"), "anchor-counts")
-        # rows of hot anchors, of which there are at most HOT_ANCHORS, get their counts without moving
-        hot = F.col("counts") > max(HOT_ROWS, (many.agg(F.sum("counts")).first()[0] or 0) // HOT_ANCHORS)
-        found = found.join(F.broadcast(many.where(hot)), "hashes", "left")
-        known = found.where("counts IS NOT NULL").unionByName(found.where("counts IS NULL").drop("counts").join(many.where(~hot), "hashes"))
+        known = with_counts(found, many, "hashes")
         known = known.groupBy("key", "first_id").agg(F.min("hashes").alias("least"), *(F.collect_list(c).alias(c) for c in ("hashes", "counts", "first", "last")))
         known = stored(known.withColumnRenamed("key", "known_key"), "repeated-anchors")
         dropped(unique, many)

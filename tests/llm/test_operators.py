@@ -56,6 +56,46 @@ def test_minhash_blocks_and_pairs_agree(spark, documents, corpus, monkeypatch):
         assert found == {k: v[1] for k, v in expected.items()}
 
 
+def test_a_large_open_bucket_costs_rows_in_proportion(spark, monkeypatch):
+    """2,000 unlinked texts in one bucket share half of their shingles; a few of them are linked with one another."""
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choice("etaoinshrdlu") for _ in range(7))
+    common_part = " ".join(word() for _ in range(40))
+    texts = [f"{common_part} {' '.join(word() for _ in range(40))}" for _ in range(2000)]
+    texts += [f"{t} {word()}" for t in texts[:5]]
+    sets = minhash.shingle_sets(pa.array(texts), 3)
+    names = [minhash.class_of(s) for s in sets]
+    kept = []
+    monkeypatch.setattr(minhash, "stored", lambda df, name: kept.append((name, out := common.stored(df, name))) or out)
+    monkeypatch.setattr(minhash, "block_links", None)  # is not needed
+    rows = spark.createDataFrame([(n, n) for n in names], "class binary, root binary")
+    found = minhash.prefix_links(rows, spark.createDataFrame(list(zip(names, texts, strict=True)), "class binary, text string"), 3, 85).collect()
+    assert {frozenset((bytes(r["u"]), bytes(r["v"]))) for r in found} == {frozenset((names[k], names[2000 + k])) for k in range(5)}
+    counts = {name: df.count() for name, df in kept}
+    assert counts["shared-shingles"] < 300 and counts["prefixes"] < 0.2 * sum(map(len, sets)) and counts["open-sets"] == len(texts)
+
+
+def test_prefixes_leave_no_link_out(spark):
+    """Against all pairs, where many links lie just over the threshold."""
+    pick = random.Random(6)
+    base = [f"w{k}" for k in range(40)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for at in pick.sample(range(40), pick.choice((0, 1, 1, 2, 8))):
+            w[at] = f"x{pick.randrange(30)}"
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    sets = minhash.shingle_sets(pa.array(texts), 2)
+    names = [minhash.class_of(s) for s in sets]
+    rows = spark.createDataFrame([(n, n) for n in names], "class binary, root binary")
+    found = minhash.prefix_links(rows, spark.createDataFrame(list(zip(names, texts, strict=True)), "class binary, text string"), 2, 80).collect()
+    share = lambda a, b: len(np.intersect1d(a, b))
+    links = {frozenset((names[i], names[j])) for i in range(len(sets)) for j in range(i) if 100 * (s := share(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - s)}
+    ours = {frozenset((bytes(r["u"]), bytes(r["v"]))) for r in found}
+    assert ours == links  # one link per straggler and component, and here every class is a component
+
+
 def test_deduplicate_keeps_one_of_each_and_all_columns(spark, documents, corpus):
     docs = documents([(*r, "z") for r in rows_of(corpus)], ", class string")
     kept = minhash.deduplicate(docs, width=3, percent=85)
@@ -100,8 +140,8 @@ def test_suffix_array_and_common_prefixes():
 @pytest.mark.parametrize(("shard_bytes", "salt_shards"), [(2000, suffixes.SALT_SHARDS), (900, 5), (suffixes.SHARD_BYTES, suffixes.SALT_SHARDS)])
 def test_repeats_equal_counting_all_windows(spark, documents, corpus, shard_bytes, salt_shards, monkeypatch):
     monkeypatch.setattr(suffixes, "RANGE_WINDOWS", 500)
-    monkeypatch.setattr(suffixes, "HOT_ROWS", 10 if salt_shards == 5 else 10_000)
-    monkeypatch.setattr(suffixes, "HOT_ANCHORS", 100)
+    monkeypatch.setattr(common, "HOT_ROWS", 10 if salt_shards == 5 else 10_000)
+    monkeypatch.setattr(common, "HOT_KEYS", 100)
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeats(documents(rows_of(corpus)), shard_bytes=shard_bytes, salt_shards=salt_shards).collect()}
     assert found == dict(enumerate(brute.repeats(corpus, 400)))
 

@@ -1,6 +1,8 @@
 """The pipeline's stages against plain versions, on the provided documents."""
 
 import os
+import random
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -100,3 +102,40 @@ def test_null_and_repeated_ids(spark, documents, tmp_path):
     assert sorted(r["text"] for r in kept if r["text"] not in (text, near)) == ["", "", "a b c d e f", other]
     exact = corpus_pipeline.near_dedup(spark, documents([row(5, text, "b"), row(5, text, "a"), row(9, text)]), str(tmp_path)).collect()
     assert [(r["doc_id"], r["source"]) for r in exact] == [(5, "a")]
+
+
+def test_stages_on_odd_tables(spark, documents, tmp_path):
+    """Empty tables; null, empty, blank, very long and repeated texts; null and repeated ids; columns with the names of helpers."""
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    prose = "The long road went down to the quiet harbour, where old boats waited for the tide."
+    pick = random.Random(12)
+    sentence = lambda: " ".join("".join(pick.choice("etaoinshrdlu") for _ in range(pick.randint(2, 9))) for _ in range(12)).capitalize() + "."
+    long = " ".join(sentence() for _ in range(40_000))
+    texts = [None, "", " \n\t ", prose, prose, f"{prose} token=abcdefgh1234", long, "one two three four five six seven eight nine ten eleven", "x" * 300_000]
+    rows = [(None if k % 4 == 3 else k // 2, t, "en", None if k % 3 else "s", len(t or "")) for k, t in enumerate(texts)]
+    clash = ", class string, bucket int, key int, votes string, spans string, text_hash int, __place int, __word int, __marked int, size string"
+    docs = documents([(*r, "c", 1, 2, "v", "p", 3, 4, 5, 6, "z") for r in rows], clash)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0, name
+    clean = spark.range(100).select(F.lit(None).cast("bigint").alias("doc_id"), F.element_at(F.array(*[F.lit(f"{sentence()} {sentence()}") for _ in range(100)]), F.col("id").cast("int") + 1).alias("text"))
+    kept = [r["text"] for r in corpus_pipeline.quality_rules(spark, docs.unionByName(clean, allowMissingColumns=True), str(tmp_path)).collect()]
+    assert len(kept) >= 100
+    assert kept.count(prose) == 2 and long in kept and not {None, "", " \n\t "} & set(kept)
+    alone = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r["text"]) for r in alone) == sorted(str(t) for t in {*texts} - {texts[5]}) and all(r["__place"] == 4 and r["__marked"] == 6 for r in alone)
+    clean = [r["text"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, clean)) == sorted(str(t) for t in texts if t != texts[7])
+    masked = {r["text"] for r in corpus_pipeline.secrets(spark, docs, str(tmp_path)).collect()}
+    assert f"{prose} token=[SECRET]" in masked and {None, "", long} <= masked
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and {r["text"] for r in mixed.collect()} <= set(texts)
+
+
+def test_run_leaves_one_table(spark, shared_folder):
+    folder = shared_folder.removeprefix("file://")
+    tables = lambda: {p for p in Path(folder).rglob("*-*") if p.is_dir()}
+    before = tables()
+    rows = corpus_pipeline.run(spark, DIR)
+    left = {p.name.split("-", 1)[1] for p in tables() - before if not p.name.startswith(("app-", "local-"))}
+    assert left == {"secrets"} and rows.count() > 0
