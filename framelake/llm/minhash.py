@@ -303,8 +303,9 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         classes = rows.where("class IS NOT NULL").groupBy("class").agg(least_row, F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
         classes = stored(classes.select("class", "least_row.doc_id", "least_row.text_hash", "n_rows", "n_shingles", "bands"), "classes")
         keys = classes.select("class", F.explode("bands").alias("bucket"))
-        shared_keys = keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-        members = stored(keys.join(shared_keys, "bucket"), "buckets")
+        shared_keys = stored(keys.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("counts")).where("counts > 1"), "shared-buckets")
+        members = stored(with_counts(keys, shared_keys, "bucket").select("bucket", "class", "hub"), "buckets")
+        dropped(shared_keys)
         release(spark)
 
         wanted = stored(members.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "bucket-classes")
@@ -331,10 +332,11 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         near = members.join(first.select("hub", F.col("member").alias("class"), (F.col("shared") / F.col("united")).alias("likeness")), ["hub", "class"], "left")
         near = near.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
         near = near.select("bucket", "class", F.coalesce("likeness", F.when(F.col("class") == F.col("hub"), F.lit(1.0))).alias("likeness"), F.coalesce("root", "class").alias("root"))
+        near = stored(near, "members-with-roots")
         parts = near.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
-        largest = largest.select("bucket", "members", F.col("top.root").alias("top"))
-        near = stored(near.join(largest, "bucket"), "open-buckets")
+        largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("counts"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
+        largest = stored(largest.select("bucket", "counts", F.col("top.root").alias("top")), "largest-parts")
+        near = stored(with_counts(near, largest, "bucket").withColumnRenamed("counts", "members"), "open-buckets")
         small, large = near.where(F.col("members") <= SMALL), near.where(F.col("members") > SMALL)
         right = small.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "likeness", "root")))
         apart = F.coalesce(F.abs(F.col("likeness") - F.col("likeness_2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
