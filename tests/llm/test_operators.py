@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -271,14 +272,56 @@ def test_secret_findings(spark, documents):
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
-def test_automaton_tells_held_out_credentials_from_words():
-    model = secret_scan.Model([])
-    pick = random.Random(99)
-    new = [s for s in secret_scan.made_by_rule(each=10, seed=1234)]
-    plain = [w for w in secret_scan.plain_words(seed=77, n=200) if len(w) >= 20]
-    assert np.mean([model.score(s) >= model.threshold for s in new]) > 0.85
-    assert np.mean([model.score(w) >= model.threshold for w in plain]) < 0.05
-    assert model.automaton.likelihood("".join(pick.choice("0123456789abcdef") for _ in range(40))) > -100
+def test_automaton_finds_formats_that_were_left_out_of_the_fit():
+    runs = sorted({w for w in secret_scan.plain_words(seed=77, n=3000) if len(w) >= 8})
+    for name in secret_scan.FORMATS:
+        model = secret_scan.Model([], runs, made=secret_scan.made_by_rule(without=(name,)))
+        new = secret_scan.made_by_rule(each=60, seed=1234, without=tuple(k for k in secret_scan.FORMATS if k != name))
+        assert np.mean(model.scores(new) >= model.threshold) > 0.8, name
+        assert np.mean(model.scores(runs) >= model.threshold) < 0.003
+
+
+def test_automaton_merges_states_and_gives_probabilities():
+    strings = secret_scan.made_by_rule(each=30)
+    found = secret_scan.Automaton(strings)
+    nodes = len({tuple(secret_scan.symbols(s)[:k]) for s in strings for k in range(len(s) + 1)})
+    assert 3 < len(found.log) < 0.1 * nodes
+    assert (np.exp(found.log).sum(1) <= 1 + 1e-9).all() and set(found.after.ravel()) <= set(range(len(found.log)))
+    assert np.allclose(np.exp(secret_scan.Plain(strings).log).sum(1), 1)
+
+
+def test_scores_and_spans_equal_scoring_each_candidate_alone(spark, documents, corpus):
+    pick = random.Random(8)
+    mixed = [" ".join(pick.choice(secret_scan.made_by_rule(1, k) + corpus[0].split()) for _ in range(12)) for k in range(60)]
+    texts = [*ODD, *mixed, "see auth=ghp_" + "aB3dE5gH7" * 4 + ", and é /x/" + "Zk81mQx72Lp0" + "... end.", "aB3" * 900, "x" * 3000, "a.......", "........", *corpus[:30]]
+    model = secret_scan.Model(["hunter22hunter"], sorted({w for t in corpus for w in (t or "").split() if len(w) >= 8 and w.isascii()}))
+
+    def alone(value):
+        a, b, total = 0, model.plain.start, 0.0
+        for c in map(secret_scan.SYMBOLS.index, secret_scan.symbols(value)):
+            total += model.automaton.log[a][c] - model.plain.log[b][c]
+            a, b = model.automaton.after[a][c], model.plain.after[b][c]
+        return total / np.log(2)
+
+    base, spans = model.findings(pa.array(texts))
+    for t, own, found in zip(texts, base, spans, strict=True):
+        expected = [(x[1], x[2]) for x in own]
+        runs = [(m.start(), m.start() + len(m[0].rstrip("."))) for form in (r"[A-Za-z0-9+/_.=-]+", r"[A-Za-z0-9+_.-]+") for m in re.finditer(form, t or "")]
+        for a, b in sorted((x for x in runs if x[1] - x[0] >= 8 and alone(t[x[0] : x[1]]) >= model.threshold), key=lambda x: (x[0] - x[1], x[0])):
+            if not any(x <= a and b <= y for x, y in expected):
+                expected.append((a, b))
+        assert sorted((x[1], x[2]) for x in found) == sorted(expected)
+    glued = texts[len(ODD) + 60]
+    assert [glued[x[1] : x[2]] for x in spans[len(ODD) + 60]][:1] == ["auth=ghp_" + "aB3dE5gH7" * 4] and "Zk81mQx72Lp0" in {glued[x[1] : x[2]].split("/")[-1] for x in spans[len(ODD) + 60]}
+
+
+def test_added_spans_reach_the_table_and_the_mask(spark, documents):
+    key = secret_scan.made_by_rule(1, 5)[4]
+    docs = documents(rows_of([f"the key {key} was found here", "plain words about international understanding", None]))
+    found = {r["doc_id"]: r for r in secret_scan.secret_scan(docs).collect()}
+    assert found[0]["spans"] == f"format:8:{8 + len(key)}" and found[0]["n_added"] == 1 and found[0]["base"] == ""
+    assert found[1]["spans"] == "" and found[2]["spans"] == ""
+    assert [r["text"] for r in secret_scan.redact(docs).orderBy("doc_id").collect()][0] == "the key [SECRET] was found here"
 
 
 def test_redaction_masks_values_only(spark, documents):
