@@ -1,27 +1,34 @@
 """Main text of web pages by line-block distribution.
 
-Markup is turned into lines (one per block element) with the text length of
-each; sums over a sliding window of lines make the distribution, whose surge and
-dive points bound the main text. Lines that the markup itself declares to be no
-article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments: by element, role, class or id; inside an article only by whole words of
-class or id, headings never) count as empty, as does everything
-outside an ``<article>`` or ``<main>`` where a page has one. Where a page says
-so, the surge is the first line with text and the dive the last, so that short
-first and last paragraphs stay; else a window has to reach ``threshold``
-characters for a surge, to which lines that are mostly links add nothing, and all
-lines from the first surge to the last dive are the text, without the labels (lines
-under ``LABEL`` characters that end no sentence) at its ends.
-
-At scale: a map over Arrow batches; nothing is shuffled or collected.
+Markup is turned into lines (one per block element), each with a weight. Sums of
+weights over a sliding window of lines make the distribution; its first surge
+over ``threshold`` and its last dive bound the main text.
+
+A line weighs its characters, or nothing if more than half of them are links or
+the markup declares it no article text (menus, headers, footers, sidebars,
+notices, adverts, forms, reader comments: by element, role, class or id; inside an
+article only by whole words of class or id, headings never). Where a page has an
+``<article>`` or ``<main>`` with at least a tenth of the page's weight, lines outside
+weigh nothing, and each line inside a threshold more than its characters: so short
+first and last lines are within the surge. All lines from surge to dive are the
+text; on pages without such an element without the labels (lines under ``LABEL``
+characters that end no sentence) at its ends, since a window reaches over its
+neighbours.
+
+At scale: a map over Arrow batches; nothing is shuffled or collected. Tags are read
+as browsers do, each once, and closing tags are found in one pass, so that time
+grows with the page.
 
 Edge cases: null and empty pages, and pages without text, give an empty string;
-comments, declarations, scripts, styles and other raw elements never give text;
+an empty table gives no rows; very long pages are read whole;
+comments, declarations, scripts, styles and other raw elements never give text; a
+tag that the page's end cuts off gives none; a quote counts only after ``=``;
 unclosed elements end with the page, and an unclosed boilerplate element ends
 before the next block so that it cannot swallow the page; character references
 are decoded after the markup is gone; all white space, no-break space included,
-becomes one space inside a block; repeated pages and ids are treated row by row;
-extra columns are ignored.
+becomes one space inside a block; windows with exactly the threshold are below it;
+repeated pages and ids are treated row by row; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WINDOW = 3
+WINDOW = 5
 THRESHOLD = 80
 LABEL = 25
 # Element names of the HTML standard, by how they are treated.
@@ -54,7 +61,7 @@ NAMES = (
 )
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[A-Za-z]+")
 _HEADINGS = frozenset(("header", "hgroup", "h1", "h2", "h3", "h4", "h5", "h6"))
@@ -76,18 +83,49 @@ def _told(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def _closes(page: str, name: str, at: int) -> int:
-    """Where the element that was opened before ``at`` ends, or -1 if it is not closed."""
-    depth = 1
-    for m in re.finditer(rf"<(/?){name}\b[^>]*>", page[at:], re.I):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return at + m.end()
-    return -1
+def tags_of(page: str) -> tuple[list[tuple[int, int, str, bool, str]], list[int]]:
+    """(start, end, name, whether it opens, attributes) of each tag outside raw elements, and for each opening tag the number of the tag that closes it (-1: none).
+
+    Comments and declarations are nameless tags, raw elements single ones.
+    """
+    tags: list[tuple[int, int, str, bool, str]] = []
+    closed: list[int] = []
+    waiting: dict[str, list[int]] = {}
+    at = page.find("<")
+    while at >= 0:
+        lead = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            tags.append((at, end, "", False, ""))
+        elif lead in ("!", "?"):
+            end = page.find(">", at) + 1 or len(page)
+            tags.append((at, end, "", False, ""))
+        elif lead.isascii() and lead.isalpha() or lead == "/" and page[at + 2 : at + 3].isalpha():
+            m = _TAG.match(page, at)
+            if m is None:  # cut off by the end of the page
+                tags.append((at, len(page), "", False, ""))
+                closed.append(-1)
+                break
+            name, opens, end = m[2].lower(), not m[1], m.end()
+            if opens and name in _RAW:
+                stop = _RAW_END[name].search(page, end)
+                end = stop.end() if stop else len(page) if name in ("script", "style") else end
+            elif opens:
+                waiting.setdefault(name, []).append(len(tags))
+            elif waiting.get(name):
+                closed[waiting[name].pop()] = len(tags)
+            tags.append((at, end, name, opens, m[3]))
+        else:
+            at = page.find("<", at + 1)
+            continue
+        closed.append(-1)
+        at = page.find("<", end)
+    return tags, closed
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters of it in links, whether it is inside the article) of each line, and whether the page has an article."""
+    """(text, characters of it in links, whether it is inside the article) of each line that the markup does not declare boilerplate, and whether the page has an article."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = links = depth = at = 0
@@ -101,35 +139,33 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         parts.clear()
         linked = 0
 
+    tags, closed = tags_of(page)
+    k = 0
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        text = page[at : tags[k][0] if k < len(tags) else len(page)]
         if text:
             parts.append(text)
             linked += len(text) if links else 0
-        if not m:
+        if k == len(tags):
             break
-        at = m.end()
-        if m[2] is None:
-            continue
-        name, opens = m[2].lower(), not m[1]
-        if opens and name in _RAW:
-            stop = _RAW_END[name].search(page, at)
+        _, at, name, opens, attributes = tags[k]
+        k += 1
+        if name in _RAW and opens:
             end_line() if name == "head" else None
-            at = stop.end() if stop else len(page) if name in ("script", "style") else at
             continue
         if name in _BLOCKS:
             end_line()
         if name in ("article", "main"):
             marked = marked or opens
             depth = depth + 1 if opens else max(0, depth - 1)
-        elif opens and name not in _VOID and name != "body" and name != "html" and (name in _BOILERPLATE or name == "header" and not depth or _told(name, m[3], depth > 0)):
+        elif opens and name not in _VOID and name not in ("body", "html") and (name in _BOILERPLATE or name == "header" and not depth or _told(name, attributes, depth > 0)):
             end_line()
-            stop = _closes(page, name, at)
-            if stop < 0:
-                block = next((t for t in _TOKEN.finditer(page, at) if t[2] and t[2].lower() in _BLOCKS), None)
-                stop = block.start() if block else len(page)
-            at = stop
+            if closed[k - 1] >= 0:
+                at, k = tags[closed[k - 1]][1], closed[k - 1] + 1
+            else:
+                while k < len(tags) and tags[k][2] not in _BLOCKS:
+                    k += 1
+                at = tags[k][0] if k < len(tags) else len(page)
         elif name == "br":
             parts.append(" ")
         elif name == "a":
@@ -140,6 +176,17 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, marked
 
 
+def weights_of(lines: list[tuple[str, int, bool]], marked: bool, threshold: int) -> tuple[list[int], int, bool]:
+    """The weight of each line, the threshold for the page, and whether its article counts."""
+    plain = [len(text) if linked * 2 <= len(text) else 0 for text, linked, _ in lines]
+    total = sum(plain)
+    inside = sum(w for w, x in zip(plain, lines, strict=True) if x[2])
+    threshold = min(threshold, total // 4)
+    if marked and any(x[2] for x in lines) and 10 * inside >= total:
+        return [len(text) + threshold if own else 0 for text, _, own in lines], threshold, True
+    return plain, threshold, False
+
+
 def stretches(sizes: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
     """Line ranges from a surge point to a dive point of the window sums: a stretch begins at the first line with text of a window that exceeds the threshold, and ends with the last."""
     sums = [sum(sizes[k : k + window]) for k in range(len(sizes))]
@@ -162,26 +209,19 @@ def stretches(sizes: list[int], window: int, threshold: int) -> list[tuple[int,
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     lines, marked = lines_of(page or "")
-    if marked:
-        kept = [bool(inside) for _, _, inside in lines]
-        threshold = 0
-    else:
-        kept = [linked * 2 <= len(text) for text, linked, _ in lines]
-        total = sum(len(x[0]) for x, k in zip(lines, kept, strict=True) if k)
-        threshold = min(threshold, total // 4)
-    sizes = [len(x[0]) if k else 0 for x, k in zip(lines, kept, strict=True)]
-    found = stretches(sizes, window, threshold)
+    weights, threshold, marked = weights_of(lines, marked, threshold)
+    found = stretches(weights, window, threshold)
     if not found:
         return ""
     start, stop = found[0][0], found[-1][1]
-    if not marked:  # a window reaches over its neighbours: labels next to the text are not part of it
-        label = lambda k: not sizes[k] or sizes[k] < LABEL and lines[k][0][-1] not in ".!?:;\"'"
-        while start < stop - 1 and label(start):
-            start += 1
-        while start < stop - 1 and label(stop - 1):
-            stop -= 1
-        kept = [True] * len(lines)
-    return "\n".join(lines[k][0] for k in range(start, stop) if kept[k])
+    if marked:
+        return "\n".join(lines[k][0] for k in range(start, stop) if weights[k])
+    label = lambda k: not weights[k] or weights[k] < LABEL and lines[k][0][-1] not in ".!?:;\"'"
+    while start < stop - 1 and label(start):
+        start += 1
+    while start < stop - 1 and label(stop - 1):
+        stop -= 1
+    return "\n".join(lines[k][0] for k in range(start, stop))
 
 
 def extract(pages: DataFrame, page_id="page_id", url="url", markup="html", window=WINDOW, threshold=THRESHOLD) -> DataFrame:

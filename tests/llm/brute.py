@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -108,3 +109,45 @@ def latent_classes(votes, rules, families, rounds, prior, least_error, least_fou
                 cast = sum(g[k] for g, v in zip(given, votes, strict=True) if v[r])
                 table[k][r] = max((bad + prior * start[k][r]) / (cast + prior), least_found if own[k][r] else least_error)
     return share, table
+
+
+class Article(HTMLParser):
+    """Lines of the article of a well-formed page, by a tree walk of the standard library's parser."""
+
+    def __init__(self, page, blocks, boilerplate, names, raw, void):
+        super().__init__(convert_charrefs=True)
+        self.lists = blocks, boilerplate, names, raw, void
+        self.stack, self.lines, self.parts = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.lines.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        blocks, boilerplate, names, raw, void = self.lists
+        if tag in blocks:
+            self.end()
+        if tag == "br":
+            self.parts.append(" ")
+        if tag not in void:
+            attrs = dict(attrs)
+            words = {*(attrs.get("class") or "").lower().split(), *(attrs.get("id") or "").lower().split()} - {"header"}
+            bad = tag in boilerplate or tag in raw or words & set(names) or "hidden" in attrs
+            self.stack.append((tag, bool(bad)))
+
+    def handle_endtag(self, tag):
+        if tag in self.lists[0]:
+            self.end()
+        if tag in ("td", "th"):
+            self.parts.append(" ")
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t in ("article", "main") for t, _ in self.stack) and not any(bad for _, bad in self.stack):
+            self.parts.append(data)

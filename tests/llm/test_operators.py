@@ -428,6 +428,42 @@ def test_main_text_of_an_unmarked_page_is_not_cut_between_stretches():
     assert html_text.main_text(page).split("\n") == [*lines[:4], "a line inside the text that is a link", *lines[4:]]
 
 
+def test_main_text_equals_a_tree_walk_on_the_provided_pages(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    lists = html_text.BLOCKS, html_text.BOILERPLATE, html_text.NAMES, html_text.RAW, html_text.VOID
+    for page in pages:
+        assert html_text.main_text(page) == "\n".join(brute.Article(page or "", *lists).lines)
+
+
+def test_main_text_by_the_distribution_alone(spark):
+    """The same pages without their article elements: the result is the work of the window, so another window gives others."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"(</?)(?:article|main)\b", r"\1div", p or "") for p in pages]
+    expected = [html_text.main_text(p) for p in pages]
+    share = lambda window: np.mean([html_text.main_text(p, window=window) == t for p, t in zip(bare, expected, strict=True)])
+    assert share(html_text.WINDOW) > 0.95 and share(1) < 0.5
+
+
+def test_main_text_does_not_trust_a_teaser_article():
+    body = [f"Paragraph {k} " + "has many real words in it, as the text of a page does. " * 4 for k in range(12)]
+    page = "<main><p>Teaser.</p></main>" + "".join(f"<p>{x}</p>" for x in body)
+    assert html_text.main_text(page).split("\n")[-12:] == [x.strip() for x in body]
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<a x="', "<a x='", "<nav>", "<div class=ad>", "<", "<a ", "<!--", "<a =  ", "<script>", "&amp", "<p>", "</div>"])
+def test_time_grows_with_the_page(piece):
+    import time
+
+    began = time.time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 10
+
+
+def test_unclosed_tags_and_quotes():
+    assert html_text.main_text("<article><p>one</p><p>two <a href=") == "one\ntwo"
+    assert html_text.main_text("<article><p title=\">\">one</p><p>a < b and 3 <4</p><p x='>'>two</p>") == "one\na < b and 3 <4\ntwo"
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>", "extra"), (1, None, None, "e"), (None, "v", "", "e")], "page_id bigint, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "x", 1)]
