@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUB_BATCH_BYTES = 8 << 20
+SUB_BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +46,17 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
+def small_batches(spark: SparkSession, most: int = 4 * SUB_BATCH_BYTES) -> None:
+    """Lowers the session's Arrow batches to ``most`` bytes: at the default of 64 MB, rows of long texts fill that much in the JVM and in Python, in every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > most:
+        spark.conf.set(name, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here and file sizes are known to the optimizer."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 WINDOW = 5
 THRESHOLD = 80
@@ -232,6 +232,7 @@ def extract(pages: DataFrame, page_id="page_id", url="url", markup="html", windo
             texts = [main_text(p, window, threshold) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(markup).alias("html"))
     return rows.mapInArrow(strip, "page_id bigint, url string, text string, n_chars bigint")
 

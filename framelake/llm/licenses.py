@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, texts_of, translated
+from .common import Words, cut, small_batches, texts_of, translated
 
 THRESHOLD = 0.8
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -187,6 +187,7 @@ def license_scan(docs: DataFrame, doc_id="doc_id", text="text", templates: dict[
             types = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "license", "score", "n_licenses", "spans"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(look, SCHEMA)
 
 

@@ -20,8 +20,8 @@ compared with members of other components: in buckets of at most ``SMALL``
 members as pairs, and only where the triangle inequality of the Jaccard distance
 to the hub allows a link. Members of larger open buckets meet again by their rarest
 shingles (prefix filter, exact): those of a shingle with at most ``SMALL`` members
-as pairs of fitting sizes, those of a more frequent one in blocks, a block of
-stragglers as an inverted index that the others stream past, which counts a
+as pairs of fitting sizes, those of more frequent ones in blocks of their bucket, a
+block of stragglers as an inverted index that the others stream past, which counts a
 member's overlaps with the whole block at once and keeps one link per straggler and
 component. No pair that could join two components is left out, so the result is
 that of confirming every candidate pair.
@@ -34,8 +34,9 @@ sets, and the members of a large bucket are dealt to tasks of ``SALT_MEMBERS``;
 comparing streams over sorted rows with one hub's set or one block in memory.
 Members of large open buckets cost one narrow row per shingle; texts that share any
 part of their shingles, but not their rarest ones, meet no further. What remains
-quadratic is a shingle that many texts of different components have among their
-rarest: its members travel once per block of ``BLOCK`` stragglers, text and all.
+quadratic are classes of large buckets that have a shingle among their rarest which
+many texts of other components have there too: those travel once per block of at
+most ``BLOCK`` stragglers and ``BLOCK_SHINGLES`` shingles, text and all.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased. Edge cases: fewer
 words than a shingle make one shingle of the whole sequence; null, empty and
@@ -59,9 +60,10 @@ from .graph import components
 
 PERMUTATIONS = 48
 BAND_ROWS = 4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SALT_SHINGLES = 200_000
 SMALL, BLOCK, SALT_MEMBERS = 32, 512, 4000
+BLOCK_SHINGLES = 400_000
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -186,8 +188,8 @@ class Block:
 
 
 def block_links(stragglers: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) between (bucket, class, root) stragglers and the members of their buckets, one for each straggler, component and task at least where there is one."""
-    blocks = stragglers.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    """Links (u, v) between (bucket, class, root, n) stragglers of n shingles and the members of their buckets, one for each straggler, component and task at least where there is one."""
+    blocks = stragglers.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     salts = members.groupBy("bucket").agg(F.ceil(F.count("*") / SALT_MEMBERS).alias("salts"))
     hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -225,14 +227,17 @@ def block_links(stragglers: DataFrame, members: DataFrame, texts: DataFrame, wid
     return rows.mapInArrow(compare, "u binary, v binary")
 
 
-def prefix_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) between classes of different components, from the (class, root) rows of large open buckets.
+def prefix_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between members of different components of large open buckets, stored rows (bucket, class, root, top).
 
     Prefix filter: with all shingles in one order, here those of one component
     first, then from rare to frequent, two linked sets of n and m shingles share one
     among the first n - ceil(n * percent / 100) + 1 of the one and those of the other.
-    What all texts have in common is in no prefix.
+    What all texts have in common is in no prefix. Classes that share a prefix's
+    shingle with at most ``SMALL`` are compared as pairs; those with a more frequent
+    one meet the others of that kind in blocks of their buckets.
     """
+    open_ = members.select("class", "root").distinct()
     sets = stored(shingled(open_.join(texts, "class"), width), "open-sets")
     places = sets.select("class", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     several = places.groupBy("shingle").agg(F.count("*").alias("counts"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
@@ -243,8 +248,8 @@ def prefix_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -
     rows = rows.select("class", "root", "n", F.explode(F.slice("order", F.lit(1), left.cast("int"))).alias("s")).select("class", "root", "n", F.col("s.shingle").alias("bucket"))
     rows = stored(rows, "prefixes")
     parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    groups = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("members"), F.max(F.struct("k", "root")).alias("top")).where("parts > 1")
-    rows = rows.join(groups.select("bucket", "members", F.col("top.root").alias("top")), "bucket")
+    groups = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("members")).where("parts > 1")
+    rows = stored(rows.join(groups.select("bucket", "members"), "bucket"), "prefix-groups")
     small, large = rows.where(F.col("members") <= SMALL), rows.where(F.col("members") > SMALL)
     right = small.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("class", "root", "n")))
     fits = F.lit(100) * F.least("n", "n_2") >= F.lit(percent) * F.greatest("n", "n_2")
@@ -252,9 +257,11 @@ def prefix_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -
     pairs = pairs.select(F.col("class").alias("hub"), F.col("class_2").alias("member")).distinct()
     sizes = sets.select("class", F.size("shingles").alias("n_shingles"))
     found = compared(pairs, texts, sizes, width).where(f"100 * shared >= {percent} * united").select(F.col("hub").alias("u"), F.col("member").alias("v"))
-    if not large.head(1):
+    frequent = stored(large.select("class", "n").distinct(), "frequent-prefixes")
+    if not frequent.head(1):
         return found
-    return found.unionByName(block_links(large.where("root <> top").select("bucket", "class", "root"), large.select("bucket", "class", "root"), texts, width, percent))
+    again = members.join(frequent, "class")
+    return found.unionByName(block_links(again.where("root <> top"), again, texts, width, percent))
 
 
 def shingled(texts: DataFrame, width: int) -> DataFrame:
@@ -345,7 +352,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", width=5, perc
         cross = cross.join(first.select("hub", "member"), ["hub", "member"], "left_anti")
         more = compared(cross, texts, classes, width).where(linked).select(F.col("hub").alias("u"), F.col("member").alias("v"))
         if large.head(1):
-            more = more.unionByName(prefix_links(large.select("class", "root").distinct(), texts, width, percent))
+            more = more.unionByName(prefix_links(large.select("bucket", "class", "root", "top"), texts, width, percent))
         more = stored(more, "more-links")
         if more.head(1):
             roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, cut, mixed, raw, scratch, stored, texts_of, windows_hash
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SPACES = b"\t\n\x0b\x0c\r "
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10

@@ -69,7 +69,7 @@ def test_a_large_open_bucket_costs_rows_in_proportion(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(minhash, "stored", lambda df, name: kept.append((name, out := common.stored(df, name))) or out)
     monkeypatch.setattr(minhash, "block_links", None)  # is not needed
-    rows = spark.createDataFrame([(n, n) for n in names], "class binary, root binary")
+    rows = spark.createDataFrame([(1, n, n, names[0]) for n in names], "bucket bigint, class binary, root binary, top binary")
     found = minhash.prefix_links(rows, spark.createDataFrame(list(zip(names, texts, strict=True)), "class binary, text string"), 3, 85).collect()
     assert {frozenset((bytes(r["u"]), bytes(r["v"]))) for r in found} == {frozenset((names[k], names[2000 + k])) for k in range(5)}
     counts = {name: df.count() for name, df in kept}
@@ -89,7 +89,7 @@ def test_prefixes_leave_no_link_out(spark):
     texts = sorted(set(texts))
     sets = minhash.shingle_sets(pa.array(texts), 2)
     names = [minhash.class_of(s) for s in sets]
-    rows = spark.createDataFrame([(n, n) for n in names], "class binary, root binary")
+    rows = spark.createDataFrame([(1, n, n, names[0]) for n in names], "bucket bigint, class binary, root binary, top binary")
     found = minhash.prefix_links(rows, spark.createDataFrame(list(zip(names, texts, strict=True)), "class binary, text string"), 2, 80).collect()
     share = lambda a, b: len(np.intersect1d(a, b))
     links = {frozenset((names[i], names[j])) for i in range(len(sets)) for j in range(i) if 100 * (s := share(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - s)}
