@@ -7,6 +7,7 @@ executors share, and access to that folder through ``pyarrow.fs``.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -137,7 +138,10 @@ def filesystem(uri: str):
 
 
 def cut(batches: Iterator[pa.RecordBatch], column: str, most: int = SUB_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose values of ``column`` have about ``most`` bytes together; one long value is a slice of its own."""
+    """Slices of the batches whose values of ``column`` have about ``most`` bytes together; one long value is a slice of its own.
+
+    At the end of a partition the worker, which waits for the next task, gives free memory back.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -148,6 +152,9 @@ def cut(batches: Iterator[pa.RecordBatch], column: str, most: int = SUB_BATCH_BY
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
 def texts_of(column: pa.Array) -> pa.StringArray:
