@@ -17,14 +17,16 @@ shifted table values, which four doublings give for every byte.
 At scale: one scan leaves the digests, about 22 bytes per chunk. Their first
 halves are counted with partial aggregation (a passage in a third of all
 documents is one row per task); places of halves that occur once go no further
-than one equi-join, which AQE splits where a half is skewed; whole digests and
-first occurrences are made up among the rest, and what meets again per document
-is bounded by the document's own chunks.
+than one equi-join, and those of a hot half or digest get its row by a bounded
+broadcast; whole digests and first occurrences are made up among the rest, and what
+meets again per document is bounded by the document's own chunks.
 
 Edge cases: null and empty texts have no chunks; a text shorter than
 ``min_size`` is one chunk; rows with the same id and text count as one document,
-and all its rows show the same result; a null id comes after all others; extra
-columns are kept by ``without_repeats`` and ignored by ``chunk_repeats``.
+and all its rows show the same result; a null id comes after all others; ties in id
+go to the lesser text hash, then the earlier place; an empty table gives no rows; very
+long texts are chunked whole; extra columns are kept by ``without_repeats`` and
+ignored by ``chunk_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, raw, release, scratch, stored, texts_of
+from .common import cut, dropped, raw, release, scratch, stored, texts_of, with_counts
 
 MIN_SIZE, MASK_BITS, MAX_SIZE, MIN_RUN = 16, 5, 256, 0
 BATCH_BYTES = 4 << 20
@@ -107,16 +109,17 @@ def chunked(docs: DataFrame, doc_id="doc_id", text="text", min_size=MIN_SIZE, ma
 def chunk_repeats(docs: DataFrame, doc_id="doc_id", text="text", min_run=MIN_RUN, **sizes) -> DataFrame:
     """One row per document: doc_id, text_hash, n_bytes, n_chunks, n_repeats (chunks that occur earlier), starts and ends of what is removed."""
     rows = stored(chunked(docs, doc_id, text, **sizes), "chunks")
-    many = rows.select(F.explode("high").alias("high")).groupBy("high").agg(F.count("*").alias("n")).where("n > 1").select("high")
+    many = rows.select(F.explode("high").alias("high")).groupBy("high").agg(F.count("*").alias("counts")).where("counts > 1")
     many = stored(many, "repeated-halves")
     release(docs.sparkSession)
     places = rows.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("high", "low")).alias("k", "d")).select("doc_id", "text_hash", "k", "d.high", "d.low")
-    places = stored(places.join(many, "high"), "repeated-places")
+    places = stored(with_counts(places, many, "high").drop("counts"), "repeated-places")
     dropped(many)
     release(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "k")
-    first = places.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
-    later = places.join(first, ["high", "low"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("k") == F.col("first.k"))))
+    first = places.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("counts")).where("counts > 1")
+    first = stored(first.select("high", "low", "first", "counts"), "first-places")
+    later = with_counts(places, first, "high", "low").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("k") == F.col("first.k"))))
     later = later.groupBy(F.col("doc_id").alias("later_id"), F.col("text_hash").alias("later_hash")).agg(F.collect_set("k").alias("later"))
     same = F.col("doc_id").eqNullSafe(F.col("later_id")) & (F.col("text_hash") == F.col("later_hash"))
     joined = rows.select("doc_id", "text_hash", "ends").join(later, same, "left").drop("later_id", "later_hash")

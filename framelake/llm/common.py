@@ -117,7 +117,7 @@ def release(spark: SparkSession) -> None:
 HOT_ROWS, HOT_KEYS = 10_000, 50_000
 
 
-def with_counts(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+def with_counts(rows: DataFrame, counts: DataFrame, *key: str) -> DataFrame:
     """rows joined with their key's row of the stored table ``counts``, which has the number of such rows as ``counts``.
 
     Keys with over ``HOT_ROWS`` rows and over 1 / ``HOT_KEYS`` of all are at most
@@ -125,9 +125,9 @@ def with_counts(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     meet in one task. All others go through an equi-join.
     """
     hot = F.col("counts") > max(HOT_ROWS, (counts.agg(F.sum("counts")).first()[0] or 0) // HOT_KEYS)
-    looked = rows.join(F.broadcast(counts.where(hot)), key, "left")
-    cold = looked.where("counts IS NULL").drop(*(c for c in counts.columns if c != key))
-    return looked.where("counts IS NOT NULL").unionByName(cold.join(counts.where(~hot), key))
+    looked = rows.join(F.broadcast(counts.where(hot)), list(key), "left")
+    cold = looked.where("counts IS NULL").drop(*(c for c in counts.columns if c not in key))
+    return looked.where("counts IS NOT NULL").unionByName(cold.join(counts.where(~hot), list(key)))
 
 
 def filesystem(uri: str):

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import Words, cut, stored, texts_of, translated
 
 WINDOW = 10
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))

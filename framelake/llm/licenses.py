@@ -19,7 +19,8 @@ At scale: a map; templates are constants of about a megabyte.
 Edge cases: null and empty texts have no windows; windows of one word have
 no bigrams and match nothing; ties go to the shorter window, then the earlier, then the
 template first in order of its name;
-repeated documents are scanned row by row; extra columns are ignored.
+repeated documents are scanned row by row; an empty table gives no rows; very long
+texts are read whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

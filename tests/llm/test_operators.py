@@ -542,6 +542,44 @@ def test_chunks_resist_insertions_and_keep_first_occurrences(spark, documents, c
         assert (trimmed[i] or "").encode() == kept
 
 
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_removed_chunks_equal_a_plain_pass_over_all_chunks(spark, documents, corpus, hot, monkeypatch):
+    """Byte by byte: a chunk ends by the loop over the rolling hash, and goes if an earlier document or place has it."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 30)
+    texts = [*corpus, *[f"{corpus[3][:200]} {k}" for k in range(40)]]
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        body, h, start, gone, n = (t or "").encode(), 0, 0, [], 0
+        for k, b in enumerate(body):
+            h = ((h << 1) + int(chunks.GEAR[b])) & 0xFFFF
+            last, border = k + 1 == len(body), k + 1 == len(body) or body[k + 1] & 0xC0 != 0x80
+            pieces = []
+            if (h >> 11 == 0 and border and k + 1 - start >= chunks.MIN_SIZE) or last:
+                pieces = [(start, k + 1)]
+                while pieces[-1][1] - pieces[-1][0] > chunks.MAX_SIZE:
+                    a, e = pieces.pop()
+                    at = a + chunks.MAX_SIZE
+                    while body[at] & 0xC0 == 0x80:
+                        at -= 1
+                    pieces += [(a, at), (at, e)]
+                if len(pieces) > 1 and pieces[-1][1] - pieces[-1][0] < chunks.MIN_SIZE and not last:
+                    pieces.pop()
+                start = pieces[-1][1]
+            for a, e in pieces:
+                n += 1
+                if body[a:e] in seen:
+                    gone.append((a, e))
+                seen.add(body[a:e])
+        spans = []
+        for a, e in gone:
+            spans = [*spans[:-1], (spans[-1][0], e)] if spans and spans[-1][1] == a else [*spans, (a, e)]
+        expected[i] = (n, len(gone), spans)
+    # copies are taken in the order of their ids here, and rows of equal id and text do not occur
+    found = {r["doc_id"]: (r["n_chunks"], r["n_repeats"], list(zip(r["starts"], r["ends"], strict=True))) for r in chunks.chunk_repeats(documents(rows_of(texts))).collect()}
+    assert found == expected
+
+
 def test_short_repeats_are_removed(spark, documents):
     line = "this line of prose is met in both texts"
     texts = ["Die tz.", "Die tz.", f"{line}", f"{line}", "no repeat of anything here"]
