@@ -141,11 +141,18 @@ def tensor_census(fixed: np.ndarray, moving: np.ndarray, hy=1.0, hx=1.0, eps=CEN
 TENSORS = {"gc": tensor_gradient, "gray": tensor_gray, "cs": tensor_census}
 
 
+MEDIAN_VALUES = 4_000_000
+
+
 def median5(stack: np.ndarray) -> np.ndarray:
     """5 x 5 median with whole-sample reflection."""
     wide = np.pad(stack, ((0, 0), (2, 2), (2, 2)), mode="reflect")
-    views = sliding_window_view(wide, (5, 5), axis=(1, 2)).reshape(*stack.shape, 25)
-    return np.partition(views, 12, axis=-1)[..., 12]
+    out = np.empty(stack.shape)
+    step = max(1, MEDIAN_VALUES // max(1, 25 * stack.shape[0] * stack.shape[2]))
+    for y in range(0, stack.shape[1], step):  # the 25-fold copy is made of some rows at a time
+        views = sliding_window_view(wide[:, y : y + step + 4], (5, 5), axis=(1, 2))
+        out[:, y : y + step] = np.partition(views.reshape(*views.shape[:3], 25), 12, axis=-1)[..., 12]
+    return out
 
 
 # -- resampling --------------------------------------------------------------
@@ -496,14 +503,17 @@ def gradient_distance(volume: np.ndarray, frames: np.ndarray) -> np.ndarray:
 
 
 def parabolic(scores: np.ndarray, candidates: np.ndarray, tau_scale: float = 1e-3) -> np.ndarray:
-    """For rows of scores: the candidate of the best (first of equals), moved to the vertex of the parabola through its neighbours by at most half a step."""
-    at = np.arange(len(scores))
+    """For rows of scores: the candidate of the best (first of equals), moved to the vertex of the parabola through its neighbours by at most half a step.
+
+    Beyond an end the end's own score is repeated. With scores l, m, r the vertex is
+    at (r - l) / 2 / (2 m - l - r); bends under ``tau_scale`` of max(|m|, 1) are flat.
+    """
     best = scores.argmax(1)
-    s0, sm, sp = scores[at, best], scores[at, np.maximum(best - 1, 0)], scores[at, np.minimum(best + 1, scores.shape[1] - 1)]
-    bend = sm - 2 * s0 + sp
-    flat = np.abs(bend) < tau_scale * np.maximum(np.abs(s0), 1)
-    delta = np.where(flat, 0, 0.5 * (sm - sp) / np.where(flat, 1, bend))
-    return candidates[best] + np.clip(delta, -0.5, 0.5)
+    beside = np.take_along_axis(np.pad(scores, ((0, 0), (1, 1)), "edge"), best[:, None] + np.arange(3), 1)
+    rise, bend = (beside[:, 2] - beside[:, 0]) / 2, beside @ np.array([-1.0, 2.0, -1.0])
+    curved = np.abs(bend) >= tau_scale * np.maximum(np.abs(beside[:, 1]), 1)
+    vertex = np.divide(rise, bend, out=np.zeros(len(bend)), where=curved)
+    return candidates[best] + vertex.clip(-0.5, 0.5)
 
 
 def depth_map(distance: np.ndarray, anchor: int, win_half=10, patch=128, overlap=0.75, tau_scale=1e-3) -> np.ndarray:

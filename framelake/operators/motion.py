@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,9 +143,31 @@ def endpoint_errors(flows: DataFrame, border: int = 25) -> DataFrame:
 
 
 def mask_and(masks: DataFrame, by: tuple[str, ...] = ("rec_id",)) -> DataFrame:
-    """Pixels that are valid in every mask of a group; one partial mask per group and task is shuffled."""
-    spread = masks.select(*by, F.posexplode("valid").alias("i", "ok"))
-    return spread.groupBy(*by, "i").agg(F.bool_and("ok").alias("ok")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ok"))), lambda x: x["ok"]).alias("valid"))
+    """Pixels that are valid in every mask of a group; masks of a group have one size.
+
+    Each task ANDs the masks of its batches to one per group, and only these are
+    shuffled, as whole arrays; ANDing them again gives the result.
+    """
+    keys = list(by)
+    kinds = {f.name: f.dataType.simpleString() for f in masks.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "valid array<boolean>"])
+
+    def reduced(table: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+        groups: dict[tuple, np.ndarray] = {}
+        lists = table.column("valid")
+        for i, key in enumerate(zip(*(table.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * table.num_rows):
+            one = lists[i].values.to_numpy(zero_copy_only=False)
+            groups[key] = groups[key] & one if key in groups else one.copy()
+        columns = [pa.array([g[k] for g in groups], table.schema.field(name).type) for k, name in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(groups.values()), pa.list_(pa.bool_()))], [*keys, "valid"])
+
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield reduced(batch)
+
+    parts = masks.select(*keys, "valid").mapInArrow(partial, schema)
+    return parts.groupBy(*keys).applyInArrow(lambda table: pa.Table.from_batches([reduced(table)]), schema)
 
 
 def displacements(frames: DataFrame, reference: np.ndarray, **options) -> DataFrame:
@@ -220,24 +243,25 @@ def referenced_colors(frames: DataFrame, left: tuple[float, float], right: tuple
 
 
 def flow_colors(flows: DataFrame, max_flow: float | None = None) -> DataFrame:
-    """Direction as hue on the 55-step wheel, size as saturation."""
-    wheel = K.color_wheel() / 255
+    """The common colour code of flows: the direction picks a hue of the 55-step wheel, white fades into it with the speed.
+
+    Speeds are relative to ``max_flow``, or to the frame's greatest; hues of faster
+    pixels are darkened to three quarters, flows beyond 1e9 are unknown and black.
+    """
+    hues = K.color_wheel() / 255
+    angles = np.linspace(-np.pi, np.pi, len(hues))
 
     def run(u, v):
-        u, v = u[..., 0], v[..., 0]
-        unknown = (np.abs(u) > 1e9) | (np.abs(v) > 1e9)
-        u, v = np.where(unknown, 0, u), np.where(unknown, 0, v)
-        size = np.sqrt(u * u + v * v)
-        most = max_flow if max_flow and max_flow > 0 else size.max((1, 2), keepdims=True)
-        most = np.maximum(most, np.finfo(float).eps)
-        u, v = u / most, v / most
-        size = np.sqrt(u * u + v * v)
-        at = (np.arctan2(-v, -u) / np.pi + 1) / 2 * (len(wheel) - 1)
-        k = np.floor(at).astype(int)
-        share = (at - k)[..., None]
-        color = (1 - share) * wheel[k] + share * wheel[(k + 1) % len(wheel)]
-        color = np.where(size[..., None] <= 1, 1 - size[..., None] * (1 - color), color * 0.75)
-        return {"rgb": np.where(unknown[..., None], 0, np.floor(color * 255))}
+        flow = u[..., 0] + 1j * v[..., 0]
+        lost = np.maximum(np.abs(flow.real), np.abs(flow.imag)) > 1e9
+        flow[lost] = 0
+        speed = np.abs(flow)
+        speed = speed / np.maximum(max_flow or speed.max((1, 2), keepdims=True), np.finfo(float).eps)
+        direction = np.angle(-flow)
+        hue = np.stack([np.interp(direction, angles, band) for band in hues.T], -1)
+        picture = np.where(speed[..., None] > 1, 0.75 * hue, 1 + speed[..., None] * (hue - 1))
+        picture[lost] = 0
+        return {"rgb": np.floor(255 * picture)}
 
     return map_stacks(flows, run, {"rgb": "array<double>"}, inputs=("u", "v"))
 

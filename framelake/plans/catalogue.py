@@ -16,8 +16,9 @@ from ..functions import kernels as K
 from ..operators import frames as fr
 from ..operators import motion as mo
 from ..operators import sequence as sq
+from ..sources import metadata
 from . import depth, registration
-from .options import DepthOptions
+from .options import DepthOptions, FlowOptions, LiveOptions
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -180,16 +181,19 @@ def channel_discovery(spark, sf_dir):
     return rows.select("name", "number", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("number")).cast("long").alias("channel"))
 
 
-@query("SELECT event_id, least(event_id, 499) AS clipped FROM events")
+@query(f"WITH {SESSION}, n AS (SELECT rec_id, max(t) AS last FROM sx GROUP BY rec_id), i AS (SELECT unnest(range(20, 90)) AS i), c AS (SELECT rec_id, least(i, last) AS t FROM n, i) SELECT c.rec_id, y, x, round(avg(val), 6) + 0.0 AS val FROM c JOIN sx ON sx.rec_id = c.rec_id AND sx.t = c.t GROUP BY c.rec_id, y, x")
 def clipped_indices(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.least("event_id", F.lit(499).cast("long")).alias("clipped"))
+    """Reference frames by indices, of which those beyond the end count as the last frame."""
+    rows = registration.references_of(sessions(spark, sf_dir), FlowOptions(reference_frames=list(range(20, 90))), preregister=False)
+    return out(rows, more=("rec_id",))
 
 
-@query("SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY event_type")
+@query("SELECT event_id, event_id % 50 + 1 AS slices, (event_id % 7 + 1) * 1.5 AS rate FROM events")
 def acquisition_metadata(spark, sf_dir):
-    """Numbers out of JSON metadata, one row per kind."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+    """Numbers out of page descriptions."""
+    lines = F.concat(F.lit("SI.hStackManager.numSlices = "), F.col("event_id") % 50 + 1, F.lit("\nSI.hRoiManager.scanFrameRate = "), (F.col("event_id") % 7 + 1) * F.lit(1.5))
+    text = table(spark, sf_dir, "events").select("event_id", lines.alias("text"))
+    return text.select("event_id", metadata.field(F.col("text"), "slices").cast("long").alias("slices"), metadata.field(F.col("text"), "rate").cast("double").alias("rate"))
 
 
 # -- projections -------------------------------------------------------------
@@ -334,8 +338,10 @@ def reference_deviation(spark, sf_dir):
 # -- stencils ----------------------------------------------------------------
 
 
-def _values(weights) -> str:
-    return ", ".join(f"({k - len(weights) // 2}, {float(w)!r}::DOUBLE)" for k, w in enumerate(weights))
+def _gauss(sigma: float, truncate: float = 4.0) -> str:
+    """Rows (o, w) of a Gaussian's weights, from its formula."""
+    r = int(truncate * sigma + 0.5)
+    return f"k AS (SELECT o, exp(-0.5 * o * o / ({sigma} * {sigma})) / sum(exp(-0.5 * o * o / ({sigma} * {sigma}))) OVER () AS w FROM (SELECT unnest(range(-{r}, {r + 1})) AS o))"
 
 
 def _mirror(e: str, n: int = 8) -> str:
@@ -344,18 +350,12 @@ def _mirror(e: str, n: int = 8) -> str:
     return f"CASE WHEN {m} < {n} THEN {m} ELSE {2 * n - 1} - {m} END"
 
 
-_G1 = K.gaussian_weights(1.0)
-
-
-@query(f"WITH {PX}, k(o, w) AS (VALUES {_values(_G1)}), a AS (SELECT q.t, q.y, q.x, sum(k.w * s.val) AS val FROM px q CROSS JOIN k JOIN px s ON s.t = q.t AND s.x = q.x AND s.y = {_mirror('q.y + k.o')} GROUP BY q.t, q.y, q.x) SELECT q.t, q.y, q.x, round(sum(k.w * s.val), 6) + 0.0 AS val FROM a q CROSS JOIN k JOIN a s ON s.t = q.t AND s.y = q.y AND s.x = {_mirror('q.x + k.o')} GROUP BY q.t, q.y, q.x")
+@query(f"WITH {PX}, {_gauss(1.0)}, a AS (SELECT q.t, q.y, q.x, sum(k.w * s.val) AS val FROM px q CROSS JOIN k JOIN px s ON s.t = q.t AND s.x = q.x AND s.y = {_mirror('q.y + k.o')} GROUP BY q.t, q.y, q.x) SELECT q.t, q.y, q.x, round(sum(k.w * s.val), 6) + 0.0 AS val FROM a q CROSS JOIN k JOIN a s ON s.t = q.t AND s.y = q.y AND s.x = {_mirror('q.x + k.o')} GROUP BY q.t, q.y, q.x")
 def gauss_spatial(spark, sf_dir):
     return out(mo.smoothed(gray(spark, sf_dir), (1.0, 1.0)))
 
 
-_GT = K.gaussian_weights(0.6)
-
-
-@query(f"WITH {PX}, k(o, w) AS (VALUES {_values(_GT)}), n AS (SELECT t // 25 AS b, max(t % 25) + 1 AS n FROM px GROUP BY 1), q AS (SELECT px.*, n.n FROM px JOIN n ON n.b = px.t // 25), m AS (SELECT q.t, q.y, q.x, q.n, k.w, ((q.t % 25 + k.o) % (2 * q.n) + 2 * q.n) % (2 * q.n) AS m FROM q CROSS JOIN k) SELECT m.t, m.y, m.x, round(sum(m.w * s.val), 6) + 0.0 AS val FROM m JOIN px s ON s.y = m.y AND s.x = m.x AND s.t = (m.t // 25) * 25 + CASE WHEN m.m < m.n THEN m.m ELSE 2 * m.n - 1 - m.m END GROUP BY m.t, m.y, m.x")
+@query(f"WITH {PX}, {_gauss(0.6)}, n AS (SELECT t // 25 AS b, max(t % 25) + 1 AS n FROM px GROUP BY 1), q AS (SELECT px.*, n.n FROM px JOIN n ON n.b = px.t // 25), m AS (SELECT q.t, q.y, q.x, q.n, k.w, ((q.t % 25 + k.o) % (2 * q.n) + 2 * q.n) % (2 * q.n) AS m FROM q CROSS JOIN k) SELECT m.t, m.y, m.x, round(sum(m.w * s.val), 6) + 0.0 AS val FROM m JOIN px s ON s.y = m.y AND s.x = m.x AND s.t = (m.t // 25) * 25 + CASE WHEN m.m < m.n THEN m.m ELSE 2 * m.n - 1 - m.m END GROUP BY m.t, m.y, m.x")
 def gauss_temporal_batch(spark, sf_dir):
     return out(mo.smoothed_in_time(gray(spark, sf_dir), 0.6, 25))
 
@@ -541,7 +541,7 @@ def valid_mask(spark, sf_dir):
     return out(mo.valid_masks(with_flow(gray(spark, sf_dir))), "valid")
 
 
-@query(f"WITH {PX}, {FLOW} SELECT q.t, q.y, q.x, CASE WHEN q.x + u >= 0 AND q.x + u < 8 AND q.y + v >= 0 AND q.y + v < 8 AND s.val > 0 THEN 1.0 ELSE 0.0 END AS val FROM fl q JOIN px s ON s.t = q.t AND s.x = round_even(least(greatest(q.x + u, 0), 7), 0)::BIGINT AND s.y = round_even(least(greatest(q.y + v, 0), 7), 0)::BIGINT")
+@query(f"WITH {PX}, {FLOW}, pl AS (SELECT t, y, x, {_INSIDE} AS inside, round_even(least(greatest(x + u, 0), 7), 0)::BIGINT AS sx, round_even(least(greatest(y + v, 0), 7), 0)::BIGINT AS sy FROM fl) SELECT pl.t, pl.y, pl.x, CASE WHEN inside AND px.val > 0 THEN 1.0 ELSE 0.0 END AS val FROM pl JOIN px ON px.t = pl.t AND px.x = pl.sx AND px.y = pl.sy")
 def warp_nearest_mask(spark, sf_dir):
     df = with_flow(gray(spark, sf_dir)).withColumn("mask", F.transform("data", lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
     return out(mo.warped_masks(df), "valid")
@@ -560,11 +560,11 @@ def epe_border(spark, sf_dir):
     return mo.endpoint_errors(df, 2).select("t", rounded(F.col("epe")).alias("epe"))
 
 
-_MASKS = f"WITH {PX} SELECT rec_id, y, x, CASE WHEN bool_and(val > -1.5) THEN 1.0 ELSE 0.0 END AS val FROM px WHERE t % 8 = 0 GROUP BY rec_id, y, x"
+_MASKS = f"WITH {PX} SELECT rec_id, y, x, CASE WHEN bool_and(val > -0.3) THEN 1.0 ELSE 0.0 END AS val FROM px GROUP BY rec_id, y, x"
 
 
 def _masks(spark, sf_dir):
-    return gray(spark, sf_dir, recordings=True).withColumn("valid", F.transform("data", lambda x: x > -1.5))
+    return gray(spark, sf_dir, recordings=True).withColumn("valid", F.transform("data", lambda x: x > -0.3))
 
 
 @query(_MASKS)
@@ -572,9 +572,9 @@ def mask_temporal_and(spark, sf_dir):
     return out(mo.mask_and(_masks(spark, sf_dir)), "valid", more=("rec_id",))
 
 
-@query(f"WITH s AS ({_MASKS.replace('-1.5', '-2.5')}) SELECT y, x, min(val) AS val FROM s GROUP BY y, x")
+@query(f"WITH s AS ({_MASKS.replace('-0.3', '-0.4')}) SELECT y, x, min(val) AS val FROM s GROUP BY y, x")
 def mask_session_and(spark, sf_dir):
-    df = gray(spark, sf_dir, recordings=True).withColumn("valid", F.transform("data", lambda x: x > -2.5))
+    df = gray(spark, sf_dir, recordings=True).withColumn("valid", F.transform("data", lambda x: x > -0.4))
     return out(mo.mask_and(mo.mask_and(df), ()), "valid", more=())
 
 
@@ -644,10 +644,8 @@ def z_correct(spark, sf_dir):
 
 @query("SELECT length, start FROM (SELECT k AS length, unnest(list_distinct(list_append(range(0, greatest(k - 16, 0) + 1, 6), greatest(k - 16, 0)))) AS start FROM (SELECT unnest(range(8, 40)) AS k))")
 def patch_starts(spark, sf_dir):
-    length = F.col("length")
-    last = F.greatest(length - 16, F.lit(0).cast("long"))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(6).cast("long")), F.array(last)))
-    return spark.range(8, 40).select(F.col("id").alias("length")).select("length", F.explode(starts).alias("start"))
+    starts = [(n, K.patch_starts(n, 16, 6)) for n in range(8, 40)]
+    return spark.createDataFrame(starts, "length bigint, starts array<bigint>").select("length", F.explode("starts").alias("start"))
 
 
 # -- pictures ----------------------------------------------------------------
@@ -704,15 +702,13 @@ def batch_brightness(spark, sf_dir):
 _BLEND = 0.2
 
 
-@query(f"WITH {PX}, b AS (SELECT t // 20 AS k, y, x, avg(val) AS m FROM px GROUP BY 1, 2, 3), n AS (SELECT max(k) AS n FROM b) SELECT y, x, round(sum(m * CASE WHEN k = 0 THEN pow({1 - _BLEND}, n) ELSE {_BLEND} * pow({1 - _BLEND}, n - k) END), 6) + 0.0 AS val FROM b, n GROUP BY y, x")
+@query(f"WITH {SESSION}, n AS (SELECT rec_id, max(t) + 1 AS frames, (max(t) + 1) // 20 AS n FROM sx GROUP BY rec_id), a AS (SELECT rec_id, y, x, avg(val) AS m FROM sx WHERE t < 5 GROUP BY rec_id, y, x), u AS (SELECT rec_id, y, x, sum({_BLEND} * pow({1 - _BLEND}, n - (t + 1) // 20) * val) AS m FROM sx JOIN n USING (rec_id) WHERE (t + 1) % 20 = 0 GROUP BY rec_id, y, x) SELECT a.rec_id, a.y, a.x, round(pow({1 - _BLEND}, n) * a.m + coalesce(u.m, 0), 6) + 0.0 AS val FROM a JOIN n ON n.rec_id = a.rec_id LEFT JOIN u ON u.rec_id = a.rec_id AND u.y = a.y AND u.x = a.x")
 def live_ema_reference(spark, sf_dir):
-    """Exponential blend of the batch means, in closed form: the reference that a running update ends with."""
-    means = sq.mean_frames(sq.batched(gray(spark, sf_dir), 20), ("batch",)).select("batch", "data")
-    last = means.agg(F.max("batch").alias("n"))
-    w = F.when(F.col("batch") == 0, F.pow(F.lit(1 - _BLEND), "n")).otherwise(F.lit(_BLEND) * F.pow(F.lit(1 - _BLEND), F.col("n") - F.col("batch")))
-    rows = means.crossJoin(F.broadcast(last)).select(F.posexplode("data").alias("i", "v"), w.alias("weight"))  # one row
-    i = F.col("i").cast("long")
-    return rows.groupBy(F.floor(i / 8).alias("y"), (i % 8).alias("x")).agg(rounded(F.sum(F.col("v") * F.col("weight"))).alias("val"))
+    """The reference that the live mode ends with where nothing moves: every 20th frame is blended in."""
+    df = sessions(spark, sf_dir)
+    options = LiveOptions(update_interval=20, update_weight=_BLEND, flow=FlowOptions(weight=[1.0]))
+    rows = registration.live_references(df, sq.mean_frames(df.where("t < 5")), options, solver=lambda fixed, moving, **_: np.zeros((*moving.shape[:3], 2)))
+    return out(rows, more=("rec_id",))
 
 
 # -- registration ------------------------------------------------------------

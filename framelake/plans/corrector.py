@@ -19,6 +19,19 @@ for _order in ("lexicographic", "redblack"):
     register_backend(_order, _named(_order))
 
 INITIAL, CARRIED, REFRESHED = 22, 20, 100
+WORK_BYTES, WORK_COPIES = 256 << 20, 40  # what a solve may take, and how many times a slice's bytes it takes (36 were measured)
+
+
+def slices_of(stack: np.ndarray) -> list[slice]:
+    """Consecutive slices of frames that are solved together: as many as ``WORK_BYTES`` allow, at least one."""
+    step = max(1, WORK_BYTES // (WORK_COPIES * 8 * max(1, int(np.prod(stack.shape[1:])))))
+    return [slice(a, a + step) for a in range(0, len(stack), step)]
+
+
+def warped(stack: np.ndarray, flow: np.ndarray, fill: np.ndarray, method: str) -> np.ndarray:
+    """Frames moved by their flows, a slice at a time; ``fill`` is one frame."""
+    parts = [K.warp(stack[s], flow[s, ..., 0], flow[s, ..., 1], np.broadcast_to(fill, stack[s].shape), method) for s in slices_of(stack)]
+    return np.concatenate(parts)
 
 
 def value_range(reference: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,15 +61,17 @@ class Corrector:
         return np.stack(planes, -1)
 
     def solve(self, proc: np.ndarray, start: np.ndarray, rigid: bool) -> np.ndarray:
-        """Flows from a start; with rigid pre-alignment the start and the shift are applied first and the rest is solved from zero."""
+        """Flows from a start; with rigid pre-alignment the start and the shift are applied first and the rest is solved from zero. Frames do not depend on each other, so memory follows the slice."""
+        return np.concatenate([self._solve(proc[s], start, rigid) for s in slices_of(proc)])
+
+    def _solve(self, proc: np.ndarray, start: np.ndarray, rigid: bool) -> np.ndarray:
         o = self.options.solver_options(proc.shape[-1])
         if not rigid:
             return self.solver(self.proc, proc, uv=start, **o)
-        size, same = proc.shape[:3], np.broadcast_to(self.proc, proc.shape)
-        moved = K.warp(proc, np.broadcast_to(start[..., 0], size), np.broadcast_to(start[..., 1], size), same, "linear")
+        moved = warped(proc, np.broadcast_to(start, (*proc.shape[:3], 2)), self.proc, "linear")
         shift = K.rigid_shift(self.proc, moved, self.options.cc_hw, self.options.cc_up, self.options.weights_for(proc.shape[-1]))
         both = start + shift[:, None, None, :]
-        moved = K.warp(proc, both[..., 0], both[..., 1], same, "linear").astype(float)
+        moved = warped(proc, both, self.proc, "linear").astype(float)
         return both + self.solver(self.proc, moved, uv=None, **o)
 
     def batch(self, stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,33 +85,38 @@ class Corrector:
                 head = proc[:INITIAL]
                 self.start = self.solve(head, zero, o.cc_initialization and len(head) > 4).mean(0)
         flow = self.solve(proc, self.start, o.cc_initialization)
-        same = lambda ref: np.broadcast_to(ref, stack.shape)
-        registered = K.warp(stack, flow[..., 0], flow[..., 1], same(self.raw), o.interpolation_method)
+        registered = warped(stack, flow, self.raw, o.interpolation_method)
         if o.update_initialization_w:
             self.start = flow[-CARRIED:].mean(0)
         if o.update_reference:
             last = slice(-REFRESHED, None)
-            self.proc = K.warp(proc[last], flow[last, ..., 0], flow[last, ..., 1], same(self.proc)[last], o.interpolation_method).astype(float).mean(0)
+            self.proc = warped(proc[last], flow[last], self.proc, o.interpolation_method).astype(float).mean(0)
         return registered, flow
 
 
 def preregistered(stack: np.ndarray, options: FlowOptions) -> np.ndarray:
-    """A reference from some frames: they are registered to their own smoothed mean, and averaged."""
-    sigma = [[a + 1, b + 1, c + 0.5] for a, b, c in options.sigma]
-    draft = FlowOptions(alpha=tuple(a + 2 for a in options.alpha), sigma=sigma, weight=options.weight, levels=options.levels, iterations=options.iterations, eta=options.eta, quality_setting="balanced", constancy_assumption=options.constancy_assumption, update_initialization_w=options.update_initialization_w)
-    tool = Corrector(stack.mean(0), draft)
-    proc = tool.prepared(stack)
-    tool.raw = proc.mean(0)
-    tool.proc, tool.range = tool.raw, value_range(tool.raw, draft.channel_normalization)
-    _, flow = tool.batch(proc)
-    return K.warp(stack, flow[..., 0], flow[..., 1], np.broadcast_to(stack.mean(0), stack.shape)).astype(float).mean(0)
+    """A reference from some frames: the mean of the frames as registered to the mean of their smoothed, normalised selves, with two more of alpha."""
+    planes = []
+    for c in range(stack.shape[-1]):
+        sy, sx, st = options.sigma_at(c)
+        planes.append(K.convolve(K.gaussian(stack[..., c].astype(float), (sy + 1, sx + 1)), K.gaussian_weights(st + 0.5), 0))
+    smooth = np.stack(planes, -1)
+    axes = (0, 1, 2) if options.channel_normalization == "separate" else None
+    low, high = smooth.min(axes), smooth.max(axes)
+    smooth = (smooth - low) / (high - low + 1e-8)
+    same = ("levels", "eta", "update_lag", "iterations", "a_smooth", "a_data", "constancy_assumption", "weight", "buffer_size")
+    draft = FlowOptions(alpha=tuple(a + 2 for a in options.alpha), min_level=options.effective_min_level(), quality_setting="custom", **{k: getattr(options, k) for k in same})
+    tool, size = Corrector(smooth.mean(0), draft), options.buffer_size
+    flow = np.concatenate([tool.batch(smooth[a : a + size])[1] for a in range(0, len(smooth), size)])
+    return warped(stack, flow, stack.mean(0), "cubic").astype(float).mean(0)
 
 
 class LiveCorrector:
     """Registers one frame at a time: causal smoothing, warm start, and a reference that follows slowly."""
 
-    def __init__(self, options: LiveOptions | None = None, reference: np.ndarray | None = None):
+    def __init__(self, options: LiveOptions | None = None, reference: np.ndarray | None = None, solver=None):
         self.options = options or LiveOptions()
+        self.solver = solver
         self.waiting: list[np.ndarray] = []
         self.proc = self.raw = self.flow = None
         self.recent: list[np.ndarray] = []
@@ -121,7 +141,7 @@ class LiveCorrector:
 
     def snapshot(self) -> dict:
         """All state but the options, as plain values."""
-        return {k: v for k, v in vars(self).items() if k != "options"}
+        return {k: v for k, v in vars(self).items() if k not in ("options", "solver")}
 
     @classmethod
     def resumed(cls, options: LiveOptions, state: dict) -> LiveCorrector:
@@ -150,7 +170,7 @@ class LiveCorrector:
         self.recent = [*self.recent, self._spatial(frame)][-depth:]
         w = K.half_weights(sigma, len(self.recent), self.options.truncate).astype(float)
         smooth = sum(a * f for a, f in zip(w, self.recent[::-1], strict=False))
-        self.flow = get_backend(o.flow_backend)(self.proc, smooth[None], uv=self.flow, **o.solver_options(frame.shape[-1]))[0]
+        self.flow = (self.solver or get_backend(o.flow_backend))(self.proc, smooth[None], uv=self.flow, **o.solver_options(frame.shape[-1]))[0]
         u, v = self.flow[None, ..., 0], self.flow[None, ..., 1]
         registered = K.warp(frame[None], u, v, self.raw[None], o.interpolation_method)[0]
         self.count += 1
@@ -158,5 +178,14 @@ class LiveCorrector:
             share = self.options.update_weight
             seen = K.warp(smooth[None], u, v, self.proc[None], o.interpolation_method)[0]
             self.proc, self.raw = (1 - share) * self.proc + share * seen, (1 - share) * self.raw + share * registered
-            self.range = value_range(self.raw, o.channel_normalization)
+            self.range = value_range(self.proc, o.channel_normalization)
         return registered, self.flow
+
+    def register_frames(self, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(registered frames, flows) of consecutive frames."""
+        pairs = [self(f) for f in frames]
+        return np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs])
+
+    def get_current_flow(self) -> np.ndarray | None:
+        """The flow of the last frame, from which the next one starts."""
+        return None if self.flow is None else self.flow.copy()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.columns import RANGES
 from ..operators import sequence as sq
-from ..operators.frames import one_volume
+from ..operators.frames import MOST_REFERENCE_BYTES, one_volume
 from .options import DepthOptions
 
 RESULT = "rec_id string, t bigint, h int, w int, c int, z array<double>, corrected array<double>"
@@ -44,10 +44,15 @@ def _stored_type(x: np.ndarray, dtype: str) -> np.ndarray:
 
 
 def anchor_of(frames: DataFrame, volume: np.ndarray, options: DepthOptions) -> int:
-    """The slice that the first batch with its halo fits best, the first of equals."""
-    rows = frames.where(F.col("t") < options.input_buffer + halo_size(options)).orderBy("t").select("h", "w", "c", "data").collect()
+    """The slice that the first batch with its halo fits best, the first of equals; refuses a batch beyond 256 MiB."""
+    first = frames.where(F.col("t") < options.input_buffer + halo_size(options))
+    recordings, size = first.agg(F.count_distinct("rec_id"), F.sum(F.size("data"))).first()
+    if recordings != 1 or size * 8 > MOST_REFERENCE_BYTES:
+        raise ValueError("depth is aligned for one recording, with a first batch of at most 256 MiB")
+    rows = first.orderBy("t").select("h", "w", "c", "data").collect()
     stack = np.stack([np.array(r["data"], float).reshape(r["h"], r["w"], r["c"]) for r in rows])
-    return int(_distance(volume, stack, options).sum((0, 2, 3)).argmin())
+    smooth, slices = _smooth(stack, options.spatial_sigma, options.temporal_sigma), _smooth(volume, options.spatial_sigma, 0)
+    return int(np.argmin([K.gradient_distance(slices[z : z + 1], smooth).sum() for z in range(len(slices))]))
 
 
 def depth_aligned(frames: DataFrame, volume_frames: DataFrame, options: DepthOptions | None = None) -> DataFrame:

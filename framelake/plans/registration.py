@@ -19,12 +19,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import frames as fr
 from ..operators import motion as mo
 from ..operators import sequence as sq
+from ..sources.frames_io import stored
 from .corrector import Corrector, LiveCorrector, preregistered
-from .options import FlowOptions, LiveOptions, SessionOptions
+from .options import FlowOptions, LiveOptions, SessionOptions, get_backend
 
 RESULT = "rec_id string, t bigint, h int, w int, c int, data array<double>, u array<double>, v array<double>"
 RESULT_ARROW = pa.schema([("rec_id", pa.string()), ("t", pa.int64()), *((k, pa.int32()) for k in "hwc"), *((k, pa.list_(pa.float64())) for k in ("data", "u", "v"))])
@@ -38,10 +40,9 @@ def _emit(rec: str, ts: list[int], registered: np.ndarray, flow: np.ndarray) ->
 
 
 def _dealt(frames: DataFrame, references: DataFrame) -> DataFrame:
-    columns = ["rec_id", "t", "h", "w", "c", "data"]
-    ahead = references.select("rec_id", F.lit(-1).cast("long").alias("t"), "h", "w", "c", "data")
-    both = ahead.unionByName(frames.select(*columns))
-    return both.repartition("rec_id").sortWithinPartitions("rec_id", "t")
+    ahead = references.select("rec_id", F.lit(False).alias("frame"), F.lit(0).cast("long").alias("t"), "h", "w", "c", "data")
+    both = ahead.unionByName(frames.select("rec_id", F.lit(True).alias("frame"), "t", "h", "w", "c", "data"))
+    return both.repartition("rec_id").sortWithinPartitions("rec_id", "frame", "t")
 
 
 def _streamed(rows: DataFrame, size: int, start, step) -> DataFrame:
@@ -57,14 +58,14 @@ def _streamed(rows: DataFrame, size: int, start, step) -> DataFrame:
             return out
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("rec_id", "t", "h", "w", "c")]
-            for i, (r, t, h, w, c) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(k).to_pylist() for k in ("rec_id", "frame", "t", "h", "w", "c")]
+            for i, (r, is_frame, t, h, w, c) in enumerate(zip(*columns, strict=True)):
                 frame = batch.column("data")[i].values.to_numpy(zero_copy_only=False).reshape(h, w, c)
                 if held and (r != rec or len(held) == size):
                     yield flush()
                 if r != rec:
                     rec, state = r, None
-                if t < 0:
+                if not is_frame:
                     state = start(frame)
                     continue
                 if state is None:
@@ -74,7 +75,7 @@ def _streamed(rows: DataFrame, size: int, start, step) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.select("rec_id", "t", "h", "w", "c", "data").mapInArrow(run, RESULT)
+    return rows.select("rec_id", "frame", "t", "h", "w", "c", "data").mapInArrow(run, RESULT)
 
 
 def references_of(frames: DataFrame, options: FlowOptions, preregister: bool = True) -> DataFrame:
@@ -118,8 +119,43 @@ def observed(frames: DataFrame, name: str = "progress") -> tuple[DataFrame, Obse
 
 
 def compensate(frames: DataFrame, references: DataFrame, options: FlowOptions, solver=None) -> DataFrame:
-    """Registered frames and flows of every recording; ``references`` has one frame per recording."""
-    return _streamed(_dealt(frames, references), options.buffer_size, lambda ref: Corrector(ref, options, solver), lambda s, stack: s.batch(stack))
+    """Registered frames and flows of every recording; ``references`` has one frame per recording.
+
+    Frames are binned by ``bin_size`` first, and registered ones are cast to
+    ``output_typename`` (integers: cut and clipped). The solver is looked up here, so
+    that one registered by name on the driver serves all executors.
+    """
+    solver = solver or get_backend(options.flow_backend)
+    if options.bin_size > 1:
+        frames = sq.binned(frames, options.bin_size, padded=True)
+    rows = _streamed(_dealt(frames, references), options.buffer_size, lambda ref: Corrector(ref, options, solver), lambda s, stack: s.batch(stack))
+    if options.output_typename == "single":
+        return rows.withColumn("data", F.transform("data", lambda x: x.cast("float").cast("double")))
+    return rows.withColumn("data", C.truncated(F.col("data"), options.output_typename)) if options.output_typename in C.RANGES else rows
+
+
+def write_result(registered: DataFrame, references: DataFrame, path: str, options: FlowOptions) -> dict[str, DataFrame]:
+    """Writes what a correction gave as Parquet tables under ``path``, and reads them back.
+
+    frames, reference and statistics always; w (the flows) with ``save_w``, and
+    valid_mask (pixels that stay inside, of each frame) with ``save_valid_mask``. The
+    correction runs once: the other tables are read from what the first write left.
+    """
+    spark = registered.sparkSession
+    shape = ["rec_id", "t", "h", "w", "c"]
+    registered.write.mode("overwrite").parquet(f"{path}/registered")
+    rows = spark.read.schema(registered.schema).parquet(f"{path}/registered")
+    flows = rows.withColumn("c", F.lit(1))
+    parts = {"frames": rows.select(*shape, "data"), "reference": references, "statistics": mo.flow_statistics(flows).drop("h", "w", "c")}
+    if options.save_w:
+        parts["w"] = rows.select(*shape, "u", "v")
+    if options.save_valid_mask:
+        parts["valid_mask"] = mo.valid_masks(flows)
+    for name, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/registered")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in parts.items()}
 
 
 def compensate_apart(frames: DataFrame, references: DataFrame, options: FlowOptions, solver=None) -> DataFrame:
@@ -138,14 +174,22 @@ def compensate_pair(fixed: np.ndarray, moving: np.ndarray, options: FlowOptions)
     return Corrector(fixed if fixed.ndim == 3 else fixed[..., None], options).batch((moving if moving.ndim == 3 else moving[..., None])[None])[1][0]
 
 
-def live(frames: DataFrame, references: DataFrame, options: LiveOptions) -> DataFrame:
+def live(frames: DataFrame, references: DataFrame, options: LiveOptions, solver=None) -> DataFrame:
     """What the live mode gives for recorded frames, in order."""
+    solver = solver or get_backend(options.flow.flow_backend)
+    return _streamed(_dealt(frames, references), 64, lambda ref: LiveCorrector(options, ref, solver), lambda s, stack: s.register_frames(stack))
+
+
+def live_references(frames: DataFrame, references: DataFrame, options: LiveOptions, solver=None) -> DataFrame:
+    """The reference of each recording after its last frame in live mode."""
+    solver = solver or get_backend(options.flow.flow_backend)
 
     def step(state: LiveCorrector, stack: np.ndarray):
-        pairs = [state(f) for f in stack]
-        return np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs])
+        state.register_frames(stack)
+        return np.broadcast_to(state.raw, stack.shape), np.zeros((*stack.shape[:3], 2))
 
-    return _streamed(_dealt(frames, references), 64, lambda ref: LiveCorrector(options, ref), step)
+    rows = _streamed(_dealt(frames, references), 64, lambda ref: LiveCorrector(options, ref, solver), step)
+    return rows.groupBy("rec_id").agg(F.max_by(F.struct("h", "w", "c", "data"), "t").alias("last")).select("rec_id", "last.*")
 
 
 def session(frames: DataFrame, options: SessionOptions, flow: FlowOptions | None = None, compensated: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -159,7 +203,8 @@ def session(frames: DataFrame, options: SessionOptions, flow: FlowOptions | None
     """
     flow = flow or FlowOptions(**options.flow_options)
     if compensated is None:
-        compensated = compensate(frames, sq.first_mean(frames, INITIAL_FRAMES), flow)
+        # read by averages, masks and alignment: stored, so that recordings are solved once
+        compensated = stored(compensate(frames, sq.first_mean(frames, INITIAL_FRAMES), flow), "compensated")
     averages = sq.mean_frames(compensated)
     names = frames.select("rec_id").distinct()
     center = averages.where(F.col("rec_id") == options.center) if options.center else averages.join(sq.center_recording(names), "rec_id")
@@ -216,12 +261,12 @@ def run_session(frames: DataFrame, path: str, options: SessionOptions, flow: Flo
         corrected = compensate(left, sq.first_mean(left, INITIAL_FRAMES), flow).withColumn("recording", F.col("rec_id"))
         corrected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording").parquet(frames_path)
         left.select("rec_id").distinct().withColumn("state", F.lit("done")).write.mode("append").parquet(status_path)
-    stored = spark.read.schema(RESULT).parquet(frames_path)
-    parts = session(frames, options, flow, stored)
+    corrected = spark.read.schema(RESULT).parquet(frames_path)
+    parts = session(frames, options, flow, corrected)
     for name, df in parts.items():
         if name != "compensated":
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-    return {name: stored if name == "compensated" else spark.read.parquet(f"{path}/{name}") for name in parts}
+    return {name: corrected if name == "compensated" else spark.read.parquet(f"{path}/{name}") for name in parts}
 
 
 def queries(gray, sessions) -> dict:

@@ -12,6 +12,8 @@ from __future__ import annotations
 import importlib.util
 import io
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,20 @@ READERS = {"tif": "tiff", "tiff": "tiff", "npy": "npy", "npz": "npy", "mat": "ma
 WRITERS = ("TIFF", "SUITE2P_TIFF", "MAT", "HDF5", "MULTIFILE_TIFF", "MULTIFILE_MAT", "MULTIFILE_HDF5", "CAIMAN_HDF5", "BEGONIA", "ARRAY", "NULL", "PARQUET", "NPY")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the folder of ``spark.checkpoint.dir`` and reads it back; a local session without that setting gets a temporary folder."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="framelake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/framelake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stacked(array: np.ndarray) -> np.ndarray:
     """An array as (t, h, w, c): three axes are (h, w, c) if the last has at most four, else (t, h, w)."""
     if array.ndim == 2:

@@ -159,3 +159,68 @@ def test_empty_frames(spark, frames, references):
     none = frames.where(F.lit(False))
     assert reg.compensate(none, references, OPTIONS).count() == 0
     assert sq.mean_frames(none).count() == 0
+
+
+def still(fixed, moving, **_):
+    return np.zeros((*moving.shape[:3], 2))
+
+
+def test_options_have_their_effects(spark, tmp_path):
+    """bin_size, output_typename, save_w and save_valid_mask; a frame with a negative t is a frame."""
+    stack = np.random.default_rng(2).uniform(-3, 300, (7, 12, 12, 1))
+    frames = frames_io.from_array(spark, stack).withColumn("t", F.col("t") - 1)
+    reference = sq.mean_frames(frames)
+    plain = {r["t"]: np.array(r["data"]) for r in reg.compensate(frames, reference, FlowOptions(weight=[1.0]), still).collect()}
+    assert sorted(plain) == list(range(-1, 6)) and np.allclose(plain[-1], stack[0].ravel(), atol=1e-3)
+    cast = {r["t"]: np.array(r["data"]) for r in reg.compensate(frames, reference, FlowOptions(weight=[1.0], output_typename="uint8"), still).collect()}
+    assert all((cast[t] == np.clip(np.trunc(plain[t]), 0, 255)).all() for t in plain)
+    whole = frames_io.from_array(spark, stack)
+    binned = reg.compensate(whole, reference, FlowOptions(weight=[1.0], bin_size=3), still).orderBy("t").collect()
+    assert [r["t"] for r in binned] == [0, 1, 2] and np.allclose(binned[0]["data"], stack[:3].mean(0).ravel(), atol=1e-3)
+    rows = reg.compensate(whole, reference, FlowOptions(weight=[1.0]), still)
+    few = reg.write_result(rows, reference, f"{tmp_path}/few", FlowOptions())
+    many = reg.write_result(rows, reference, f"{tmp_path}/many", FlowOptions(save_w=True, save_valid_mask=True))
+    assert set(few) == {"frames", "reference", "statistics"} and set(many) == {*few, "w", "valid_mask"}
+    assert all(df.count() == (1 if name == "reference" else 7) for name, df in many.items())
+    assert all(all(r["valid"]) for r in many["valid_mask"].collect()) and "u" not in few["frames"].columns
+
+
+@pytest.mark.parametrize("options", [SessionOptions, LiveOptions, FlowOptions])
+def test_unknown_options_are_refused(options):
+    with pytest.raises(ValueError):
+        options(no_such_option=1)
+
+
+def test_slices_of_a_batch_change_nothing(monkeypatch):
+    from framelake.plans import corrector
+
+    stack = np.stack([scene(*s) for s in SHIFTS])
+    for more in ({}, {"cc_initialization": True, "update_reference": True}):
+        o = OPTIONS.model_copy(update=more)
+        whole = Corrector(stack[0], o).batch(stack)
+        monkeypatch.setattr(corrector, "WORK_BYTES", 1)
+        assert len(corrector.slices_of(stack)) == len(stack)
+        alone = Corrector(stack[0], o).batch(stack)
+        monkeypatch.undo()
+        assert np.allclose(whole[0], alone[0]) and np.allclose(whole[1], alone[1])
+
+
+def test_preregistration_takes_the_callers_options(monkeypatch):
+    from framelake.plans import corrector
+
+    seen = []
+    monkeypatch.setattr(corrector, "get_backend", lambda name: lambda fixed, moving, **o: seen.append((fixed, o)) or still(fixed, moving))
+    stack = np.stack([scene(*s) for s in SHIFTS])
+    given = FlowOptions(alpha=(2, 3), quality_setting="fast", a_smooth=0.7, a_data=0.6, update_lag=3, levels=7, iterations=9, eta=0.9, weight=[1.0], buffer_size=2)
+    out = preregistered(stack, given)
+    assert np.allclose(out, stack.mean(0), atol=1e-3)
+    _, o = seen[0]
+    assert (o["alpha"], o["min_level"], o["a_smooth"], o["a_data"], o["update_lag"], o["levels"], o["iterations"], o["eta"]) == ((4, 5), 6, 0.7, 0.6, 3, 7, 9, 0.9)
+    assert len(seen) == 1 + -(-len(stack) // 2)  # the initial flow, then one solve for each buffer
+
+
+def test_live_range_follows_the_processed_reference():
+    live = LiveCorrector(LiveOptions(update_interval=1, update_weight=0.5, flow=FlowOptions(weight=[1.0])), scene(0, 0), still)
+    registered, flows = live.register_frames(np.stack([2 * scene(0, 0)] * 2))
+    assert registered.shape[0] == 2 and (live.get_current_flow() == flows[-1]).all()
+    assert np.allclose(live.range, (live.proc.min(), live.proc.max()))
