@@ -702,13 +702,13 @@ def batch_brightness(spark, sf_dir):
 _BLEND = 0.2
 
 
-@query(f"WITH {SESSION}, n AS (SELECT rec_id, max(t) + 1 AS frames, (max(t) + 1) // 20 AS n FROM sx GROUP BY rec_id), a AS (SELECT rec_id, y, x, avg(val) AS m FROM sx WHERE t < 5 GROUP BY rec_id, y, x), u AS (SELECT rec_id, y, x, sum({_BLEND} * pow({1 - _BLEND}, n - (t + 1) // 20) * val) AS m FROM sx JOIN n USING (rec_id) WHERE (t + 1) % 20 = 0 GROUP BY rec_id, y, x) SELECT a.rec_id, a.y, a.x, round(pow({1 - _BLEND}, n) * a.m + coalesce(u.m, 0), 6) + 0.0 AS val FROM a JOIN n ON n.rec_id = a.rec_id LEFT JOIN u ON u.rec_id = a.rec_id AND u.y = a.y AND u.x = a.x")
+@query(f"WITH {SESSION}, n AS (SELECT rec_id, max(t) + 1 AS frames, (max(t) + 1) // 20 AS n FROM sx GROUP BY rec_id), a AS (SELECT rec_id, y, x, avg(val) AS m FROM sx WHERE t < 5 GROUP BY rec_id, y, x), u AS (SELECT rec_id, y, x, sum({_BLEND} * pow({1 - _BLEND}, n - (t + 1) // 20) * val) AS m FROM sx JOIN n USING (rec_id) WHERE (t + 1) % 20 = 0 GROUP BY rec_id, y, x) SELECT a.rec_id, a.y, a.x, round(pow({1 - _BLEND}, n) * a.m + coalesce(u.m, 0), 4) + 0.0 AS val FROM a JOIN n ON n.rec_id = a.rec_id LEFT JOIN u ON u.rec_id = a.rec_id AND u.y = a.y AND u.x = a.x")
 def live_ema_reference(spark, sf_dir):
     """The reference that the live mode ends with where nothing moves: every 20th frame is blended in."""
     df = sessions(spark, sf_dir)
     options = LiveOptions(update_interval=20, update_weight=_BLEND, flow=FlowOptions(weight=[1.0]))
     rows = registration.live_references(df, sq.mean_frames(df.where("t < 5")), options, solver=lambda fixed, moving, **_: np.zeros((*moving.shape[:3], 2)))
-    return out(rows, more=("rec_id",))
+    return out(rows, digits=4, more=("rec_id",))
 
 
 # -- registration ------------------------------------------------------------
