@@ -8,6 +8,7 @@ and frames are then numbered within it.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..functions import kernels as K
 from ..operators import frames as fr
 from ..operators import motion as mo
 from ..operators import sequence as sq
-from ..sources import metadata
+from ..sources import formats, metadata
 from . import depth, registration
 from .options import DepthOptions, FlowOptions, LiveOptions
 
@@ -173,12 +174,19 @@ def center_recording(spark, sf_dir):
     return sq.center_recording(gray(spark, sf_dir, recordings=True))
 
 
-@query("SELECT c_name AS name, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT AS number, row_number() OVER (PARTITION BY c_nationkey ORDER BY regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT) AS channel FROM customer")
+@query("SELECT 'roi' || c_nationkey || '/Chan ' || c_custkey AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS channel FROM customer")
 def channel_discovery(spark, sf_dir):
-    """Named datasets of a file in order of their number; the prefix group with most members is the recording."""
-    number = F.regexp_extract("c_name", "([0-9]+)$", 1).cast("long")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), number.alias("number"), "c_nationkey")
-    return rows.select("name", "number", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("number")).cast("long").alias("channel"))
+    """Each nation's customers as the datasets of a file, which has a smaller group and a large dataset of another kind besides."""
+    name = F.concat(F.lit("roi"), "c_nationkey", F.lit("/Chan "), "c_custkey")
+
+    def pick(files):
+        for part in files:
+            found = [formats.pick_dataset({"other/ch1": (900, 900, 900), **dict.fromkeys(names, (9, 8, 8))}) for names in part["names"]]
+            yield pd.DataFrame({"names": found})
+
+    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.shuffle(F.collect_list(name)).alias("names"))
+    chosen = files.select("names").mapInPandas(pick, "names array<string>").select(F.posexplode("names").alias("k", "name"))
+    return chosen.select("name", (F.col("k") + 1).cast("long").alias("channel"))
 
 
 @query(f"WITH {SESSION}, n AS (SELECT rec_id, max(t) AS last FROM sx GROUP BY rec_id), i AS (SELECT unnest(range(20, 90)) AS i), c AS (SELECT rec_id, least(i, last) AS t FROM n, i) SELECT c.rec_id, y, x, round(avg(val), 6) + 0.0 AS val FROM c JOIN sx ON sx.rec_id = c.rec_id AND sx.t = c.t GROUP BY c.rec_id, y, x")

@@ -108,24 +108,33 @@ def read_npy(data: bytes) -> np.ndarray:
     return loaded
 
 
+_CHANNEL = re.compile(r"(?:channel|chan|ch)[_.\s]*(\d+)", re.I)
+_GENERIC = ("mov", "data", "dataset")  # fixed values
+
+
 def pick_dataset(shapes: dict[str, tuple[int, ...]]) -> list[str]:
     """Which datasets of a file make the recording.
 
-    First numbered channels (ch, chan, channel and a number): the group of equal
-    shapes with most members, by number; then mov, data or dataset; then the largest.
+    Numbered channels (ch, chan or channel and a number, anywhere in the name) with
+    the same text before and one shape: the largest such group, by number. Else the
+    first one called mov, data or dataset, in any case. Else all of three or four axes
+    that have the shape with most values.
     """
-    groups: dict[tuple, list] = {}
-    for name, shape in shapes.items():
-        if m := re.search(r"(?:ch|chan|channel)_?(\d+)$", name, re.I):
-            groups.setdefault(shape, []).append((int(m[1]), name))
-    if groups:
-        return [name for _, name in sorted(max(groups.values(), key=len))]
-    for name in ("mov", "data", "dataset"):
-        if name in shapes:
-            return [name]
-    if not shapes:
-        raise ValueError("the file has no datasets")
-    return [max(shapes, key=lambda k: np.prod(shapes[k]))]
+    groups: dict[str, dict[str, int]] = {}
+    for name in shapes:
+        if m := _CHANNEL.search(name):
+            groups.setdefault(name[: m.start()], {})[name] = int(m[1])
+    even = [g for g in groups.values() if len({shapes[n] for n in g}) == 1]
+    if even:
+        best = max(even, key=len)
+        return sorted(best, key=best.get)
+    if named := [n for n in shapes if n.lstrip("/").lower() in _GENERIC]:
+        return named[:1]
+    stacks = [s for s in shapes.values() if len(s) in (3, 4)]
+    if not stacks:
+        raise ValueError("the file has no dataset of three or four axes")
+    most = max(stacks, key=np.prod)
+    return [n for n, s in shapes.items() if s == most]
 
 
 def _mat_elements(data: bytes):

@@ -48,6 +48,15 @@ def test_shapes_and_datasets():
     assert formats.pick_dataset({"a": (1, 1, 1), "big": (9, 9, 9)}) == ["big"]
 
 
+def test_datasets_by_channel_number_anywhere_in_the_name():
+    raw = {f"/roi/Chan {k} raw": (5, 4, 4) for k in (10, 2)}
+    assert formats.pick_dataset({**raw, "ch1": (9, 9, 9)}) == ["/roi/Chan 2 raw", "/roi/Chan 10 raw"]
+    assert formats.pick_dataset({"x_ch1": (5, 4, 4), "x_ch2": (6, 4, 4), "/Data": (2, 2, 2), "y": (9, 9, 9)}) == ["/Data"]
+    assert formats.pick_dataset({"a": (2, 3, 4), "b": (4, 3, 2), "c": (2, 3, 4), "flat": (900, 900)}) == ["a", "c"]
+    with pytest.raises(ValueError):
+        formats.pick_dataset({"flat": (900, 900)})
+
+
 def test_binned_on_read(spark, stack):
     frames = frames_io.read_frames(spark, stack[:5], bin_size=2)
     back = frames_io.to_array(frames)
