@@ -59,7 +59,7 @@ LENGTH, GRAM = 400, 64
 BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
-RANGE_WINDOWS = 500_000
+RANGE_WINDOWS, ROW_WINDOWS = 500_000, 1 << 16
 SALT_SHARDS = 4096
 PLACE_BITS = 24  # places in a piece
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -336,16 +336,19 @@ def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def sharded(candidates: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """One row per shard of the stored candidates: its units' keys, spans, and sorted fingerprints for the merge."""
+    """For each shard of the stored candidates a row with its units' keys and spans, and rows of at most ``ROW_WINDOWS`` sorted fingerprints for the merge."""
 
-    def shard(keys: list[bytes], units: list[Unit]) -> pa.RecordBatch:
+    def shard(keys: list[bytes], units: list[Unit]) -> Iterator[pa.RecordBatch]:
         spans, (high, low, unit, start, wanted) = shard_repeats(units, length)
         by = np.argsort(high)
         place = np.where(wanted, (unit << 32) | start, -1)[by]
+        high, low = high[by].view(np.int64), low[by].view(np.int64)
         number = np.repeat(np.arange(len(units)), [len(a) for a, _ in spans])
         name = hashlib.sha256(b"".join(keys) + np.array([u.first[0] for u in units]).tobytes()).hexdigest()
-        values = (name, keys, number, np.concatenate([a for a, _ in spans]), np.concatenate([b for _, b in spans]), high[by].view(np.int64), low[by].view(np.int64), place)
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, SHARD_ARROW, strict=True)], schema=SHARD_ARROW)
+        rows = [(name, keys, number, np.concatenate([a for a, _ in spans]), np.concatenate([b for _, b in spans]), [], [], [])]
+        rows += [(name, [], [], [], [], *(v[a : a + ROW_WINDOWS] for v in (high, low, place))) for a in range(0, len(high), ROW_WINDOWS)]
+        for row in rows:  # a batch each: none is large in the JVM
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, SHARD_ARROW, strict=True)], schema=SHARD_ARROW)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, units, size = [], [], 0
@@ -354,13 +357,13 @@ def sharded(candidates: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             for k, found in enumerate(zip(*(_lists(batch, c) for c in ("hashes", "counts", "first", "last")), strict=True)):
                 for unit in units_of(data[offsets[k] : offsets[k + 1]], *found, length, shard_bytes):
                     if units and size + len(unit.data) > shard_bytes:
-                        yield shard(keys, units)
+                        yield from shard(keys, units)
                         keys, units, size = [], [], 0
                     keys.append(batch.column("key")[k].as_py())
                     units.append(unit)
                     size += len(unit.data)
         if units:
-            yield shard(keys, units)
+            yield from shard(keys, units)
 
     return candidates.select("key", "text", "hashes", "counts", "first", "last").mapInArrow(work, SHARD_SCHEMA)
 
@@ -403,7 +406,7 @@ def merged(shards: DataFrame, salt_shards: int = SALT_SHARDS) -> DataFrame:
     together in groups of shards, which leave each fingerprint once and whether
     several lists have it; a range then joins what its groups left.
     """
-    total, n_shards = shards.agg(F.sum(F.size("high")), F.count("*")).first()
+    total, n_shards = shards.agg(F.sum(F.size("high")), F.count_distinct("shard")).first()
     bits = max(0, ((total or 0) // RANGE_WINDOWS).bit_length())
     salts = -(-n_shards // salt_shards)
     lists = "high array<bigint>, low array<bigint>"

@@ -141,6 +141,7 @@ def test_suffix_array_and_common_prefixes():
 @pytest.mark.parametrize(("shard_bytes", "salt_shards"), [(2000, suffixes.SALT_SHARDS), (900, 5), (suffixes.SHARD_BYTES, suffixes.SALT_SHARDS)])
 def test_repeats_equal_counting_all_windows(spark, documents, corpus, shard_bytes, salt_shards, monkeypatch):
     monkeypatch.setattr(suffixes, "RANGE_WINDOWS", 500)
+    monkeypatch.setattr(suffixes, "ROW_WINDOWS", 1 << 16 if salt_shards == 5 else 100)
     monkeypatch.setattr(common, "HOT_ROWS", 10 if salt_shards == 5 else 10_000)
     monkeypatch.setattr(common, "HOT_KEYS", 100)
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeats(documents(rows_of(corpus)), shard_bytes=shard_bytes, salt_shards=salt_shards).collect()}
