@@ -18,49 +18,155 @@ _MAT_CLASSES = {"float64": 6, "float32": 7, "int8": 8, "uint8": 9, "int16": 10,
 _MAT_STORED = {"float64": 9, "float32": 7, "int8": 1, "uint8": 2, "int16": 3, "uint16": 4, "int32": 5, "uint32": 6}
 
 
-def read_tiff(data: bytes) -> np.ndarray:
-    """All pages (t, h, w, c); strips, plain or deflated; pages of another shape than the first are an error."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
-        raise ValueError("not a TIFF file")
-    big = struct.unpack(order + "H", data[2:4])[0] == 43
-    at = struct.unpack(order + ("Q" if big else "I"), data[8:16] if big else data[4:8])[0]
-    pages = []
-    while at:
-        n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
-        at += 8 if big else 2
+def _packbits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def _lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first, one bit wider as soon as the next entry would be the last of a width."""
+    out, table, before = bytearray(), [], None
+    bits, held, n = 9, 0, 0
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < bits:
+            continue
+        n -= bits
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, before, bits = [bytes([k]) for k in range(256)] + [b"", b""], None, 9
+            continue
+        entry = table[code] if code < len(table) else before + before[:1]
+        if before is not None:
+            table.append(before + entry[:1])
+            bits = min(12, max(9, (len(table) + 1).bit_length()))
+        out += entry
+        before = entry
+    return bytes(out)
+
+
+_UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32773: _packbits, 32946: zlib.decompress}
+_IMAGES = re.compile(rb"ImageJ=.*?^images=(\d+)", re.S | re.M)
+
+
+class TiffFile:
+    """The pages of an open TIFF or BigTIFF file; a page's place is its directory's, and only what is asked for is read.
+
+    Strips and tiles; plain, deflated, LZW or PackBits; differences of neighbours as
+    predictor. A lone directory of ImageJ that counts more images stands for pages
+    that follow each other: their places are (directory, number).
+    """
+
+    def __init__(self, file):
+        self.file = file
+        head = self._read(0, 16)
+        self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
+        if self.order is None or len(head) < 8:
+            raise ValueError("not a TIFF file")
+        self.big = struct.unpack(self.order + "H", head[2:4])[0] == 43
+        self.word = "Q" if self.big else "I"
+        self.first = struct.unpack(self.order + self.word, head[8:16] if self.big else head[4:8])[0]
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def directory(self, at: int) -> tuple[dict[int, tuple], int]:
+        """Tags as (type, number of values, bytes of the values or of their place), and the place of the next directory."""
+        head, entry = (8, 20) if self.big else (2, 12)
+        data = self._read(at, head + entry * 40)
+        n = struct.unpack_from(self.order + ("Q" if self.big else "H"), data)[0]
+        size = head + n * entry + struct.calcsize(self.word)
+        if size > len(data):
+            data = self._read(at, size)
         tags = {}
-        for k in range(n):
-            spot = at + k * (20 if big else 12)
-            tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), data, spot)
-            size, value = _TIFF_SIZES.get(kind, 1) * count, spot + (12 if big else 8)
-            if size > (8 if big else 4):
-                value = struct.unpack_from(order + ("Q" if big else "I"), data, value)[0]
-            if kind in _TIFF_CODES:
-                tags[tag] = struct.unpack_from(f"{order}{count}{_TIFF_CODES[kind]}", data, value)
-        one = lambda tag, default: tags.get(tag, (default,))[0]  # noqa: B023, E731
-        width, height, samples = one(256, 0), one(257, 0), one(277, 1)
-        packed = one(259, 1)
-        if packed not in (1, 8, 32946):
+        for spot in range(head, head + n * entry, entry):
+            tag, kind, count = struct.unpack_from(self.order + ("HHQ" if self.big else "HHI"), data, spot)
+            tags[tag] = (kind, count, data[spot + (12 if self.big else 8) : spot + entry])
+        return tags, struct.unpack_from(self.order + self.word, data, head + n * entry)[0]
+
+    def values(self, tags: dict[int, tuple], tag: int, default=()) -> tuple:
+        if tag not in tags:
+            return default
+        kind, count, held = tags[tag]
+        size = _TIFF_SIZES.get(kind, 1) * count
+        if size > len(held):
+            held = self._read(struct.unpack(self.order + self.word, held)[0], size)
+        return (held[:size],) if kind == 2 else struct.unpack_from(f"{self.order}{count}{_TIFF_CODES[kind]}", held)
+
+    def places(self) -> list:
+        """The places of all pages, in order."""
+        found, at = [], self.first
+        while at:
+            found.append(at)
+            at = self.directory(at)[1]
+        if len(found) == 1 and (m := _IMAGES.match(self.values(self.directory(found[0])[0], 270, (b"",))[0])):
+            return [(found[0], k) for k in range(int(m[1]))]
+        return found
+
+    def shape(self, place) -> tuple[int, int, int]:
+        tags, one = self._tags(place)
+        return one(257, 0), one(256, 0), one(277, 1)
+
+    def _tags(self, place):
+        tags = self.directory(place[0] if isinstance(place, tuple) else place)[0]
+        return tags, lambda tag, default: self.values(tags, tag, (default,))[0]
+
+    def page(self, place) -> np.ndarray:
+        """(h, w, c) in the machine's byte order."""
+        tags, one = self._tags(place)
+        width, height, samples, packed = one(256, 0), one(257, 0), one(277, 1), one(259, 1)
+        if packed not in _UNPACK:
             raise ValueError(f"TIFF compression {packed} is not supported")
-        strips = [data[o : o + s] for o, s in zip(tags[273], tags[279], strict=True)]
-        raw = b"".join(zlib.decompress(s) if packed != 1 else s for s in strips)
-        kind = np.dtype(f"{order}{_KINDS[one(339, 1)]}{one(258, 8) // 8}")
-        page = np.frombuffer(raw, kind, height * width * samples)
-        page = page.reshape(samples, height, width).transpose(1, 2, 0) if one(284, 1) == 2 else page.reshape(height, width, samples)
-        pages.append(page)
-        at += n * (20 if big else 12)
-        at = struct.unpack_from(order + ("Q" if big else "I"), data, at)[0]
+        if one(317, 1) not in (1, 2):
+            raise ValueError(f"TIFF predictor {one(317, 1)} is not supported")
+        kind = np.dtype(f"{self.order}{_KINDS[one(339, 1)]}{one(258, 8) // 8}")
+        if isinstance(place, tuple):
+            size = height * width * samples * kind.itemsize
+            if packed != 1 or 324 in tags:
+                raise ValueError("pages that follow each other are plain")
+            data = self._read(self.values(tags, 273)[0] + place[1] * size, size)
+            return np.frombuffer(data, kind).reshape(height, width, samples).astype(kind.newbyteorder("="))
+        planes, each = (samples, 1) if one(284, 1) == 2 else (1, samples)
+        tiled = 324 in tags
+        tall, wide = (one(323, 0), one(322, 0)) if tiled else (min(one(278, height), height), width)
+        down, across = -(-height // tall), -(-width // wide)
+        out = np.empty((planes, height, width, each), kind.newbyteorder("="))
+        for k, (at, size) in enumerate(zip(self.values(tags, 324 if tiled else 273), self.values(tags, 325 if tiled else 279), strict=True)):
+            plane, (y, x) = k // (down * across), divmod(k % (down * across), across)
+            rows = tall if tiled else min(tall, height - y * tall)
+            block = np.frombuffer(_UNPACK[packed](self._read(at, size)), kind, rows * wide * each).reshape(rows, wide, each).astype(out.dtype)
+            if one(317, 1) == 2:
+                block = np.cumsum(block, 1, dtype=block.dtype)
+            part = out[plane, y * tall : y * tall + rows, x * wide : (x + 1) * wide]
+            part[:] = block[: part.shape[0], : part.shape[1]]
+        return out.transpose(1, 2, 0, 3).reshape(height, width, samples)
+
+
+def read_tiff(data: bytes) -> np.ndarray:
+    """All pages (t, h, w, c); pages of another shape than the first are an error."""
+    file = TiffFile(io.BytesIO(data))
+    pages = [file.page(place) for place in file.places()]
     if len({p.shape for p in pages}) > 1:
         raise ValueError("the pages of a stack have one shape")
-    return np.stack(pages).astype(pages[0].dtype.newbyteorder("="))
+    return np.stack(pages)
 
 
 class TiffWriter:
-    """Appends pages to a stream; BigTIFF, so that a stack may exceed 4 GiB."""
+    """Appends pages to a stream, plain or deflated; BigTIFF, so that a stack may exceed 4 GiB."""
 
-    def __init__(self, out):
-        self.out, self.at, self.held = out, 16, None
+    def __init__(self, out, deflate: bool = False):
+        self.out, self.at, self.held, self.deflate = out, 16, None, deflate
         out.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16))
 
     def add(self, page: np.ndarray) -> None:
@@ -69,29 +175,31 @@ class TiffWriter:
         h, w, c = page.shape
         kind = {"u": 1, "i": 2, "f": 3}[page.dtype.kind]
         bits = page.dtype.itemsize * 8
+        body = page.astype(page.dtype.newbyteorder("<")).tobytes()
+        body = zlib.compress(body) if self.deflate else body
         entries = 11
         ifd = 8 + 20 * entries + 8
         extra = 2 * c
         start = self.at + ifd + 2 * extra
         tags = [
-            (256, 4, 1, w), (257, 4, 1, h), (258, 3, c, None), (259, 3, 1, 1), (262, 3, 1, 1), (273, 16, 1, start), (277, 3, 1, c),
-            (278, 4, 1, h), (279, 16, 1, page.nbytes), (284, 3, 1, 1), (339, 3, c, None),
+            (256, 4, 1, w), (257, 4, 1, h), (258, 3, c, None), (259, 3, 1, 8 if self.deflate else 1), (262, 3, 1, 1), (273, 16, 1, start), (277, 3, 1, c),
+            (278, 4, 1, h), (279, 16, 1, len(body)), (284, 3, 1, 1), (339, 3, c, None),
         ]
-        body, lists = struct.pack("<Q", entries), b""
+        head, lists = struct.pack("<Q", entries), b""
         for tag, code, count, value in tags:
-            body += struct.pack("<HHQ", tag, code, count)
+            head += struct.pack("<HHQ", tag, code, count)
             if value is not None:
-                body += struct.pack("<Q", value)
+                head += struct.pack("<Q", value)
             else:
                 values = struct.pack(f"<{c}H", *[bits if tag == 258 else kind] * c)
                 if c <= 4:
-                    body += values.ljust(8, b"\0")
+                    head += values.ljust(8, b"\0")
                 else:
-                    body += struct.pack("<Q", self.at + ifd + len(lists))
+                    head += struct.pack("<Q", self.at + ifd + len(lists))
                 lists += values
         self._flush(self.at)
-        self.held = (body, lists + page.astype(page.dtype.newbyteorder("<")).tobytes())
-        self.at = start + page.nbytes
+        self.held = (head, lists + body)
+        self.at = start + len(body)
 
     def _flush(self, following: int) -> None:
         if self.held:

@@ -1,8 +1,10 @@
 """Recordings from files and into files.
 
-Files are read with Spark's ``binaryFile`` source, so any store that Spark knows
-works; each file is one task's row and becomes frames there. Parquet is the
-native format: it keeps frame rows, prunes columns and skips row groups by t. Sinks
+TIFF and NPY files are read in runs of pages (``pages``), where a filter on t or
+rec_id spares what it excludes. Other files, and stores that only Spark can open, are
+read with Spark's ``binaryFile`` source: each file is one task's row and becomes frames
+there. Parquet is the native format: it keeps frame rows, prunes columns and skips row
+groups by t. Sinks
 that are single files per recording stream the recording's sorted frames through
 one task with one frame in memory.
 """
@@ -22,9 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sequence as sq
-from . import formats
+from . import formats, pages
 
-FRAMES = "rec_id string, t bigint, h int, w int, c int, dtype string, data array<double>"
 READERS = {"tif": "tiff", "tiff": "tiff", "npy": "npy", "npz": "npy", "mat": "mat", "h5": "hdf5", "hdf5": "hdf5", "hdf": "hdf5", "parquet": "parquet", "mdf": "mdf"}
 WRITERS = ("TIFF", "SUITE2P_TIFF", "MAT", "HDF5", "MULTIFILE_TIFF", "MULTIFILE_MAT", "MULTIFILE_HDF5", "CAIMAN_HDF5", "BEGONIA", "ARRAY", "NULL", "PARQUET", "NPY")
 
@@ -127,19 +128,19 @@ def _files(spark: SparkSession, path: str, kind: str, datasets: list[str] | None
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 stack = load(data.as_py(), kind, datasets)
-                n, h, w, c = stack.shape
-                for a in range(0, n, 64):
-                    part = stack[a : a + 64]
-                    k = len(part)
-                    lists = pa.array(list(part.reshape(k, -1).astype(float)), pa.list_(pa.float64()))
-                    fixed = [pa.array([v] * k, pa.int32()) for v in (h, w, c)]
-                    yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(name)] * k), pa.array(range(a, a + k), pa.int64()), *fixed, pa.array([str(stack.dtype)] * k), lists], ["rec_id", "t", "h", "w", "c", "dtype", "data"])
+                for a in range(0, len(stack), 64):
+                    yield pages.frame_batch(os.path.basename(name), a, stack[a : a + 64])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, FRAMES)
+    files = spark.read.format("binaryFile").load(path)
+    if kind in pages.KINDS:
+        names = [r["path"] for r in files.select("path").collect()]  # names alone, no content
+        if all(pages.reachable(name) for name in names):
+            return pages.read_pages(spark, names, kind)
+    return files.select("path", "content").mapInArrow(read, pages.FRAMES)
 
 
-def write_frames(frames: DataFrame, path: str | None, fmt: str, dtype: str = "float64"):
-    """Writes every recording; returns (rec_id, path, frames) rows, or an array or counts for the sinks without a file."""
+def write_frames(frames: DataFrame, path: str | None, fmt: str, dtype: str = "float64", deflate: bool = False):
+    """Writes every recording; returns (rec_id, path, frames) rows, or an array or counts for the sinks without a file. ``deflate`` packs the pages of TIFF files."""
     fmt = fmt.upper()
     if fmt not in WRITERS:
         raise ValueError(f"unknown format {fmt}; known are {', '.join(WRITERS)}")
@@ -191,7 +192,7 @@ def write_frames(frames: DataFrame, path: str | None, fmt: str, dtype: str = "fl
                         close()
                     now, n, held = rec, 0, []
                     out = files.open_output_stream(f"{folder}/.{rec}.{ending}.part", compression=None)
-                    sink = (out, formats.TiffWriter(out) if fmt == "TIFF" else None)
+                    sink = (out, formats.TiffWriter(out, deflate) if fmt == "TIFF" else None)
                     if fmt == "NPY":
                         np.lib.format.write_array_header_2_0(out, {"descr": np.dtype(dtype).str, "fortran_order": False, "shape": (total, h, w, c)})
                 n += 1
