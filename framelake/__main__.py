@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import tomllib
 from pathlib import Path
 
@@ -36,6 +37,12 @@ def options_of(config: str | None, overrides: list[str]) -> dict:
     return out
 
 
+def task_index() -> int | None:
+    """The place, from 0, of a job of a job array."""
+    found = [os.environ[name] for name in ("SLURM_ARRAY_TASK_ID", "SGE_TASK_ID", "PBS_ARRAY_INDEX") if os.environ.get(name, "").isdigit()]
+    return int(found[0]) - 1 if found else None
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="framelake", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=("compensate", "session", "z-align"))
@@ -43,7 +50,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--output", required=True)
     parser.add_argument("--volume")
     parser.add_argument("--config")
-    parser.add_argument("--task-index", type=int, help="run only the recording with this number, in order of names")
+    parser.add_argument("--source", help="recording whose mean pre-aligns the volume")
+    parser.add_argument("--stage", choices=("1", "2", "3", "all"), default="all")
+    parser.add_argument("--task-index", type=int, default=task_index(), help="run only the recording with this number, in order of names; a job array's number less one")
     parser.add_argument("overrides", nargs="*")
     args = parser.parse_intermixed_args(argv)
     from pyspark.sql import SparkSession
@@ -54,16 +63,21 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName(f"framelake {args.command}").getOrCreate()
     options, frames = options_of(args.config, args.overrides), read_frames(spark, args.input)
+    stages = (1, 2, 3) if args.stage == "all" else (int(args.stage),)
     if args.task_index is not None:
         names = sorted(r["rec_id"] for r in frames.select("rec_id").distinct().collect())
         frames = frames.where(frames["rec_id"] == names[args.task_index])
     if args.command == "compensate":
-        flow = FlowOptions(**options)
-        registration.compensate(frames, registration.references_of(frames, flow), flow).write.mode("overwrite").partitionBy("rec_id").parquet(args.output)
+        flow = FlowOptions(**{"output_path": args.output, "output_format": "PARQUET"} | options | {"input_file": frames})
+        registration.correct(spark, flow)
     elif args.command == "session":
-        registration.run_session(frames, args.output, SessionOptions(**options))
+        chosen = SessionOptions(**options)
+        parts = registration.run_session(frames, args.output, chosen, stages=stages)
+        if 3 in stages and "://" not in args.output:
+            registration.session_bundle(parts, f"{args.output}/final_results", chosen)
     else:
-        depth.depth_aligned(frames, read_frames(spark, args.volume), DepthOptions(**options)).write.mode("overwrite").parquet(args.output)
+        source = read_frames(spark, args.source) if args.source else None
+        depth.run_depth(frames, read_frames(spark, args.volume), args.output, DepthOptions(**options), source, stages)
 
 
 if __name__ == "__main__":

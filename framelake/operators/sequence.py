@@ -79,6 +79,16 @@ def with_halo(frames: DataFrame, size: int, halo: int) -> DataFrame:
     return frames.join(ends, "rec_id").withColumn("target", F.explode(targets)).select(*frames.columns, "target.batch", "target.role")
 
 
+def channels(frames: DataFrame, chosen: list[int]) -> DataFrame:
+    """Frames with some of their channels, in the order given; a number that a frame does not have is an error."""
+    spots = F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)
+    data = F.flatten(F.transform(spots, lambda p: F.array(*[F.element_at("data", p * F.col("c") + k + 1) for k in chosen])))
+    there = F.assert_true(F.lit(min(chosen) >= 0) & (F.lit(max(chosen)) < F.col("c")), "no such channel")
+    # the arrays first: inside a lambda a name would mean the select's own new column
+    rest = [n for n in frames.columns if n not in ("c", "data")]
+    return frames.withColumn("picked", F.when(there.isNull(), data)).select(*rest, F.lit(len(chosen)).alias("c"), F.col("picked").alias("data"))
+
+
 def zipped_channels(parts: list[DataFrame]) -> DataFrame:
     """Recordings with the same frames, their channels side by side; an inner join on (rec_id, t)."""
     out = parts[0]

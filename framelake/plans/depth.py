@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from ..functions import kernels as K
 from ..functions.columns import RANGES
 from ..operators import sequence as sq
 from ..operators.frames import MOST_REFERENCE_BYTES, one_volume
+from . import registration
 from .options import DepthOptions
 
 RESULT = "rec_id string, t bigint, h int, w int, c int, z array<double>, corrected array<double>"
@@ -100,3 +102,69 @@ def simulated(depths: DataFrame, volume_frames: DataFrame, dtype: str = "uint16"
     volume = one_volume(volume_frames)
     rows = depths.select("rec_id", "t", "h", "w", F.lit(1).alias("c"), "z")
     return map_stacks(rows, lambda z: {"simulated": _stored_type(K.along_depth(volume, z[..., 0] - 1), dtype)}, {"simulated": "array<double>"}, inputs=("z",))
+
+
+def source_mean(source: DataFrame, options: DepthOptions) -> DataFrame:
+    """The reference of a pre-alignment: the mean of a recording's first frames, in bins."""
+    size = options.reference_source_bin_size
+    return sq.first_mean(sq.binned(source, size, padded=True) if size > 1 else source, options.reference_source_frames)
+
+
+def run_depth(frames: DataFrame, stack: DataFrame, path: str, options: DepthOptions | None = None, source: DataFrame | None = None, stages: tuple[int, ...] = (1, 2, 3)) -> dict[str, DataFrame]:
+    """The stages of depth alignment of one recording, as Parquet under ``path``.
+
+    1: volume, the stack registered to ``source``'s mean (or to its own reference), or as
+    it is without ``prealign_stack``. 2: with ``prealign_recording``, the recording is
+    registered first (prealigned); depths, and frames corrected to the anchor's depth with
+    ``write_corrected``. 3: simulated, with ``write_simulated``. Later stages read what
+    earlier ones wrote; with ``resume``, tables that were written to their end stay.
+    """
+    options = options or DepthOptions()
+    spark, out = frames.sparkSession, {}
+
+    def one_reference(df: DataFrame, own: DataFrame | None, flow) -> DataFrame:
+        if own is None:
+            return registration.references_of(df, flow)
+        return df.select("rec_id").distinct().crossJoin(F.broadcast(source_mean(own, options).drop("rec_id"))).select("rec_id", "h", "w", "c", "data")
+
+    def written(name: str, made) -> DataFrame:
+        """A table of the folder; ``made`` is called where it has to be written."""
+        if made is not None:
+            try:
+                if not options.resume:
+                    raise FileNotFoundError
+                out[name] = spark.read.parquet(f"{path}/{name}")  # a table's files appear when its job ends
+                return out[name]
+            except (AnalysisException, FileNotFoundError):
+                made().write.mode("overwrite").parquet(f"{path}/{name}")
+        out[name] = spark.read.parquet(f"{path}/{name}")
+        return out[name]
+
+    def volume() -> DataFrame:
+        raw = stack
+        if options.prealign_stack:
+            flow = options.stack_flow()
+            raw = registration.compensate(stack, one_reference(stack, source, flow), flow)
+        size = options.stack_scans_per_slice or options.volume_bin_size
+        raw = raw.select("rec_id", "t", "h", "w", "c", "data")
+        return sq.binned(raw, size, padded=True) if size > 1 else raw
+
+    def prealigned() -> DataFrame:
+        flow = options.recording_flow()
+        return registration.compensate(frames, one_reference(frames, source if source is not None else frames, flow), flow).drop("u", "v")
+
+    def depths() -> DataFrame:
+        rows = frames.select("rec_id", "t", "h", "w", "c", "data")
+        if options.prealign_recording:
+            rows = written("prealigned", prealigned)
+        elif options.input_bin_size > 1:
+            rows = sq.binned(rows, options.input_bin_size, padded=True)
+        found = depth_aligned(rows, out["volume"], options)
+        return found if options.write_corrected else found.drop("corrected")
+
+    written("volume", volume if 1 in stages else None)
+    if 2 in stages or 3 in stages:
+        written("depths", depths if 2 in stages else None)
+    if 3 in stages and options.write_simulated:
+        written("simulated", lambda: simulated(out["depths"], out["volume"], options.output_dtype))
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from pathlib import Path
 from typing import Any, Literal
 
@@ -35,10 +36,27 @@ def is_backend_available(name: str) -> bool:
 
 
 class FlowOptions(BaseModel):
-    """Motion correction of one recording; unknown names are refused."""
+    """Motion correction of recordings; unknown names are refused.
+
+    Names and defaults are fixed values of the interface. ``n_references`` beyond one
+    means the one reference again, and ``min_frames_per_reference`` then has no effect.
+    """
 
     model_config = ConfigDict(extra="forbid", arbitrary_types_allowed=True, validate_assignment=True)
 
+    input_file: Any = None
+    output_path: str = "results"
+    output_format: str = "MAT"
+    output_file_name: str | None = None
+    naming_convention: Literal["default", "batch"] = "default"
+    channel_idx: list[int] | None = None
+    verbose: bool = False
+    save_meta_info: bool = True
+    save_valid_idx: bool = False
+    n_references: int = Field(1, ge=1)
+    min_frames_per_reference: int = Field(20, ge=1)
+    get_displacement_impl: Any = Field(None, exclude=True)
+    get_displacement_factory: Any = Field(None, exclude=True)
     alpha: tuple[float, float] = (1.5, 1.5)
     weight: list[float] = [0.5, 0.5]
     levels: int = Field(100, ge=1)
@@ -54,7 +72,7 @@ class FlowOptions(BaseModel):
     sigma: list[list[float]] = [[1.0, 1.0, 0.1], [1.0, 1.0, 0.1]]
     bin_size: int = Field(1, ge=1)
     buffer_size: int = Field(400, ge=1)
-    reference_frames: list[int] = Field(default_factory=lambda: list(range(50, 500)))
+    reference_frames: list[int] | str | np.ndarray = Field(default_factory=lambda: list(range(50, 500)))
     update_reference: bool = False
     update_initialization_w: bool = True
     save_w: bool = False
@@ -95,6 +113,23 @@ class FlowOptions(BaseModel):
             raise ValueError("sigma has three numbers of at least 0 for each channel")
         return v.tolist()
 
+    @field_validator("cc_hw", mode="before")
+    @classmethod
+    def _cc_hw(cls, v):
+        return (v, v) if np.isscalar(v) else tuple(v)
+
+    @field_validator("reference_frames", "output_path", mode="before")
+    @classmethod
+    def _path(cls, v):
+        return str(v) if isinstance(v, Path) else v
+
+    @field_validator("n_references")
+    @classmethod
+    def _one_reference(cls, v):
+        if v > 1:
+            warnings.warn("several references mean one reference again", stacklevel=2)
+        return v
+
     @field_validator("constancy_assumption")
     @classmethod
     def _constancy(cls, v):
@@ -130,8 +165,22 @@ class FlowOptions(BaseModel):
             "warping_steps": self.warping_steps, **self.backend_params,
         }
 
+    def solver(self):
+        """The displacement function: one that was given, else what a given factory makes of ``backend_params``, else the named backend."""
+        if self.get_displacement_impl:
+            return self.get_displacement_impl
+        return self.get_displacement_factory(**self.backend_params) if self.get_displacement_factory else get_backend(self.flow_backend)
+
     def save(self, path: str) -> None:
-        Path(path).write_text("Options of motion correction\n" + self.model_dump_json(indent=2))
+        """As JSON after one line of text; a reference that is an array goes into an NPY file beside it, an input that is no path is left out."""
+        plain = self.model_copy()
+        if isinstance(plain.reference_frames, np.ndarray):
+            beside = f"{path}.reference.npy"
+            np.save(beside, plain.reference_frames)
+            plain = plain.model_copy(update={"reference_frames": beside})
+        if not isinstance(plain.input_file, str | list | None):
+            plain = plain.model_copy(update={"input_file": str(plain.input_file) if isinstance(plain.input_file, Path) else None})
+        Path(path).write_text("Options of motion correction\n" + plain.model_dump_json(indent=2))
 
     @classmethod
     def load(cls, path: str) -> FlowOptions:
@@ -156,7 +205,16 @@ class SessionOptions(BaseModel):
     flow_options: dict[str, Any] = {}
 
 
+PROTECTED = ("input_file", "output_path", "output_format", "output_file_name", "naming_convention", "reference_frames")
+
+
 class DepthOptions(BaseModel):
+    """Depth alignment: stage 1 registers the stack of the volume, stage 2 finds depths and corrects, stage 3 simulates.
+
+    ``stack_scans_per_slice`` scans of a slice follow each other in the stack: each slice
+    is then a buffer of its own, the reference follows, and the scans are averaged.
+    """
+
     model_config = ConfigDict(extra="forbid")
 
     win_half: int = Field(10, ge=1)
@@ -168,7 +226,41 @@ class DepthOptions(BaseModel):
     smooth_temporal: float = Field(1.5, ge=0)
     tau_scale: float = Field(1e-3, ge=0)
     input_buffer: int = Field(50, ge=1)
+    input_bin_size: int = Field(1, ge=1)
     output_dtype: str = "uint16"
+    prealign_stack: bool = True
+    prealign_recording: bool = False
+    write_corrected: bool = True
+    write_simulated: bool = True
+    resume: bool = True
+    reference_source_frames: int = Field(2000, ge=1)
+    reference_source_bin_size: int = Field(20, ge=1)
+    stage1_alpha: float = Field(5.0, gt=0)
+    stage1_quality_setting: str = "quality"
+    stage1_buffer_size: int = Field(500, ge=1)
+    stage1_bin_size: int = Field(1, ge=1)
+    stage1_update_reference: bool = True
+    stack_scans_per_slice: int | None = Field(None, ge=1)
+    volume_bin_size: int = Field(1, ge=1)
+    flow_backend: str = "lexicographic"
+    backend_params: dict[str, Any] = {}
+    stage1_flow_options: dict[str, Any] = {}
+    recording_prealign_flow_options: dict[str, Any] = {}
+
+    def stack_flow(self) -> FlowOptions:
+        """How stage 1 registers the stack; input, output and reference cannot be overridden."""
+        scans = self.stack_scans_per_slice
+        own = {k: v for k, v in self.stage1_flow_options.items() if k not in PROTECTED}
+        fixed = {"buffer_size": scans, "update_reference": True} if scans else {}
+        base = {"buffer_size": self.stage1_buffer_size, "bin_size": self.stage1_bin_size, "update_reference": self.stage1_update_reference}
+        return FlowOptions(**self._shared() | base | own | fixed)
+
+    def recording_flow(self) -> FlowOptions:
+        own = {k: v for k, v in self.recording_prealign_flow_options.items() if k not in PROTECTED}
+        return FlowOptions(**self._shared() | {"buffer_size": self.input_buffer, "bin_size": self.input_bin_size} | own)
+
+    def _shared(self) -> dict[str, Any]:
+        return {"alpha": self.stage1_alpha, "quality_setting": self.stage1_quality_setting, "flow_backend": self.flow_backend, "backend_params": self.backend_params}
 
 
 class LiveOptions(BaseModel):

@@ -52,7 +52,40 @@ def test_command_line_runs(spark, tmp_path, volume):
     frames = frames_io.from_array(spark, volume[:3], "rec")
     frames_io.write_frames(frames, f"file://{tmp_path}/in", "TIFF", "float32")
     cli.main(["compensate", "--input", f"{tmp_path}/in/rec.tif", "--output", f"{tmp_path}/out", "iterations=3", "quality_setting=fast", "weight=[1]", "reference_frames=[0]"])
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/out/frames").count() == 3 and spark.read.parquet(f"{tmp_path}/out/statistics").count() == 3
+    cli.main(["session", "--input", f"{tmp_path}/in/rec.tif", "--output", f"{tmp_path}/s", 'flow_options={"iterations": 2, "quality_setting": "fast", "weight": [1]}'])
+    bundle = np.load(f"{tmp_path}/s/final_results/final_valid_idx.npz")
+    assert bundle["final_valid"].shape == (24, 24) and bundle["middle_idx"] == 0
+    assert formats.read_mat(open(f"{tmp_path}/s/final_results/final_valid_idx.mat", "rb").read())["middle_idx"] == 1
+
+
+def test_number_of_a_job(monkeypatch):
+    assert cli.task_index() is None
+    monkeypatch.setenv("SGE_TASK_ID", "undefined")
+    assert cli.task_index() is None
+    monkeypatch.setenv("PBS_ARRAY_INDEX", "7")
+    monkeypatch.setenv("SLURM_ARRAY_TASK_ID", "3")
+    assert cli.task_index() == 2
+
+
+def test_stages_of_depth_alignment(spark, tmp_path, volume):
+    """Two scans of each slice, the second one moved; stages run one by one and resume."""
+    scans = np.concatenate([[v, np.roll(v, 1, 1)] for v in volume])
+    stack, frames = frames_io.from_array(spark, scans).drop("dtype"), frames_io.from_array(spark, volume[[3, 3, 2, 2]]).drop("dtype")
+    quick = {"iterations": 10, "weight": [1.0], "quality_setting": "fast", "input_file": "ignored", "buffer_size": 99}
+    options = OPTIONS.model_copy(update={"stack_scans_per_slice": 2, "stage1_flow_options": quick, "prealign_recording": True, "recording_prealign_flow_options": quick, "reference_source_bin_size": 2})
+    assert options.stack_flow().buffer_size == 2 and options.stack_flow().input_file is None and options.recording_flow().buffer_size == 99
+    with pytest.raises(Exception, match="volume"):
+        depth.run_depth(frames, stack, str(tmp_path), options, stages=(2,))
+    first = depth.run_depth(frames, stack, str(tmp_path), options, stages=(1,))
+    assert first["volume"].count() == 7
+    rest = depth.run_depth(frames, stack, str(tmp_path), options, stages=(2, 3))
+    assert set(rest) == {"volume", "prealigned", "depths", "simulated"} and rest["simulated"].count() == rest["prealigned"].count() == 4
+    assert depth.run_depth(frames.limit(0), stack, str(tmp_path), options)["depths"].count() == 4
+    raw = OPTIONS.model_copy(update={"prealign_stack": False, "write_simulated": False, "write_corrected": False})
+    plain = depth.run_depth(frames, frames_io.from_array(spark, volume).drop("dtype"), f"{tmp_path}/raw", raw)
+    assert set(plain) == {"volume", "depths"} and "corrected" not in plain["depths"].columns
+    assert (np.array(plain["volume"].orderBy("t").first()["data"]) == volume[0].ravel()).all()
 
 
 def test_metadata():

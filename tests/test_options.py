@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pydantic import ValidationError
 
@@ -27,6 +28,17 @@ def test_saved_and_loaded(tmp_path):
     o = FlowOptions(alpha=(2, 4), gnc_schedule=(0.0, 1.0))
     o.save(str(tmp_path / "o.json"))
     assert FlowOptions.load(str(tmp_path / "o.json")) == o
+    FlowOptions(reference_frames=np.ones((3, 4)), input_file=np.zeros((2, 3, 4)), cc_hw=64).save(str(tmp_path / "a.json"))
+    back = FlowOptions.load(str(tmp_path / "a.json"))
+    assert back.input_file is None and back.cc_hw == (64, 64) and (np.load(back.reference_frames) == 1).all()
+
+
+def test_displacement_given_before_factory_before_name():
+    made = lambda **k: k
+    assert FlowOptions(get_displacement_impl=print, get_displacement_factory=made).solver() is print
+    assert FlowOptions(get_displacement_factory=made, backend_params={"a": 1}).solver() == {"a": 1}
+    with pytest.warns(UserWarning, match="references"):
+        FlowOptions(n_references=2)
 
 
 def test_backends():

@@ -125,7 +125,11 @@ def test_session_resumes(spark, tmp_path):
     second = reg.run_session(frames, str(tmp_path), options, OPTIONS)
     assert second["compensated"].groupBy("rec_id").count().count() == 2 and second["aligned"].count() == 6
     assert sorted(r["rec_id"] for r in spark.read.parquet(f"{tmp_path}/status").collect()) == ["r0", "r1"]
+    stage = reg.run_session(frames, str(tmp_path), options, OPTIONS, stages=(2,))
+    assert set(stage) == {"compensated", "averages", "between"}
     again = reg.run_session(frames, str(tmp_path), options, OPTIONS)
+    found = reg.session_bundle(again, f"{tmp_path}/final_results", options)
+    assert found["displacement_fields_u"].shape == (2, 32, 32) and (found["final_valid"] == np.array(again["session_mask"].first()["valid"]).reshape(32, 32)).all()
     assert again["session_mask"].count() == 1
     assert spark.read.parquet(f"{tmp_path}/status").count() == 2
 
@@ -224,3 +228,40 @@ def test_live_range_follows_the_processed_reference():
     registered, flows = live.register_frames(np.stack([2 * scene(0, 0)] * 2))
     assert registered.shape[0] == 2 and (live.get_current_flow() == flows[-1]).all()
     assert np.allclose(live.range, (live.proc.min(), live.proc.max()))
+
+
+def test_hooks_hear_of_every_batch(spark, tmp_path, frames, references):
+    folder = str(tmp_path)
+
+    def note(rec, *told):
+        name = "-".join(str(x if np.isscalar(x) else x.shape) for x in told)
+        open(f"{folder}/{rec} {name}", "w").close()
+
+    def broken(*_):
+        raise RuntimeError("no")
+
+    hooks = reg.Hooks(progress=(broken, note), flows=(note,), registered=(note,))
+    plain = collected(reg.compensate(frames, references, OPTIONS, still))
+    told = collected(reg.compensate(frames, references, OPTIONS, still, hooks))
+    assert told.keys() == plain.keys()
+    heard = {p.name for p in tmp_path.iterdir()}
+    assert {"a 4-9", "a 8-9", "a 9-9", "b 4-6", "b 6-6", "a (4, 32, 32, 2)-4-8", "a (1, 32, 32, 1)-8-9", "b (2, 32, 32, 2)-4-6"} <= heard and len(heard) == 15
+
+
+@pytest.mark.parametrize("kind", ["path", "array"])
+def test_a_whole_correction(spark, tmp_path, kind):
+    stack = np.random.default_rng(1).integers(0, 999, (5, 12, 12, 3)).astype(np.uint16)
+    np.save(tmp_path / "rec.npy", stack)
+    image = stack[..., [2, 0]][0].astype(float)
+    np.save(tmp_path / "ref.npy", image[None])
+    given = str(tmp_path / "ref.npy") if kind == "path" else image[None]
+    options = FlowOptions(input_file=str(tmp_path / "rec.npy"), output_path=f"{tmp_path}/out", output_format="TIFF", channel_idx=[2, 0], reference_frames=given, output_typename="uint16", naming_convention="batch", get_displacement_impl=still, save_valid_idx=True)
+    parts = reg.correct(spark, options)
+    assert set(parts) == {"frames", "reference", "statistics", "valid_mask"}
+    assert (np.array(parts["reference"].first()["data"]) == image.ravel()).all()
+    back = frames_io.to_array(frames_io.read_frames(spark, f"{tmp_path}/out/rec_compensated.tif"))
+    assert back.dtype == np.uint16 and np.abs(back.astype(int) - stack[..., [2, 0]]).max() <= 1
+    few = reg.correct(spark, options.model_copy(update={"output_path": f"{tmp_path}/few", "output_format": "PARQUET", "save_meta_info": False, "save_valid_idx": False, "channel_idx": None, "reference_frames": [0, 1]}))
+    assert set(few) == {"frames"} and few["frames"].first()["c"] == 3
+    with pytest.raises(Exception, match="no such channel"):
+        reg.correct(spark, options.model_copy(update={"channel_idx": [3]}))
