@@ -15,7 +15,6 @@ unchanged, whatever their names; very long texts are read whole.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framelake.llm import decontaminate, minhash, mixing, quality, secret_scan
 from framelake.llm.common import dropped, scratch, stored
@@ -48,11 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Decided by the text alone, so rows with a null or shared id stand for
     themselves; a null text has no words and stays, as do all with an empty benchmark.
     """
-    docs_hash = F.xxhash64(docs["text"])
-    with scratch(spark) as own:
-        found = decontaminate.contamination(docs.select(docs_hash.alias("text_hash"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="text_hash")
-        hit = own.keep(stored(found.where("contaminated").select(F.col("doc_id").alias("__hit_hash")).distinct(), "contaminated"))
-    return docs.join(hit, docs_hash == hit["__hit_hash"], "left_anti")
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

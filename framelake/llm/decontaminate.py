@@ -19,7 +19,9 @@ benchmark is collected only in blocks of about ``block_bytes`` of text, whose
 number follows from a count, and travels as arrays of word numbers (12 bytes a
 word); with more than one block, every segment is searched for each block and the
 hits are united per document, told apart by its segment's number and its place in
-it. A term that fills a third of all rows is never the start of an intersection
+it. ``without_contaminated`` only filters rows: it stores no index, searches each
+segment in the task that made it, and stores what is left between the passes of
+several blocks. A term that fills a third of all rows is never the start of an intersection
 unless a window has no other.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased.
@@ -45,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, stored, texts_of, translated
+from .common import Words, cut, small_batches, stored, texts_of, translated
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
@@ -64,17 +66,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLDED).split()
 
 
+def _postings(texts: pa.Array) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(ends of the texts in words, terms, ends of their lists, positions) of a segment."""
+    words = Words(translated(texts_of(texts), FOLDED))
+    order = np.argsort(words.codes, kind="stable").astype(np.int32)
+    return words.offsets[1:], words.dictionary, np.cumsum(np.bincount(words.codes, minlength=len(words.dictionary))), order
+
+
 def build_index(docs: DataFrame, doc_id="doc_id", text="text", segment_bytes=SEGMENT_BYTES) -> DataFrame:
     """Segments of the positional inverted index, one row each, numbered by task and place in it. Store it before several searches are joined."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in cut(batches, "text", segment_bytes):
-            words = Words(translated(texts_of(batch.column("text")), FOLDED))
-            order = np.argsort(words.codes, kind="stable").astype(np.int32)
-            ends = np.cumsum(np.bincount(words.codes, minlength=len(words.vocabulary)))
             number += 1
-            values = (number, batch.column("doc_id").to_pylist(), words.offsets[1:], words.vocabulary, ends, order)
+            values = (number, batch.column("doc_id").to_pylist(), *_postings(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, SEGMENT_ARROW, strict=True)], schema=SEGMENT_ARROW)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, SEGMENT_SCHEMA)
@@ -225,17 +231,49 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, slop=0, block_bytes=BLOCK_BYTES) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit, n_items, items (ascending ids) and contaminated."""
+def _blocks(benchmark: DataFrame, item_id, item_text, window, block_bytes) -> Iterator[Queries]:
+    """The benchmark's windows, collected in blocks of about ``block_bytes`` of text."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    index = stored(build_index(docs, doc_id, text), "index")
-    found = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = search(index, Queries([(words_of(r["text"]), [r["item"]]) for r in part.collect()], window), slop, only_hits=block > 0)
-        found = rows if found is None else found.unionByName(rows)
+        yield Queries([(words_of(r["text"]), [r["item"]]) for r in part.collect()], window)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id", item_text="text", window=WINDOW, block_bytes=BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that no window of the benchmark occurs in: each task indexes a segment, searches it and lets it go, so that no index is stored and no text is shuffled. A pass for each block of the benchmark."""
+
+    def cleaned(queries: Queries):
+        shared = docs.sparkSession.sparkContext.broadcast(queries)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in cut(batches, text, SEGMENT_BYTES):
+                ends, terms, term_ends, positions = _postings(batch.column(text))
+                segment = Segment({"segment": 0, "doc_ids": [], "ends": ends, "terms": terms, "term_ends": term_ends, "positions": positions})
+                hit = np.searchsorted(segment.ends, segment.exact(shared.value)[1], side="right")
+                if len(hit):
+                    left = np.ones(batch.num_rows, bool)
+                    left[hit] = False
+                    batch = batch.filter(pa.array(left))
+                yield batch
+
+        return clean
+
+    small_batches(docs.sparkSession)
+    left = docs
+    for block, queries in enumerate(_blocks(benchmark, item_id, item_text, window, block_bytes)):
+        left = (stored(left, "clean") if block else left).mapInArrow(cleaned(queries), docs.schema)
+    return left
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, slop=0, block_bytes=BLOCK_BYTES) -> DataFrame:
+    """For each document: doc_id, n_words, n_hit, n_items, items (ascending ids) and contaminated."""
+    index = stored(build_index(docs, doc_id, text), "index")
+    found, blocks = None, 0
+    for queries in _blocks(benchmark, item_id, item_text, window, block_bytes):
+        rows = search(index, queries, slop, only_hits=blocks > 0)
+        found, blocks = rows if found is None else found.unionByName(rows), blocks + 1
     merged = lambda column: F.sort_array(F.array_distinct(F.flatten(F.collect_list(column))))
     if blocks > 1:
         spans = F.flatten(F.collect_list(F.arrays_zip("starts", "stops")))

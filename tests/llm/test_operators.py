@@ -346,6 +346,18 @@ def test_contamination(spark, documents):
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)
 
 
+def test_rows_without_contamination(spark, documents):
+    items = [(1, "alpha beta gamma"), (2, " ".join(f"w{k}" for k in range(14))), (3, None), (None, "solo words here"), (6, "Écoute bien")]
+    texts = [*ODD, "x ALPHA, beta-gamma! y", " ".join(f"w{k}" for k in range(2, 13)), "solo words here", "Écoute bien alpha beta", "alpha beta alpha beta", "alpha", "beta gamma"]
+    rows = [(None if k % 3 else 7, *r[1:]) for k, r in enumerate(rows_of(texts * 2))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    expected = sorted(str(r) for r in rows if not brute.contamination(r[1], items)[1])
+    for block in (decontaminate.BLOCK_BYTES, 40):
+        left = decontaminate.without_contaminated(documents(rows), bench, block_bytes=block)
+        assert sorted(str(tuple(r)) for r in left.collect()) == expected
+    assert decontaminate.without_contaminated(documents(rows), bench.where("false")).count() == len(rows)
+
+
 def test_equal_segments_keep_their_rows_with_several_blocks(spark, documents):
     """Two files with the same documents, ids and words, and documents without an id."""
     rows = [(1, "alpha beta gamma", "", "", 0), (2, "nothing to see", "", "", 0), (None, "solo words here", "", "", 0)]

@@ -55,6 +55,19 @@ def test_decontamination(spark, stages):
     assert {r["doc_id"] for r in stages[3].collect()} == expected
 
 
+def test_decontamination_moves_no_texts(spark, stages):
+    """However many documents are hit: no table beside the benchmark, no join and no shuffle."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        rows = corpus_pipeline.decontamination(spark, stages[2], DIR)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "Join" not in plan and "Exchange" not in plan and rows.count() == stages[3].count()
+
+
 def test_secrets_are_masked_and_nothing_else_changes(stages):
     before = {r["doc_id"]: r["text"] for r in stages[3].collect()}
     after = {r["doc_id"]: r["text"] for r in stages[4].collect()}
