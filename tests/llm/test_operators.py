@@ -291,6 +291,25 @@ def test_automaton_merges_states_and_gives_probabilities():
     assert np.allclose(np.exp(secret_scan.Plain(strings).log).sum(1), 1)
 
 
+def test_secret_models_are_fitted_to_all_strings(spark, documents):
+    """More labelled strings and runs than any batch or former sample has, repeated over partitions; a long run; a run that is labelled elsewhere."""
+    pick = random.Random(4)
+    made = lambda n: "".join(pick.choice("abcdefXYZ0123456789") for _ in range(n))
+    labels, runs = sorted({made(pick.randint(8, 20)) for _ in range(1700)}), [r for r in sorted({w for w in secret_scan.plain_words(seed=5, n=7000)}) if len(r) >= 8 and r[-1] != "."]
+    runs += [f"{k}" * 20 for k in ("x-", "Qz9")] + ["long" * 500]
+    texts = [f"token={v} and" for v in labels] + labels[:50] + runs + runs[::3]
+    pick.shuffle(texts)
+    model = secret_scan.fitted(documents(rows_of(texts)).repartition(7), threshold=-99.0)
+    glued = [f"token={v}" for v in labels]  # the runs around the labelled values
+    whole = secret_scan.Model(labels, runs + glued, threshold=-99.0)
+    assert model.runs == len(runs) + len(labels) > 2 * secret_scan.FALSE_OF
+    assert np.array_equal(model.automaton.log, whole.automaton.log) and np.array_equal(model.automaton.after, whole.automaton.after)
+    assert np.array_equal(model.plain.log, whole.plain.log) and all(np.array_equal(a.log, b.log) for a, b in zip(model.others, whole.others, strict=True))
+    assert model.threshold == whole.threshold > -99
+    high = np.sort(whole.held_out(runs + glued))[::-1]
+    assert model.threshold == high[len(high) // secret_scan.FALSE_OF]
+
+
 def test_scores_and_spans_equal_scoring_each_candidate_alone(spark, documents, corpus):
     pick = random.Random(8)
     mixed = [" ".join(pick.choice(secret_scan.made_by_rule(1, k) + corpus[0].split()) for _ in range(12)) for k in range(60)]
