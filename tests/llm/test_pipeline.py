@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelake.llm import mixing, quality, registry
+from framelake.llm import mixing, quality, registry, secret_scan
 from framelake.llm.common import stored
 
 from . import brute
@@ -77,6 +77,22 @@ def test_secrets_are_masked_and_nothing_else_changes(stages):
         assert sum(brute.secrets(after[i])[0]) == 0
 
 
+def test_secrets_are_fitted_to_all_strings(spark, documents, monkeypatch):
+    """1,300 labelled values and 2,600 runs beside theirs, in one partition: more than a former fit took."""
+    made, init = [], secret_scan.Model.__init__
+
+    def seen(self, labels, runs, *rest):
+        made.append((sum(labels.values()) if isinstance(labels, dict) else len(labels), int(runs[:, -1].sum()) if hasattr(runs, "shape") else len(runs)))
+        init(self, labels, runs, *rest)
+
+    monkeypatch.setattr(secret_scan.Model, "__init__", seen)
+    texts = [f"secret={k:06d}aB{k % 7}x and" for k in range(1300)] + [f"plain-word-{k}" for k in range(2600)]
+    docs = documents([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]).coalesce(1)
+    rows = corpus_pipeline.secrets(spark, docs, DIR).collect()
+    assert made == [(1300, 1300 + 2600)]
+    assert sum("[SECRET]" in r["text"] for r in rows) == 1300 and sum(r["text"].startswith("plain-word-") for r in rows) == 2600
+
+
 def test_mix_and_run(spark, stages):
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(stages[4]).collect()}
     copies = {r["doc_id"]: r["n"] for r in stages[5].groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
