@@ -17,10 +17,12 @@ every other character as itself.
 
 Both models are fitted to all distinct strings: the automaton to every labelled
 one, the chain to every unlabelled run. For the threshold the runs are dealt into two
-folds by their hashes and each is scored by a chain fitted to the other one; it is
-``threshold`` bits, or more where more than one in ``FALSE_OF`` runs would reach it.
+folds by their hashes and each is scored by a chain fitted to the other one; a part,
+which can be of runs of both, gets the higher of its two scores. It is ``threshold``
+bits, or more where more than one in ``FALSE_OF`` runs, or of all that is scored (the
+runs and their parts), would reach it.
 
-At scale: a map over the texts leaves labelled strings and runs, a shuffle makes
+At scale: a map over the texts leaves labelled strings, runs and parts, a shuffle makes
 them distinct, and maps over those count the chain's pairs and score the folds. What
 the driver gets are the distinct labelled strings as symbols, with their numbers, and
 one table of counts; merging moves them through the automaton in arrays, a byte a
@@ -48,6 +50,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +63,8 @@ THRESHOLD = 16.0
 FALSE_OF = 1000
 MASK = "[SECRET]"
 KINDS = ("assign", "access", "hex", "format")
+PART, RUN, LABEL = range(3)
+"""What a distinct string is; the greatest of what it is anywhere."""
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
@@ -145,21 +150,44 @@ def all_base(texts: pa.StringArray) -> list[list[tuple]]:
     return [base_findings(texts[d].as_py()) if d in wanted else [] for d in range(len(texts))]
 
 
+def own_parts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) in bytes of the parts of the given runs that are not the whole run, and not inside a base finding."""
+    cuts = np.flatnonzero(_RUN[data] & ~_PART[data])
+    split = np.searchsorted(cuts, starts) < np.searchsorted(cuts, ends)
+    starts, ends = starts[split], ends[split]
+    edges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    moved = starts - edges[:-1]
+    run, first, last = long_runs(data[np.arange(edges[-1]) + np.repeat(moved, ends - starts)], edges, letters=_PART)
+    first, last = first + moved[run], last + moved[run]
+    owner, new = np.searchsorted(offsets, first, side="right") - 1, np.ones(len(first), bool)
+    for d in np.unique(owner).tolist():
+        if base[d]:
+            at = offsets[d] + np.append(np.flatnonzero((data[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80), offsets[d + 1] - offsets[d])
+            lo, hi = np.searchsorted(owner, [d, d + 1])
+            before = np.searchsorted(at[[x[1] for x in base[d]]], first[lo:hi], side="right")  # base findings that begin no later
+            reach = np.maximum.accumulate(at[[x[2] for x in base[d]]])
+            new[lo:hi] = (before == 0) | (reach[np.maximum(before, 1) - 1] < last[lo:hi])
+    return first[new], last[new]
+
+
 def strings_of(docs: DataFrame, text: str) -> DataFrame:
-    """(value, labelled): all distinct labelled strings and candidate runs of the texts; a run that is labelled anywhere is labelled."""
+    """(value, kind): all distinct labelled strings, candidate runs and further parts of runs; what is labelled anywhere is labelled, what is a run anywhere is a run."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, "text"):
             texts = texts_of(batch.column("text"))
-            labels = {texts[d].as_py()[x[3] : x[4]].encode() for d, found in enumerate(all_base(texts)) for x in found}
+            base = all_base(texts)
+            labels = {texts[d].as_py()[x[3] : x[4]].encode() for d, found in enumerate(base) for x in found}
             data, offsets = raw(texts)
-            _, starts, ends = long_runs(data, offsets)
+            _, *at = long_runs(data, offsets)
             whole = data.tobytes()
-            runs = {whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)} - labels
-            yield pa.RecordBatch.from_arrays([pa.array([*labels, *runs], pa.binary()).cast(pa.string()), pa.array([True] * len(labels) + [False] * len(runs), pa.bool_())], ["value", "labelled"])
+            runs, parts = ({whole[a:b] for a, b in zip(x.tolist(), y.tolist(), strict=True)} - labels for x, y in (at, own_parts(data, offsets, *at, base)))
+            parts -= runs
+            kinds = [LABEL] * len(labels) + [RUN] * len(runs) + [PART] * len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([*labels, *runs, *parts], pa.binary()).cast(pa.string()), pa.array(kinds, pa.int32())], ["value", "kind"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(look, "value string, labelled boolean")
-    return found.groupBy("value").agg(F.max("labelled").alias("labelled"))
+    found = docs.select(F.col(text).alias("text")).mapInArrow(look, "value string, kind int")
+    return found.groupBy("value").agg(F.max("kind").alias("kind"))
 
 
 def made_by_rule(each: int = 12, seed: int = 7, without: tuple[str, ...] = ()) -> list[str]:
@@ -365,10 +393,10 @@ class Model:
         if not isinstance(runs, np.ndarray):
             self.calibrate(lambda k: np.sort(self.held_out(runs))[::-1][k : k + 1].tolist())
 
-    def calibrate(self, kth) -> None:
-        """Raises the threshold to the score that one in ``FALSE_OF`` runs is above; ``kth`` gives a list of the k-th highest score that a run has, or an empty one if that is under the threshold."""
-        if self.runs >= FALSE_OF // 2:
-            self.threshold = max([self.threshold, *kth(self.runs // FALSE_OF)])
+    def calibrate(self, kth, further: int = 0) -> None:
+        """Raises the threshold to the score that one in ``FALSE_OF`` runs, or runs and ``further`` strings, is above; ``kth`` gives a list of the k-th highest score that one has, or an empty one if that is under the threshold."""
+        if (n := self.runs + further) >= FALSE_OF // 2:
+            self.threshold = max([self.threshold, *kth(n // FALSE_OF)])
 
     def held_out(self, values: list[str]) -> np.ndarray:
         """The scores of runs, each under the chain of the fold that it is not in."""
@@ -377,6 +405,10 @@ class Model:
             out[fold == k] = self.scored(*joined([values[i] for i in np.flatnonzero(fold == k)]), self.others[k])
         return out
 
+    def higher(self, values: list[str]) -> np.ndarray:
+        """The scores of parts of runs, each under the chain of the fold that gives more."""
+        return np.maximum(*(self.scored(*joined(values), plain) for plain in self.others))
+
     def scored(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: Plain | None = None) -> np.ndarray:
         """How much likelier each string is as a credential than as an unlabelled run, in bits."""
         plain = plain or self.plain
@@ -424,33 +456,43 @@ def plain_words(seed: int = 11, n: int = 400) -> list[str]:
 
 
 def fitted(docs: DataFrame, text: str = "text", alpha: float = ALPHA, threshold: float = THRESHOLD) -> Model:
-    """The model of a corpus, from all its distinct labelled strings and unlabelled runs."""
+    """The model of a corpus, from all its distinct labelled strings, unlabelled runs and their parts."""
     spark = docs.sparkSession
     found = stored(strings_of(docs, text), "secret-strings")
-    runs = found.where(~F.col("labelled")).select("value")
+    candidates = found.where(F.col("kind") < LABEL)
     form = F.translate("value", "".join(_SYMBOL), "".join(_SYMBOL.values()))
-    labels = {r["form"]: r["count"] for r in found.where("labelled").groupBy(form.alias("form")).count().collect()}
+    labels = {r["form"]: r["count"] for r in found.where(F.col("kind") == LABEL).groupBy(form.alias("form")).count().collect()}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SHAPE, np.int64)
+    def by_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
         for batch in cut(batches, "value"):
-            total += folds_counted(batch.column("value").to_pylist())
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total.ravel()[cells], pa.int64())], ["cell", "n"])
+            yield tuple(batch.column("value").filter(pc.equal(batch.column("kind"), kind)).to_pylist() for kind in (RUN, PART))
 
-    counts = np.zeros(SHAPE, np.int64)
-    for r in runs.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts.ravel()[r["cell"]] = r["n"]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n_parts = np.zeros(SHAPE, np.int64), 0
+        for runs, parts in by_kind(batches):
+            total += folds_counted(runs)
+            n_parts += len(parts)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([*cells.tolist(), -1], pa.int64()), pa.array([*total.ravel()[cells].tolist(), n_parts], pa.int64())], ["cell", "n"])
+
+    counts, n_parts = np.zeros(SHAPE, np.int64), 0
+    for r in candidates.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        if r["cell"] < 0:
+            n_parts = r["n"]
+        else:
+            counts.ravel()[r["cell"]] = r["n"]
     model = Model(labels, counts, alpha, threshold)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "value"):
-            high = shared.value.held_out(batch.column("value").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(high[high > threshold], pa.float64())], ["score"])
-
-    scores = runs.mapInArrow(score, "score double").orderBy(F.desc("score"))
-    model.calibrate(lambda k: [r["score"] for r in scores.offset(k).limit(1).collect()])
+        for runs, parts in by_kind(batches):
+            for kind, high in ((RUN, shared.value.held_out(runs)), (PART, shared.value.higher(parts))):
+                high = high[high > threshold]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(high), kind, np.int32)), pa.array(high, pa.float64())], ["kind", "score"])
+
+    scores = stored(candidates.mapInArrow(score, "kind int, score double"), "secret-scores").orderBy(F.desc("score"))
+    for own, further in [(scores.where(F.col("kind") == RUN), 0)] + [(scores, n_parts)] * (n_parts > 0):
+        model.calibrate(lambda k: [r["score"] for r in own.offset(k).limit(1).collect()], further)  # noqa: B023 - called at once
     return model
 
 

@@ -310,6 +310,23 @@ def test_secret_models_are_fitted_to_all_strings(spark, documents):
     assert model.threshold == high[len(high) // secret_scan.FALSE_OF]
 
 
+def test_secret_threshold_counts_the_parts_that_are_scored(spark, documents):
+    """3,000 identifiers, each at the end of a path that is itself under the threshold: as parts they are candidates, so no more than one in a thousand candidates may be found."""
+    pick = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    stems = ["articles", "international", "understanding", "documentation", "reference", "collections"]
+    paths = ["/".join([*(pick.choice(stems) for _ in range(6)), "".join(pick.choice(letters) for _ in range(12))]) for _ in range(3000)]
+    runs = sorted({*paths, *(w for w in secret_scan.plain_words(seed=5, n=9000) if len(w) >= 8 and w[-1] != ".")})
+    key, value = secret_scan.made_by_rule(1, 5)[4], "Zq7/aB3dE5gH7kL9/x"
+    docs = documents(rows_of([f"see {r} or" for r in runs] + [f"é token={value}, the key /reference/{key}"])).repartition(5)
+    parts = {p for r in [*runs, f"/reference/{key}"] for p in (x.rstrip(".") for x in re.split("[=/]", r)) if len(p) >= 8} - set(runs)
+    kinds = {r["value"]: r["kind"] for r in secret_scan.strings_of(docs, "text").collect()}
+    assert {v for v, k in kinds.items() if k == secret_scan.PART} == parts and kinds[value] == secret_scan.LABEL  # not the parts of the labelled value
+    found = secret_scan.secret_scan(docs).orderBy("doc_id").collect()
+    added = sum(r["n_added"] for r in found)
+    assert found[-1]["spans"].count("format") == 1 and added <= 2 * (len(runs) + len(parts)) // secret_scan.FALSE_OF, added
+
+
 def test_scores_and_spans_equal_scoring_each_candidate_alone(spark, documents, corpus):
     pick = random.Random(8)
     mixed = [" ".join(pick.choice(secret_scan.made_by_rule(1, k) + corpus[0].split()) for _ in range(12)) for k in range(60)]
