@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 FRAME_COLUMNS = ("rec_id", "t", "h", "w", "c", "data")
 MOST_REFERENCE_BYTES = 256 << 20
+WORK_BYTES = 64 << 20  # what one call of a kernel may take
 
 
 def frames(df: DataFrame, data: Column, h: int, w: int, c: int = 1, t: Column | str = "t", rec_id: Column | None = None) -> DataFrame:
@@ -36,36 +37,43 @@ def pixels(df: DataFrame, data: str = "data", value: str = "val") -> DataFrame:
     return rows.select("rec_id", "t", F.floor(at / (F.col("w") * F.col("c"))).alias("y"), (F.floor(at / F.col("c")) % F.col("w")).alias("x"), (at % F.col("c")).alias("ch"), value)
 
 
-def map_stacks(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, str], inputs: tuple[str, ...] = ("data",), keep: tuple[str, ...] = ("rec_id", "t", "h", "w", "c")) -> DataFrame:
+def map_stacks(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, str], inputs: tuple[str, ...] = ("data",), keep: tuple[str, ...] = ("rec_id", "t", "h", "w", "c"), work: Callable[[int, int, int], int] | None = None) -> DataFrame:
     """Applies ``kernel(stack, ...)`` to the frames of each batch, by shape.
 
     The kernel gets a (n, h, w, c) array for each input column and returns for
     each output an array of n rows; outputs of type ``array<...>`` are flattened.
+    ``work(h, w, c)`` is what the kernel takes for a frame, in bytes: a call gets
+    as many frames as ``WORK_BYTES`` allow, at least one.
     """
     columns = list(dict.fromkeys([*keep, "h", "w", "c"]))
     kept = df.select(*keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [f"`{n}` {t}" for n, t in outputs.items()])
 
+    def solved(part: pa.RecordBatch, shape: np.ndarray) -> pa.RecordBatch:
+        stacks = [part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, *shape) for c in inputs]
+        found = kernel(*stacks)
+        arrays = [part.column(k) for k in keep]
+        for name, kind in outputs.items():
+            value = np.asarray(found[name])
+            if kind.startswith("array"):
+                flat = value.reshape(part.num_rows, -1)
+                item = {"array<double>": pa.float64(), "array<float>": pa.float32(), "array<boolean>": pa.bool_(), "array<bigint>": pa.int64()}[kind]
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * flat.shape[1])
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(flat.ravel()).cast(item)))
+            else:
+                arrays.append(pa.array(value).cast({"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}[kind]))
+        return pa.RecordBatch.from_arrays(arrays, [*keep, *outputs])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             shapes = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "w", "c")], 1)
             for shape in np.unique(shapes, axis=0):
-                part = batch.filter(pa.array((shapes == shape).all(1)))
-                stacks = [part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, *shape) for c in inputs]
-                found = kernel(*stacks)
-                arrays = [part.column(k) for k in keep]
-                for name, kind in outputs.items():
-                    value = np.asarray(found[name])
-                    if kind.startswith("array"):
-                        flat = value.reshape(part.num_rows, -1)
-                        item = {"array<double>": pa.float64(), "array<float>": pa.float32(), "array<boolean>": pa.bool_(), "array<bigint>": pa.int64()}[kind]
-                        ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * flat.shape[1])
-                        arrays.append(pa.ListArray.from_arrays(ends, pa.array(flat.ravel()).cast(item)))
-                    else:
-                        arrays.append(pa.array(value).cast({"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}[kind]))
-                yield pa.RecordBatch.from_arrays(arrays, [*keep, *outputs])
+                whole = batch.filter(pa.array((shapes == shape).all(1)))
+                step = max(1, WORK_BYTES // max(1, work(*shape.tolist()))) if work else whole.num_rows
+                for a in range(0, whole.num_rows, step):
+                    yield solved(whole.slice(a, step), shape)
 
     return df.select(*columns, *inputs).mapInArrow(run, schema)
 
