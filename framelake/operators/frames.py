@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 FRAME_COLUMNS = ("rec_id", "t", "h", "w", "c", "data")
 MOST_REFERENCE_BYTES = 256 << 20
-WORK_BYTES = 64 << 20  # what one call of a kernel may take
+WORK_BYTES, WORK_COPIES = 64 << 20, 72  # what one call of a kernel may take, and how many times a frame's bytes it takes (72 were measured for the solver, 76 graduated)
 
 
 def frames(df: DataFrame, data: Column, h: int, w: int, c: int = 1, t: Column | str = "t", rec_id: Column | None = None) -> DataFrame:
@@ -42,8 +42,9 @@ def map_stacks(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, st
 
     The kernel gets a (n, h, w, c) array for each input column and returns for
     each output an array of n rows; outputs of type ``array<...>`` are flattened.
-    ``work(h, w, c)`` is what the kernel takes for a frame, in bytes: a call gets
-    as many frames as ``WORK_BYTES`` allow, at least one.
+    ``work(h, w, c)`` is what the kernel takes for a frame, in bytes, if that is not
+    ``WORK_COPIES`` times the frame: a call gets as many frames as ``WORK_BYTES``
+    allow, at least one. So a frame's result may not depend on the others.
     """
     columns = list(dict.fromkeys([*keep, "h", "w", "c"]))
     kept = df.select(*keep)
@@ -71,22 +72,24 @@ def map_stacks(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, st
             shapes = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "w", "c")], 1)
             for shape in np.unique(shapes, axis=0):
                 whole = batch.filter(pa.array((shapes == shape).all(1)))
-                step = max(1, WORK_BYTES // max(1, work(*shape.tolist()))) if work else whole.num_rows
+                taken = work(*shape.tolist()) if work else WORK_COPIES * 8 * int(shape.prod())
+                step = max(1, WORK_BYTES // max(1, taken))
                 for a in range(0, whole.num_rows, step):
                     yield solved(whole.slice(a, step), shape)
 
     return df.select(*columns, *inputs).mapInArrow(run, schema)
 
 
-def map_frames(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Frames to frames of possibly another size."""
+def map_frames(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], size: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Frames to frames of possibly another size; ``size`` is the new one where it may be much larger."""
 
     def sized(stack):
         out = np.asarray(kernel(stack), float)
         n = len(out)
         return {"h2": np.full(n, out.shape[1]), "w2": np.full(n, out.shape[2]), "c2": np.full(n, out.shape[3]), "out": out}
 
-    rows = map_stacks(df, sized, {"h2": "int", "w2": "int", "c2": "int", "out": "array<double>"}, keep=("rec_id", "t"))
+    work = lambda h, w, c: 8 * c * max(WORK_COPIES * h * w, 8 * max(h, size[0]) * max(w, size[1]))
+    rows = map_stacks(df, sized, {"h2": "int", "w2": "int", "c2": "int", "out": "array<double>"}, keep=("rec_id", "t"), work=work)
     return rows.select("rec_id", "t", F.col("h2").alias("h"), F.col("w2").alias("w"), F.col("c2").alias("c"), F.col("out").alias("data"))
 
 

@@ -85,7 +85,7 @@ def medians(frames: DataFrame) -> DataFrame:
 
 
 def resized(frames: DataFrame, size: tuple[int, int], anti_alias: bool = True) -> DataFrame:
-    return map_frames(frames, lambda s: K.resize(s.astype(np.float32), size) if anti_alias else K.resize_plain(s, size))
+    return map_frames(frames, lambda s: K.resize(s.astype(np.float32), size) if anti_alias else K.resize_plain(s, size), size)
 
 
 def warped(flows: DataFrame, method: str = "cubic") -> DataFrame:
@@ -104,7 +104,7 @@ def aligned(frames: DataFrame, flow: np.ndarray, reference: np.ndarray, method:
 
 def resampled(frames: DataFrame, size: tuple[int, int], kind: str = "linear") -> DataFrame:
     """Resize by one of the plain kernels: nearest, linear, cubic, lanczos or area."""
-    return map_frames(frames, lambda s: K.resample(s, size, kind))
+    return map_frames(frames, lambda s: K.resample(s, size, kind), size)
 
 
 def enlarged_warp(flows: DataFrame, scale: int = 4) -> DataFrame:
@@ -193,9 +193,14 @@ def rigid_shifts(frames: DataFrame, reference: np.ndarray, **options) -> DataFra
 # -- depth -------------------------------------------------------------------
 
 
+def _depth_work(slices: int):
+    """Bytes for a frame that is compared with all slices: their distances, twice, and its own gradients."""
+    return lambda h, w, c: 8 * h * w * (2 * slices + 8 * c + 4)
+
+
 def slice_errors(frames: DataFrame, volume: np.ndarray) -> DataFrame:
     """Total gradient distance of each frame to each slice of the volume: one row per frame and slice."""
-    rows = map_stacks(frames, lambda s: {"err": K.gradient_distance(volume, s).sum((2, 3))}, {"err": "array<double>"})
+    rows = map_stacks(frames, lambda s: {"err": K.gradient_distance(volume, s).sum((2, 3))}, {"err": "array<double>"}, work=_depth_work(len(volume)))
     return rows.select("rec_id", "t", F.posexplode("err").alias("z", "err"))
 
 
@@ -206,7 +211,7 @@ def anchor_slice(errors: DataFrame) -> DataFrame:
 
 
 def depth_maps(frames: DataFrame, volume: np.ndarray, anchor: int, **options) -> DataFrame:
-    return map_stacks(frames, lambda s: {"z": K.depth_map(K.gradient_distance(volume, s), anchor, **options)}, {"z": "array<double>"})
+    return map_stacks(frames, lambda s: {"z": K.depth_map(K.gradient_distance(volume, s), anchor, **options)}, {"z": "array<double>"}, work=_depth_work(len(volume)))
 
 
 def depth_corrected(rows: DataFrame, volume: np.ndarray, anchor: int) -> DataFrame:
